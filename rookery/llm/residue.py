@@ -1,0 +1,154 @@
+"""Template residue, filler and error pages instead of content.
+
+Quoted passages and code are blanked first: text that talks about such things is real. The rest is
+cut into lines. Normalised lines are counted by host (distinct documents per line); lines that
+recur are page furniture and are subtracted. What remains is weighed:
+
+* an unfilled placeholder or filler text in any remaining line excludes the document,
+* an error message or a notice that scripts are required excludes it if hardly any other text
+  remains, that is, if the message stands in place of content.
+
+A recurring line that is itself evidence isn't furniture.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A line recurs if it is in so many documents of its host, and in that share of them.
+RECUR_DOCUMENTS = 3
+RECUR_SHARE = 0.0005
+#: Other text beside a message, in characters, up to which the message stands for the content.
+SPARE_CHARS = 120
+
+# Quoted passages and code, which are blanked.
+QUOTED = "(?s)```.*?(?:```|\\z)|`[^`\\n]*`|\"[^\"\\n]{0,300}\"|“[^”\\n]{0,300}”|„[^“”\\n]{0,300}[“”]|「[^」\\n]{0,300}」|《[^》\\n]{0,300}》"
+
+# Ways in which templates mark a value to be filled in. A NAME is one to three words.
+_NAME = r"[\p{L}][\p{L}\d]*(?:[ _.\-][\p{L}\d]+){0,3}"
+PLACEHOLDERS = [
+    rf"\{{\{{-?\s*{_NAME}(?:\s*\|[^{{}}\n]{{0,40}})?\s*-?\}}\}}",
+    rf"\$\{{\s*{_NAME}\s*\}}",
+    rf"\{{%\s*{_NAME}\s*%\}}",
+    rf"(?<![$\{{\w])\{{\s*{_NAME}\s*\}}(?!\}})",
+    rf"%%\s*{_NAME}\s*%%",
+    rf"%\({_NAME}\)[sdf]",
+    rf"@@\s*{_NAME}\s*@@",
+    rf"<%[=-]?\s*{_NAME}\s*-?%>",
+    rf"<\?=?\s*{_NAME}\s*\?>",
+    rf"\*\|\s*{_NAME}\s*\|\*",
+    r"(?<![\w#])#[A-Z][A-Z_]{2,}#(?![\w#])",
+    r"(?<!\w)__[A-Z][A-Z_]*[A-Z]__(?!\w)",
+    rf"«\s*[\p{{Ll}}]+(?:[ _][\p{{Ll}}]+){{0,2}}\s*»",
+    rf"(?i:\[(?:insert|enter|add|your|fill in|replace|type|choose|select|insertar|insérer|inserire|invoegen)\b[^\]\n]{{0,40}}\])(?!\()",
+    rf"(?i:\[[^\]\n]{{1,40}}\b(?:einfügen|eintragen|einsetzen|here|hier|aquí|ici|invullen|invoegen)\])(?!\()",
+    r"\[[A-Z]{3,}(?:[ _][A-Z]+){0,3}\](?!\()",
+    r"(?i:<(?:insert|enter|your|add)\b[^<>\n]{1,40}>)",
+    r"(?<![\w`])<[A-Z]{3,}(?:[ _][A-Z]+){0,3}>",
+    r"(?<![\w`</])<(?!/|(?:a|b|i|p|u|s|br|hr|li|ul|ol|td|th|tr|em|h\d|div|img|nav|pre|sub|sup|svg|code|span|body|head|html|link|meta|main|form|input|table|thead|tbody|title|style|script|strong|button|footer|header|section|article|noscript|label|small|video|audio|iframe|int|float|string|double|bool|char|long|void|object)\b)[a-z]{3,}(?:[ _][a-z]+){0,3}>",
+]
+PLACEHOLDER = "|".join(PLACEHOLDERS)
+
+# Words of the usual pseudo-Latin filler, whole or cut short.
+_LATIN = (
+    "lorem|ipsum|dolor|amet|sitan|sit|consect\\w*|consel\\w*|adipi\\w*|elit|eiusmod|tempor|tempra|incidi\\w*|labore|magna|magnis|aliqua?|aliqa|veniam|nostrud|ullamco|laboris|nisi|commodo|irure|velit|velut|"
+    "fugiat|nulla|pariatur|sint|occaecat|cupidatat|proident|culpa|officia|deserunt|mollit|anim|fauc\\w*|porta|eros|lacun\\w*|quidem|quid\\w*|cursus|cursil|semper|morbi|ornare|pretium|pretin|orba|orci|gravida?|rhonus|rhoncus|"
+    "vitae|dapibus|dapis|tellus|tellum|massa|ibus|donec|vivamus|vestibulum|praesent|sed|et|ut|in|est|non|quis|nec|ac|vel|euismod|mattis|turpis|libero|purus|augue|ligula|felis|nunc|quam|justo|risus|sapien|viverra|integer|blandit"
+)
+FILLERS = [
+    rf"(?i:(?<!\w)(?:{_LATIN})(?:[\s.,;:]+(?:{_LATIN})){{4,}}(?!\w))",
+    r"(?i:\blorem ipsum\b)",
+    r"(?i:\b(?:sample|placeholder|dummy|example|filler)[- ](?:text|copy|paragraph|content|caption|heading)\b)",
+    r"(?i:\b(?:text|copy|caption|heading|headline|title|content|description|image|paragraph|quote)s? (?:goes|go|comes) here\b)",
+    r"(?i:\byour (?:heading|headline|title|text|content|caption|copy|tagline|name|logo|message) (?:goes )?here\b)",
+    r"(?i:\b(?:content|text|copy|details|description) (?:to follow|coming soon|to come|will follow)\b)",
+    r"(?i:\breplace (?:this )?(?:text )?before publishing\b)",
+    r"(?i:\bwrite something about\b)",
+    r"(?i:^\W*(?:add|enter|insert|type) (?:a |an |your |some )?(?:short |brief )?(?:description|text|caption|title|content|summary|introduction)\b)",
+    r"(?i:\basdf(?:\s|\b)|\bqwer(?:ty)?\s+asdf\b)",
+    r"(?i:\bblah(?:\W+blah)+\b)",
+    r"(?i:^\W*test(?:\s+(?:test|\d+))+\W*$)",
+    r"(?i:\b(?:body text\s*){2,})",
+    r"(?i:\bfoo bar(?: baz)?\b)",
+    r"(?i:\btexto (?:de ejemplo|de relleno|de prueba|simulado)\b)",
+    r"(?i:\bhier (?:steht|kommt|folgt) (?:später |noch |bald )?(?:ein |der |dein |ihr )?(?:text|inhalt)\b|\b(?:blind|platzhalter|beispiel|muster)text\b)",
+    r"(?i:\btexte? (?:d'exemple|de remplissage|factice|fictif|à venir)\b|\bvotre texte ici\b)",
+    r"(?i:\b(?:voorbeeld|opvul|vul)tekst\b|\bhier komt (?:later )?(?:een |de )?tekst\b|\btesto (?:di esempio|segnaposto)\b|\btexto de exemplo\b)",
+    r"ここに.{0,8}(?:入ります|入力|挿入)|ダミーテキスト|サンプル(?:テキスト|文章)|此处(?:填写|输入|插入)|示例文本|占位(?:文本|符)|여기에.{0,10}(?:입력|텍스트)",
+    r"(?i:\bздесь (?:будет|должен быть) текст\b|\bпример текста\b)",
+]
+FILLER = "|".join(FILLERS)
+
+# Messages that stand where content should be.
+ERRORS = [
+    r"(?:error|erreur|fehler|fout|errore|ошибка|エラー)\W{0,2}(?:code\W{0,2})?\d{3}\b\s*(?:[:)\-–—]|$)",
+    r"\b(?:4\d\d|5\d\d)\b\W{0,3}(?:not found|forbidden|bad gateway|internal server error|service unavailable|gateway time-?out|unauthorized|bad request)",
+    r"\bpage\b.{0,40}\b(?:not be found|not found|no longer exists|was moved|does not exist|doesn't exist|not available)",
+    r"seite (?:wurde )?nicht gefunden|deze pagina bestaat niet|pagina niet gevonden|página no (?:encontrada|existe)|page (?:introuvable|non trouvée)|pagina non trovata|página não encontrada|страница не найдена",
+    r"ページが見つかりません|お探しのページ|页面不存在|找不到(?:该)?页面|페이지를 찾을 수 없|アクセスが拒否",
+    r"erreur interne|interner (?:server)?fehler|error interno|interne (?:server)?fout|errore interno|внутренняя ошибка",
+    r"\baccess (?:is )?denied\b|\bdo(?:es)? not have permission\b|\bzugriff verweigert|\baccès refusé|\bacceso denegado|\btoegang geweigerd|\baccesso negato|доступ запрещ[её]н",
+    r"\bsession (?:has )?(?:expired|timed out)|\bsitzung (?:ist )?abgelaufen|\bsesión (?:ha )?(?:expirado|caducado)|\bsession expirée",
+    r"\bsomething went wrong\b|\bunexpected (?:condition|error)\b|\binternal server error\b|\binternal error\b",
+    r"\btoo many requests\b|\brate limit (?:exceeded|reached)",
+    r"\bdown for (?:\w+ )?maintenance\b|\bunder maintenance\b|wartungsarbeiten|en mantenimiento|en maintenance|メンテナンス中",
+    r"\b(?:could not|cannot|can't|unable to|failed to) connect to\b|\bupstream (?:server|timeout)|\bbad gateway\b|\bgateway time-?out\b|\bservice (?:temporarily )?unavailable\b",
+    r"\brequest could not be satisfied\b|\brequested url was rejected\b|\bserver did not (?:answer|respond)|\bconnection (?:refused|timed out|reset)",
+    r"^\W*traceback \(most recent call last\)|^\W*file\b.{0,80}\bline \d+|^\s*at [\w.$<>]+\([\w. ]+:?\d*\)|^\W*(?:[a-z_]\w*\.)*[a-z]\w*(?:error|exception)\b(?::.{0,80})?$",
+]
+
+SCRIPTS = [
+    r"\b(?:enable|activate|turn on|allow|switch on|requires?|needs?|with)\b.{0,30}\b(?:java)?scripts?\b",
+    r"\bjavascript\b.{0,40}\b(?:disabled|required|enabled|turned off|only|blocked|inschakelen|erforderlich|benötigt|requis|nécessaire|necesario|vereist)",
+    r"\b(?:aktivieren|activar|activez|activer|active|habilite|schakel|abilit\w+|ative|включите)\b.{0,30}javascript",
+    r"javascript.{0,12}(?:有効|無効|启用|開啟|활성화|required)|(?:有効|启用|請啟用).{0,12}javascript",
+    r"<noscript\b|\bbrowser does not support\b|\bbrowser blocks them\b|\bchecking your browser\b|\bscripts? (?:and cookies )?must be (?:on|enabled)",
+    r"^\W*loading\W*$",
+]
+MESSAGE = "\u0002|(?iu:" + "|".join(ERRORS + SCRIPTS) + ")"
+#: A whole line that is an error object holds quotes itself; it becomes \\u0002 before quotes are blanked.
+MESSAGE_OBJECT = r"(?mi)^[^\S\n]*\{\s*\"(?:error|status|message|code)\".{0,160}\}[^\S\n]*$"
+ANY_EVIDENCE = f"(?m){PLACEHOLDER}|{FILLER}|{MESSAGE}"
+
+
+def normalised_line(line) -> F.Column:
+    """Lower case, words with digits as 0, white space collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\S*\d\S*", "0"), r"\s+", " "))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(id, host, line, mark) per distinct non-blank line of a document; mark identifies host and line."""
+    split = docs.select("id", "host", F.explode(F.array_distinct(F.split("bare", r"[\n\r\u2028]+"))).alias("line")).where("trim(line) <> ''")
+    return split.withColumn("mark", F.xxhash64("host", normalised_line(F.col("line"))))
+
+
+def residue(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
+    """(id, placeholders, fillers, messages, spare): documents with evidence outside quotes and code:
+    the remaining lines with placeholders, fillers and messages (errors and script notices), and
+    the characters of remaining text that is none of these. See without_content for the verdict.
+
+    Null and blank texts have no evidence; nulls are a host of their own; rows of equal keys are
+    taken together; other columns are ignored; an empty table gives no rows.
+    """
+    docs = df.select(F.col(key).alias("id"), F.lower(F.trim(F.coalesce(F.col(host).cast("string"), F.lit("")))).alias("host"), F.col(text).alias("text")).where("text is not null")
+    bare = docs.select("id", "host", F.regexp_replace(F.regexp_replace("text", MESSAGE_OBJECT, "\n\u0002\n"), QUOTED, " \u0001 ").alias("bare"))
+    seen = _lines(bare).groupBy("mark").agg(F.first("host").alias("host"), F.count("*").alias("documents"))
+    of_host = docs.groupBy("host").agg(F.count("*").alias("held"))
+    furniture = seen.where(f"documents >= {RECUR_DOCUMENTS}").join(of_host, "host").where(f"documents >= {RECUR_SHARE} * held").select("mark")
+    suspects = bare.where(F.col("bare").rlike(ANY_EVIDENCE))
+    told = _lines(suspects).select(
+        "id", "mark", "line", F.col("line").rlike(PLACEHOLDER).alias("placeholder"), F.col("line").rlike(FILLER).alias("filler"), F.col("line").rlike(MESSAGE).alias("message")
+    )
+    parts = F.split("line", r"(?<=[.!?。！？])\s*")
+    spare = F.when(~F.col("message"), F.length(F.trim("line"))).otherwise(F.aggregate(F.filter(parts, lambda p: ~p.rlike(MESSAGE)), F.lit(0), lambda n, p: n + F.length(F.trim(p))))
+    kept = told.where("placeholder or filler or message").union(told.where("not (placeholder or filler or message)").join(furniture, "mark", "left_anti").select(told.columns))
+    return kept.groupBy("id").agg(
+        F.count_if("placeholder").alias("placeholders"), F.count_if("filler").alias("fillers"), F.count_if("message").alias("messages"), F.sum(spare).alias("spare")
+    )
+
+
+def without_content(found: DataFrame) -> DataFrame:
+    """(id, reason): documents of residue() to be left out."""
+    verdict = F.when(F.col("placeholders") > 0, "placeholder").when(F.col("fillers") > 0, "filler").when((F.col("messages") > 0) & (F.col("spare") <= SPARE_CHARS), "message")
+    return found.select("id", verdict.alias("reason")).where("reason is not null")
