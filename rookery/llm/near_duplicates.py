@@ -12,7 +12,8 @@ Sum(|a_i - b_i|) over any segments is at most |A xor B|, and Jaccard >= t means
 coarse counts (and sizes) lie within that Manhattan distance; a pair must then share PREFIX_EXTRA
 cells, and survivors are compared exactly. With alpha = ceil(t*n), a text's cells are its
 n - alpha + PREFIX_EXTRA rarest shingles, so two texts at or above t always share at least
-min(PREFIX_EXTRA, alpha) cells: no pair is lost. A dense grid over coarse counts alone cannot
+min(PREFIX_EXTRA, alpha) cells, and all of these lie within the first n - least + PREFIX_EXTRA of
+both, least = ceil(t/(1+t) * (|A|+|B|)) being what such a pair shares: no pair is lost. A dense grid over coarse counts alone cannot
 prune at such thresholds (README has figures), hence the rare fine segments as its axes.
 """
 
@@ -155,7 +156,8 @@ def count_sketch(df: DataFrame, column: str, bits: int = SKETCH_BITS) -> np.ndar
 
 
 def _cells(sigs: DataFrame, threshold: float, rarity) -> DataFrame:
-    """(h, cls, n, c0, c1): each class's grid cells, its size and its coarse counts, packed in bytes."""
+    """(h, cls, n, at, c0, c1): each class's grid cells with their place in its order of rarity, its
+    size and its coarse counts, packed in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = rarity.value
@@ -182,14 +184,16 @@ def _cells(sigs: DataFrame, threshold: float, rarity) -> DataFrame:
             place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             alpha = np.ceil(threshold * n - 1e-9).astype(np.int64)
             prefix = n - alpha + np.minimum(PREFIX_EXTRA, alpha)
-            pick = order[(place < np.repeat(prefix, n)) & (rare[order] != 1)]
+            place_of = np.flatnonzero((place < np.repeat(prefix, n)) & (rare[order] != 1))
+            pick = order[place_of]
             r = row[pick]
             cell = scramble(h[pick].view(np.uint64) ^ salt[r])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.view(np.int64)), pa.array(cls[r]), pa.array(n[r].astype(np.int32)), pa.array(packed[r, 0]), pa.array(packed[r, 1])], names=["h", "cls", "n", "c0", "c1"]
+                [pa.array(cell.view(np.int64)), pa.array(cls[r]), pa.array(n[r].astype(np.int32)), pa.array(place[place_of].astype(np.int32)), pa.array(packed[r, 0]), pa.array(packed[r, 1])],
+                names=["h", "cls", "n", "at", "c0", "c1"],
             )
 
-    return sigs.select("tbl", "cls", "n", "sh").mapInArrow(run, "h long, cls long, n int, c0 long, c1 long")
+    return sigs.select("tbl", "cls", "n", "sh").mapInArrow(run, "h long, cls long, n int, at int, c0 long, c1 long")
 
 
 def _byte_gap(a: str, b: str) -> str:
@@ -220,8 +224,10 @@ def class_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
     a, b = cells.alias("a"), cells.alias("b")
     near = f"({_byte_gap('a.c0', 'b.c0')} + {_byte_gap('a.c1', 'b.c1')}) <= {bound!r} * (a.n + b.n) + 1e-9"
     sized = f"a.n >= {threshold!r} * b.n - 1e-9 and b.n >= {threshold!r} * a.n - 1e-9"
+    least = f"ceil({threshold / (1 + threshold)!r} * (a.n + b.n) - 1e-9)"  # shingles such a pair shares
+    early = f"a.at < a.n - {least} + {PREFIX_EXTRA} and b.at < b.n - {least} + {PREFIX_EXTRA}"
     shared = (
-        a.join(b, F.expr(f"a.h = b.h and a.cls < b.cls and {sized} and {near}"))
+        a.join(b, F.expr(f"a.h = b.h and a.cls < b.cls and {sized} and {early} and {near}"))
         .groupBy(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
         .agg(F.count("*").alias("cells"))
         .where(f"cells >= least({PREFIX_EXTRA}, ceil({threshold!r} * least(n_a, n_b) - 1e-9))")
