@@ -13,9 +13,16 @@ A recurring line that is itself evidence isn't furniture.
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rookery.session import materialise
+
 #: A line recurs if it is in so many documents of its host, and in that share of them.
 RECUR_DOCUMENTS = 3
 RECUR_SHARE = 0.0005
@@ -23,7 +30,10 @@ RECUR_SHARE = 0.0005
 SPARE_CHARS = 120
 
 # Quoted passages and code, which are blanked.
-QUOTED = "(?s)```.*?(?:```|\\z)|`[^`\\n]*`|\"[^\"\\n]{0,300}\"|“[^”\\n]{0,300}”|„[^“”\\n]{0,300}[“”]|「[^」\\n]{0,300}」|《[^》\\n]{0,300}》"
+QUOTED = re.compile(r"```(?s:.*?)(?:```|\Z)|`[^`\n]*`|\"[^\"\n]{0,300}\"|“[^”\n]{0,300}”|„[^“”\n]{0,300}[“”]|「[^」\n]{0,300}」|《[^》\n]{0,300}》")
+#: A whole line that is an error object holds quotes itself; it becomes OBJECT_MARK first.
+MESSAGE_OBJECT = re.compile(r"^[^\S\n]*\{\s*\"(?:error|status|message|code)\".{0,160}\}[^\S\n]*$", re.M | re.I)
+OBJECT_MARK = "\u0002"
 
 # Ways in which templates mark a value to be filled in. A NAME is one to three words.
 _NAME = r"[\p{L}][\p{L}\d]*(?:[ _.\-][\p{L}\d]+){0,3}"
@@ -48,16 +58,20 @@ PLACEHOLDERS = [
     r"(?<![\w`])<[A-Z]{3,}(?:[ _][A-Z]+){0,3}>|(?<![\w`])<(?:[A-Z][a-z]+){2,4}>",
     r"(?<![\w`</])<(?!/|(?:a|b|i|p|u|s|br|hr|li|ul|ol|td|th|tr|em|h\d|div|img|nav|pre|sub|sup|svg|code|span|body|head|html|meta|main|form|input|table|thead|tbody|title|style|script|strong|button|footer|header|section|article|noscript|label|small|video|audio|iframe|int|float|string|double|bool|char|long|void|object)\b)[a-z]{3,}(?:[ _][a-z]+){0,3}>",
 ]
-PLACEHOLDER = "|".join(PLACEHOLDERS)
+#: Tried only where one of their first characters stands.
+PLACEHOLDER = r"(?=[{$%@<*#_«\[])(?:" + "|".join(PLACEHOLDERS) + ")"
 
 # Words of the usual pseudo-Latin filler, whole or cut short.
-_LATIN = (
-    "lorem|ipsum|dolor|amet|sitan|sit|consect\\w*|consel\\w*|adipi\\w*|elit|eiusmod|tempor|tempra|incidi\\w*|labore|magna|magnis|aliqua?|aliqa|veniam|nostrud|ullamco|laboris|nisi|commodo|irure|velit|velut|"
-    "fugiat|nulla|pariatur|sint|occaecat|cupidatat|proident|culpa|officia|deserunt|mollit|anim|fauc\\w*|porta|eros|lacun\\w*|quidem|quid\\w*|cursus|cursil|semper|morbi|ornare|pretium|pretin|orba|orci|gravida?|rhonus|rhoncus|"
-    "vitae|dapibus|dapis|tellus|tellum|massa|ibus|donec|vivamus|vestibulum|praesent|sed|et|ut|in|est|non|quis|nec|ac|vel|euismod|mattis|turpis|libero|purus|augue|ligula|felis|nunc|quam|justo|risus|sapien|viverra|integer|blandit"
-)
+LATIN = (
+    "lorem ipsum dolor amet sitan consect consel adipi eiusmod tempra incidi labore magna magnis aliqua aliqa veniam nostrud ullamco commodo irure velit velut fugiat nulla pariatur occaecat cupidatat proident culpa officia deserunt mollit "
+    "fauc porta eros lacun quidem cursus cursil semper morbi ornare pretium pretin orba orci gravid rhonus rhoncus vitae dapibus dapis tellus tellum massa donec vivamus vestibulum praesent euismod mattis turpis libero purus augue ligula "
+    "felis justo risus sapien viverra integer blandit"
+).split()
+#: These count within such text but don't begin it.
+LATIN_SMALL = "sit elit tempor nisi sint anim ibus sed et ut in est non quis nec ac vel nunc quam".split()
+_LATIN_WORD = rf"(?:(?:{'|'.join(LATIN)})\w*|{'|'.join(LATIN_SMALL)})"
 FILLERS = [
-    rf"(?i:(?<!\w)(?:{_LATIN})(?:[\s.,;:]+(?:{_LATIN})){{4,}}(?!\w))",
+    rf"(?i:(?<!\w)(?:{'|'.join(LATIN)})\w*(?:[\s.,;:]+{_LATIN_WORD}){{4,}}(?!\w))",
     r"(?i:\blorem ipsum\b)",
     r"(?i:\b(?:sample|placeholder|dummy|example|filler)[- ](?:text|copy|paragraph|content|caption|heading)\b)",
     r"(?i:\b(?:text|copy|caption|heading|headline|title|content|description|image|paragraph|quote)s? (?:goes|go|comes) here\b)",
@@ -107,20 +121,82 @@ SCRIPTS = [
     r"^\W*loading\W*$",
 ]
 MESSAGE = "\u0002|(?iu:" + "|".join(ERRORS + SCRIPTS) + ")"
-#: A whole line that is an error object holds quotes itself; it becomes \\u0002 before quotes are blanked.
-MESSAGE_OBJECT = r"(?mi)^[^\S\n]*\{\s*\"(?:error|status|message|code)\".{0,160}\}[^\S\n]*$"
-ANY_EVIDENCE = f"(?m){PLACEHOLDER}|{FILLER}|{MESSAGE}"
+
+#: Each placeholder, filler and message holds at least one of its signs in lower case: an automaton
+#: looks for them in one pass, so that the patterns only run on lines that can match.
+PLACEHOLDER_SIGNS = (
+    "{", "%%", "%(", "@@", "<%", "<?", "*|", "__", "«", "here]", "hier]", "aquí]", "ici]", "einfügen]", "eintragen]", "einsetzen]", "invullen]", "invoegen]",
+    *(f"{c}{x}" for c in "#[<" for x in "abcdefghijklmnopqrstuvwxyz"),
+)
+FILLER_SIGNS = (
+    *LATIN,
+    "sample", "placeholder", "dummy", "filler", "example", "goes here", "go here", "comes here", "come here", "your ", "to follow", "coming soon", "to come", "will follow", "before publishing", "write something", "add a", "add the", "add some", "add your",
+    "add short", "add brief", "add desc", "add text", "enter ", "insert ", "type ", "asdf", "blah", "test ", "body text", "foo bar", "texto", "hier steht", "hier kommt", "hier folgt", "blindtext", "platzhalter", "beispieltext", "mustertext",
+    "texte", "votre texte", "text d'", "tekst", "testo", "ここに", "ダミー", "サンプル", "此处", "示例", "占位", "여기에", "здесь", "пример",
+)
+MESSAGE_SIGNS = (
+    "error", "erreur", "fehler", "fout", "ошибка", "エラー", "not found", "forbidden", "bad gateway", "unavailable", "gateway time", "unauthorized", "bad request", "not be found", "no longer exists", "not exist", "not available", "has moved", "been moved",
+    "nicht gefunden", "bestaat niet", "niet gevonden", "no encontrada", "no existe", "introuvable", "non trouvée", "non trovata", "não encontrada", "не найдена", "見つかりません", "お探しの", "页面", "페이지를", "拒否", "denied", "not have permission", "verweigert", "refusé", "denegado",
+    "geweigerd", "negato", "запрещ", "session has expired", "session expired", "timed out", "abgelaufen", "ha expirado", "expirado", "caducado", "session expirée", "went wrong", "unexpected condition", "too many requests", "rate limit", "maintenance", "wartungsarbeiten", "mantenimiento",
+    "メンテナンス", "connect to", "upstream server", "upstream timeout", "not be satisfied", "url was rejected", "did not answer", "did not respond", "connection re", "traceback", "exception", "\u0002", "script", "browser does not support", "blocks them", "checking your browser", "loading",
+)
+
+
+@functools.lru_cache(maxsize=1)
+def _signs():
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for bit, signs in ((1, PLACEHOLDER_SIGNS), (2, FILLER_SIGNS), (4, MESSAGE_SIGNS)):
+        for sign in signs:
+            machine.add_word(sign, machine.get(sign, 0) | bit)
+    machine.make_automaton()
+    return machine
+
+
+def signs_in(text: str) -> int:
+    """1 if text holds a sign of a placeholder, 2 of filler, 4 of a message, added up."""
+    found = 0
+    for _, bits in _signs().iter(text.lower()):
+        found |= bits
+        if found == 7:
+            break
+    return found
+
+
+def suspect_lines(text: str) -> list[tuple[str, int]]:
+    """The distinct non-blank lines of a text with signs, quotes and code blanked, each with its
+    own signs; none for a text that has no sign or none outside quotes and code."""
+    if not signs_in(text) and '"' not in text:
+        return []
+    bare = QUOTED.sub(" \u0001 ", MESSAGE_OBJECT.sub(OBJECT_MARK, text))
+    lines = [(line, signs_in(line)) for line in dict.fromkeys(re.split(r"[\n\r\u2028]+", bare)) if line.strip()]
+    return lines if any(bits for _, bits in lines) else []
 
 
 def normalised_line(line) -> F.Column:
-    """Lower case, words with digits as 0, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\S*\d\S*", "0"), r"\s+", " "))
+    """Lower case with digits alike, trimmed."""
+    return F.trim(F.translate(F.lower(line), "123456789", "000000000"))
+
+
+def _mark() -> F.Column:
+    """Identifies host and line."""
+    return F.xxhash64("host", normalised_line(F.col("line")))
+
+
+def _suspects(docs: DataFrame) -> DataFrame:
+    """(id, host, line, bits) of (id, host, text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lines, bits = [], [], []
+            for r, text in enumerate(batch.column(2).to_pylist()):
+                for line, b in suspect_lines(text):
+                    rows.append(r), lines.append(line), bits.append(b)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines, pa.string()), pa.array(bits, pa.int32())], names=["id", "host", "line", "bits"])
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(id, host, line, mark) per distinct non-blank line of a document; mark identifies host and line."""
-    split = docs.select("id", "host", F.explode(F.array_distinct(F.split("bare", r"[\n\r\u2028]+"))).alias("line")).where("trim(line) <> ''")
-    return split.withColumn("mark", F.xxhash64("host", normalised_line(F.col("line"))))
+    return docs.select("id", "host", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, host string, line string, bits int")
 
 
 def residue(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
@@ -132,17 +208,19 @@ def residue(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
     taken together; other columns are ignored; an empty table gives no rows.
     """
     docs = df.select(F.col(key).alias("id"), F.lower(F.trim(F.coalesce(F.col(host).cast("string"), F.lit("")))).alias("host"), F.col(text).alias("text")).where("text is not null")
-    bare = docs.select("id", "host", F.regexp_replace(F.regexp_replace("text", MESSAGE_OBJECT, "\n\u0002\n"), QUOTED, " \u0001 ").alias("bare"))
-    seen = _lines(bare).groupBy("mark").agg(F.first("host").alias("host"), F.count("*").alias("documents"))
+    split = docs.select("host", F.explode(F.array_distinct(F.split("text", r"[\n\r\u2028]+"))).alias("line")).where("trim(line) <> ''")
+    seen = split.select("host", _mark().alias("mark")).groupBy("mark", "host").agg(F.count("*").alias("documents"))
     of_host = docs.groupBy("host").agg(F.count("*").alias("held"))
-    furniture = seen.where(f"documents >= {RECUR_DOCUMENTS}").join(of_host, "host").where(f"documents >= {RECUR_SHARE} * held").select("mark")
-    suspects = bare.where(F.col("bare").rlike(ANY_EVIDENCE))
-    told = _lines(suspects).select(
-        "id", "mark", "line", F.col("line").rlike(PLACEHOLDER).alias("placeholder"), F.col("line").rlike(FILLER).alias("filler"), F.col("line").rlike(MESSAGE).alias("message")
+    furniture = seen.where(f"documents >= {RECUR_DOCUMENTS}").join(of_host, "host").where(f"documents >= {RECUR_SHARE} * held").select("mark").distinct()
+    signed = lambda bit, pattern: (F.col("bits").bitwiseAND(bit) > 0) & F.col("line").rlike(pattern)
+    told = materialise(
+        _suspects(docs).select("id", _mark().alias("mark"), "line", signed(1, PLACEHOLDER).alias("placeholder"), signed(2, FILLER).alias("filler"), signed(4, MESSAGE).alias("message"))
     )
+    with_evidence = told.where("placeholder or filler or message").select("id").distinct()
     parts = F.split("line", r"(?<=[.!?。！？])\s*")
     spare = F.when(~F.col("message"), F.length(F.trim("line"))).otherwise(F.aggregate(F.filter(parts, lambda p: ~p.rlike(MESSAGE)), F.lit(0), lambda n, p: n + F.length(F.trim(p))))
-    kept = told.where("placeholder or filler or message").union(told.where("not (placeholder or filler or message)").join(furniture, "mark", "left_anti").select(told.columns))
+    other = told.where("not (placeholder or filler or message)").join(with_evidence, "id", "left_semi").join(furniture, "mark", "left_anti").select(told.columns)
+    kept = told.where("placeholder or filler or message").union(other)
     return kept.groupBy("id").agg(
         F.count_if("placeholder").alias("placeholders"), F.count_if("filler").alias("fillers"), F.count_if("message").alias("messages"), F.sum(spare).alias("spare")
     )
