@@ -54,7 +54,7 @@ def test_overlap_is_about_as_asked():
 
 
 def test_paragraphs_win():
-    text = ("alpha beta gamma. " * 40 + "\n\n") * 6
+    text = ("alpha beta gamma. " * 17 + "\n\n") * 12
     assert {k for *_, k in check(text, 1400, 240)[:-1]} == {"paragraph"}
 
 
