@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value worked out once; a lambda would repeat an outer expression per element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def as_doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -20,8 +25,7 @@ def norm(v: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    return let(norm(v), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)))
 
 
 def truncate(v: Column, dim: int) -> Column:

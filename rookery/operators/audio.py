@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rookery.functions.vectors import let
+
 FRAME, FLOOR_DB, PADDING_S = 256, -42.0, 0.12
 RATE = 16_000
 
@@ -70,7 +72,7 @@ def augment(df: DataFrame, samples: str, key: str, seed: int, out: str = "augmen
 def peak_normalised(samples: Column, to: float = 0.95) -> Column:
     """Scaled so that the peak is `to`; silence stays."""
     peak = F.array_max(F.transform(samples, lambda x: F.abs(x)))
-    return F.when(peak > 0, F.transform(samples, lambda x: (x / peak * to).cast("float"))).otherwise(samples)
+    return let(peak, lambda p: F.when(p > 0, F.transform(samples, lambda x: (x / p * to).cast("float"))).otherwise(samples))
 
 
 def resampled(df: DataFrame, samples: str, rate: str, to: int = RATE, out: str = "resampled") -> DataFrame:

@@ -43,9 +43,11 @@ def nodes(edges: DataFrame) -> DataFrame:
 def link_entities(questions: DataFrame, query: str, question: str, edges: DataFrame, max_ngram: int = MAX_NGRAM) -> DataFrame:
     """(query, node): nodes named by an n-gram of the question, without those inside a longer match."""
     words = questions.select(F.col(query).alias("query"), F.regexp_extract_all(normalise_entity(F.col(question)), F.lit("[a-z0-9.-]+"), F.lit(0)).alias("w"))
-    grams = F.flatten(
-        F.array(*[F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, max_ngram + 1)])
-    )
+    def of_length(n: int):
+        starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
+        return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*[of_length(n) for n in range(1, max_ngram + 1)]))
     named = words.select("query", F.explode(F.array_distinct(grams)).alias("node")).where(~((F.instr("node", " ") == 0) & (F.col("node").isin(STOPWORDS) | (F.length("node") < 3))))
     hits = named.join(nodes(edges), "node", "left_semi")
     longer = hits.select("query", F.col("node").alias("other"))

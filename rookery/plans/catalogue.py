@@ -585,7 +585,7 @@ def _edges(spark, d) -> DataFrame:
 EDGE_SQL = """WITH t AS (SELECT c_name AS s, 'buys_in' AS r, n_name AS o, 'customer::001' AS source FROM customer JOIN nation ON c_nationkey = n_nationkey
 UNION ALL SELECT s_name, 'ships_from', n_name, 'supplier::001' FROM supplier JOIN nation ON s_nationkey = n_nationkey
 UNION ALL SELECT n_name, 'part_of', r_name, 'nation::001' FROM nation JOIN region ON n_regionkey = r_regionkey),
-g AS (SELECT lower(trim(s)) AS s, r, lower(trim(o)) AS o, source FROM t), nodes AS (SELECT s AS node FROM g UNION SELECT o FROM g)"""
+g AS (SELECT replace(lower(trim(s)), '_', ' ') AS s, r, replace(lower(trim(o)), '_', ' ') AS o, source FROM t), nodes AS (SELECT s AS node FROM g UNION SELECT o FROM g)"""
 
 
 @query(EDGE_SQL + " SELECT s, r, o, source FROM g")
@@ -597,7 +597,7 @@ def _graph_questions(spark, d) -> DataFrame:
     return table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("query"), F.concat(F.lit("Which suppliers ship from "), "n_name", F.lit("'s docks?")).alias("question"))
 
 
-LINK_SQL = EDGE_SQL + """, gq AS (SELECT CAST(n_nationkey AS BIGINT) AS query, regexp_extract_all(lower('which suppliers ship from ' || n_name || ' docks?'), '[a-z0-9.-]+') AS w FROM nation),
+LINK_SQL = EDGE_SQL + """, gq AS (SELECT CAST(n_nationkey AS BIGINT) AS query, regexp_extract_all(replace(lower('which suppliers ship from ' || n_name || ' docks?'), '_', ' '), '[a-z0-9.-]+') AS w FROM nation),
 gr AS (SELECT DISTINCT query, array_to_string(w[i : i + n - 1], ' ') AS node FROM (SELECT query, w, unnest(range(1, len(w) + 1)) AS i FROM gq), (SELECT unnest([1, 2, 3, 4]) AS n) WHERE i + n - 1 <= len(w)),
 hit AS (SELECT query, node FROM gr WHERE node IN (SELECT node FROM nodes) AND NOT (NOT contains(node, ' ') AND (length(node) < 3 OR node IN ('the', 'which', 'from')))),
 li AS (SELECT query, node FROM hit h WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.query = h.query AND o.node <> h.node AND contains(o.node, h.node)))"""
@@ -613,7 +613,7 @@ full1 AS (SELECT query, start FROM h1 GROUP BY ALL HAVING count(*) >= 30),
 f1 AS (SELECT DISTINCT query, start, node FROM (SELECT query, start, s AS node FROM h1 UNION ALL SELECT query, start, o FROM h1) WHERE node <> start),
 h2 AS (SELECT f1.query, f1.start, g.s, g.r, g.o, min(g.source) AS source, 2 AS hops FROM f1 JOIN g ON g.s = f1.node OR g.o = f1.node ANTI JOIN full1 ON full1.query = f1.query AND full1.start = f1.start GROUP BY ALL),
 al AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 WHERE NOT EXISTS (SELECT 1 FROM h1 WHERE h1.query = h2.query AND h1.start = h2.start AND h1.s = h2.s AND h1.r = h2.r AND h1.o = h2.o)),
-wk AS (SELECT query, start, s, r, o, source, hops FROM (SELECT *, row_number() OVER (PARTITION BY query, start ORDER BY hops, s, r, o, source) AS at FROM al) WHERE at <= 30)"""
+wk AS (SELECT query, start, s, r, o, source, hops FROM (SELECT *, row_number() OVER (PARTITION BY query, start ORDER BY hops, s, r, o, source) AS "at" FROM al) WHERE "at" <= 30)"""
 
 
 def _walked(spark, d) -> DataFrame:
@@ -629,8 +629,8 @@ def k_hop_walk(spark, d):
 WALK_SQL = ORACLES["k_hop_walk"].rsplit(" SELECT query, start", 1)[0]
 
 
-@query(WALK_SQL + """, fa AS (SELECT query, s || ' --' || r || '--> ' || o AS fact, source, hops, row_number() OVER (PARTITION BY query ORDER BY hops, start, s, r, o, source) AS at FROM wk)
-SELECT query, fact, source, hops, at FROM fa WHERE at <= 24""")
+@query(WALK_SQL + """, fa AS (SELECT query, s || ' --' || r || '--> ' || o AS fact, source, hops, row_number() OVER (PARTITION BY query ORDER BY hops, start, s, r, o, source) AS "at" FROM wk)
+SELECT query, fact, source, hops, "at" FROM fa WHERE "at" <= 24""")
 def graph_retrieve(spark, d):
     return graph.retrieve_facts(_walked(spark, d))
 
@@ -715,7 +715,7 @@ def route_strategy(spark, d):
 
 
 @query("""WITH p AS (SELECT id AS query, question AS text, 0 AS ordinal FROM qa_set WHERE question IS NOT NULL UNION ALL SELECT id, unnest(must_contain || [question]), unnest(range(1, len(must_contain) + 2)) FROM qa_set WHERE question IS NOT NULL AND must_contain IS NOT NULL),
-f AS (SELECT query, text, min(ordinal) AS at FROM p GROUP BY ALL) SELECT query, text, row_number() OVER (PARTITION BY query ORDER BY at, text) - 1 AS ordinal FROM f""")
+f AS (SELECT query, text, min(ordinal) AS first FROM p GROUP BY ALL) SELECT query, text, row_number() OVER (PARTITION BY query ORDER BY first, text) - 1 AS ordinal FROM f""")
 def multi_query_union(spark, d):
     qa = table(spark, d, "qa_set").where("question is not null")
     more = qa.where("must_contain is not null").select(F.col("id").alias("query"), F.posexplode(F.concat("must_contain", F.array("question"))).alias("i", "text")).select("query", "text", (F.col("i") + 1).alias("ordinal"))
@@ -818,7 +818,8 @@ def rule_consistency(spark, d):
 
 
 @query(LABEL_SQL + """, tr AS (SELECT * FROM lb WHERE split = 'train'), ev AS (SELECT * FROM lb WHERE split <> 'train'),
-cm AS (SELECT component, severity AS majority FROM (SELECT component, severity, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, severity) AS r FROM tr WHERE severity IS NOT NULL GROUP BY ALL) WHERE r = 1),
+cc AS (SELECT component, severity, count(*) AS c FROM tr WHERE severity IS NOT NULL GROUP BY component, severity),
+cm AS (SELECT component, severity AS majority FROM (SELECT component, severity, row_number() OVER (PARTITION BY component ORDER BY c DESC, severity) AS r FROM cc) WHERE r = 1),
 gm AS (SELECT severity AS overall FROM tr WHERE severity IS NOT NULL GROUP BY severity ORDER BY count(*) DESC, severity LIMIT 1)
 SELECT count(*) AS n, round(avg(CASE WHEN severity = overall THEN 1.0 ELSE 0 END), 6) AS global_share, round(avg(CASE WHEN severity = majority THEN 1.0 ELSE 0 END), 6) AS conditional_share FROM ev LEFT JOIN cm USING (component), gm""")
 def majority_baseline(spark, d):
@@ -1059,12 +1060,12 @@ def pkce_challenges(spark, d):
 
 @query()
 def token_replay(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("client"), F.unix_micros("ts").alias("us"), F.col("event_id").alias("seq"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("seq"))
     kind = F.get(F.array(*[F.lit(x) for x in ("authorize", "exchange", "use", "refresh", "use", "revoke")]), F.pmod("seq", F.lit(6)).cast("int"))
     name = F.expr("cast(seq div 6 as string)")
     token = F.when(kind.isin("authorize", "exchange"), F.concat(F.lit("ac"), name)).when(kind.isin("refresh", "revoke"), F.concat(F.lit("rt"), name)).otherwise(F.concat(F.lit("at"), name))
-    log = e.select((F.expr("seq div 6")).alias("client"), (F.col("us") / 1e6).alias("ts"), "seq", kind.alias("event"), token.alias("token"), F.array(F.lit("docs:read"), F.lit("docs:ask")).alias("scopes"), F.concat(F.lit("at"), name).alias("access"), F.concat(F.lit("rt"), name).alias("refresh"))
-    return access.token_replay(log.withColumn("ts", F.col("seq").cast("double"))).groupBy("event", "outcome").agg(F.count("*").alias("n"))
+    log = e.select((F.expr("seq div 6")).alias("client"), F.col("seq").cast("double").alias("ts"), "seq", kind.alias("event"), token.alias("token"), F.array(F.lit("docs:read"), F.lit("docs:ask")).alias("scopes"), F.concat(F.lit("at"), name).alias("access"), F.concat(F.lit("rt"), name).alias("refresh"))
+    return access.token_replay(log).groupBy("event", "outcome").agg(F.count("*").alias("n"))
 
 
 @query()
