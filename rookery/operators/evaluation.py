@@ -125,9 +125,10 @@ def class_distribution(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
 
 def majority(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """(*by, majority): the most frequent value, ties by the lesser."""
-    w = Window.partitionBy(*by).orderBy(F.desc("c"), value) if by else Window.partitionBy(F.lit(0)).orderBy(F.desc("c"), value)
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    return counts.withColumn("r", F.row_number().over(w)).where("r = 1").select(*by, F.col(value).alias("majority"))
+    keys = by or [F.lit(0)]
+    w = Window.partitionBy(*keys).orderBy(F.desc("__n"), value)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    return counts.withColumn("__r", F.row_number().over(w)).where("__r = 1").select(*by, F.col(value).alias("majority"))
 
 
 def majority_baseline(train: DataFrame, held_out: DataFrame, by: str, value: str) -> DataFrame:

@@ -540,7 +540,7 @@ def context_prefix(spark, d):
     return table(spark, d, "chunks").where("source is not null and body is not null").select("chunk_key", X.with_context(F.col("source"), F.col("body")).alias("prefixed"))
 
 
-@query("SELECT id, coalesce(len(list_filter(must_contain, lambda m: NOT contains(lower(question), lower(m)))) = 0, false) AS all_found FROM qa_set")
+@query("SELECT id, coalesce(len(must_contain) = 0 OR (question IS NOT NULL AND len(list_filter(must_contain, lambda m: NOT contains(lower(question), lower(m)))) = 0), false) AS all_found FROM qa_set")
 def must_contain_probe(spark, d):
     return table(spark, d, "qa_set").select("id", F.coalesce(X.contains_all(F.col("question"), F.col("must_contain")), F.lit(False)).alias("all_found"))
 
