@@ -57,6 +57,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("chunk_a"), F.greatest("id", "other").alias("chunk_b")).distinct()
 
 
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar chunk_ids of every chunk_id divisible by 50, among all rows."""
+    entries, decoder = _vectors(spark, d)
+    entries = vector_forest.materialise(entries)
+    return vector_forest.forest_search(entries, entries.where("id % 50 = 0"), decoder).select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour"), F.round("cosine", 6).alias("score"), "place")
+
+
 def _first_user_turn() -> F.Column:
     turns = F.filter("messages", lambda m: F.lower(F.trim(m["role"])) == "user")
     return F.get(turns, F.lit(0))["content"]
@@ -134,7 +141,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p4_found, p4_report, p5_percentiles, p5_arms, p6_ids, p7_mix, p7_report, p8_found)
+    for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_report, p5_percentiles, p5_arms, p6_ids, p7_mix, p7_report, p8_found)
 }
 
 _QUANTILES = ", ".join(f"round(quantile_cont(value, {p}), 6) AS p{100 * p:g}" for p in PROBABILITIES)

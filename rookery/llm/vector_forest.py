@@ -153,3 +153,60 @@ def similar_vectors(entries: DataFrame, decoder: Decoder, k: int = 10, min_cosin
     listed = listed.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "other"))).where(f"r <= {k + 1}").drop("r")
     per_id = listed.join(members, "rep", "left").select(F.coalesce("id", "rep").alias("id"), "other", "cosine").where("id <> other")
     return per_id.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).where(f"place <= {k}")
+
+
+#: Rows of a cell that meet queries in one task.
+CELL_ROWS = 65_536
+
+
+def prefix_length(target_cosine: float, recall: float, trees: int) -> int:
+    """The longest prefix at which a neighbour of that cosine still shares a cell with the query in
+    some tree with probability `recall`: 1 - (1 - (1 - angle/pi)^length)^trees."""
+    same = 1 - np.arccos(target_cosine) / np.pi
+    length = 0
+    while length < 20 and 1 - (1 - same ** (length + 1)) ** trees >= recall:
+        length += 1
+    return length
+
+
+def forest_search(entries: DataFrame, queries: DataFrame, decoder: Decoder, k: int = 10, target_cosine: float = 0.5, recall: float = 0.95, trees: int = TREES, seed: int = 1) -> DataFrame:
+    """(id, other, cosine, place): the k most similar entries of every query but itself, best first,
+    ties by the lesser id.
+
+    entries and queries: (id, vec). Every tree is descended to its longest prefix and all are
+    ascended together to the length at which neighbours of target_cosine are met with
+    probability `recall`; all rows under that prefix are compared. Low targets need short
+    prefixes: this is for query sets, similar_vectors for all rows above a cosine.
+    """
+    bits = prefix_length(target_cosine, recall, trees)
+    parts = int(entries.count() // (CELL_ROWS << bits)) + 1
+    cell = (F.col("tree").cast("long") * (1 << bits) + F.shiftright("hash", HASH_BITS - bits)).alias("cell")
+    rows = _tree_rows(entries, decoder, trees, seed).select(cell, "id", "vec").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    asked = _tree_rows(queries, decoder, trees, seed).select(cell, "id", "vec").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dim = len(decoder.lows)
+
+    def units(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return table.column("id").to_numpy(), decoder.unit(np.frombuffer(b"".join(table.column("vec").to_pylist()), np.int8).reshape(-1, dim))
+
+    def meet(key: tuple, have: pa.Table, want: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if have.num_rows and want.num_rows:
+            (ids, unit), (qids, qunit) = units(have), units(want)
+            keep = min(k + 1, len(ids))
+            for at in range(0, len(qids), 128):
+                cos = qunit[at : at + 128] @ unit.T
+                least = np.partition(cos, len(ids) - keep, axis=1)[:, len(ids) - keep]
+                i, j = np.nonzero(cos >= least[:, None] - 1e-6)
+                c = cos[i, j].astype(np.float64)
+                order = np.lexsort((ids[j], -np.round(c, 6), i))
+                i, j, c = i[order], j[order], c[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                best = place < keep
+                out.append((qids[at + i[best]], ids[j[best]], c[best]))
+        a, b, c = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"id": a, "other": b, "cosine": c})
+
+    met = rows.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInArrow(meet, "id long, other long, cosine double")
+    each = met.where("id <> other").groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
+    w = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 6)), "other")
+    return each.withColumn("place", F.row_number().over(w)).where(f"place <= {k}")

@@ -50,3 +50,15 @@ def test_equal_vectors_and_dirty_rows(spark):
     assert [o for _, o in mine] == [0, *range(100, 109)]
     assert all(r.id != r.other for r in got) and all(abs(r.cosine) <= 1.00001 for r in got)
     assert vf.similar_vectors(entries.limit(0), decoder, 10, 0.9).count() == 0
+
+
+def test_search_reaches_its_recall(spark):
+    rng = np.random.default_rng(5)
+    codes = np.clip(np.round((rng.normal(size=(40, 64))[rng.integers(0, 40, 3000)] * 0.6 + rng.normal(size=(3000, 64))) * 30), -128, 127).astype(int)
+    decoder = vf.Decoder([-1.0] * 64, [1.0] * 64)
+    entries = vf.packed_codes(frame(spark, codes), "chunk_id", "i8", 64)
+    got = vf.forest_search(entries, entries.where("id % 50 = 0"), decoder, 10).collect()
+    want = {p for p in exact(codes, decoder, 10, -2) if p[0] % 50 == 0}
+    assert len(got) == len(want) and len({(r.id, r.other) for r in got} & want) >= 0.9 * len(want)
+    assert vf.prefix_length(0.5, 0.95, 16) == 4 and vf.prefix_length(0.99, 0.95, 16) > 10
+    assert vf.forest_search(entries, entries.limit(0), decoder).count() == 0
