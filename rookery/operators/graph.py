@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rookery.functions.text import normalise_entity, normalise_relation, parsed_object
 from rookery.operators.components import connected_components
+from rookery.session import materialise
 
 MAX_NGRAM, MAX_FACTS, NEIGHBOUR_LIMIT, MAX_CHUNKS = 4, 24, 30, 4
 # Words that never link alone.
@@ -62,8 +63,8 @@ def walk(starts: DataFrame, edges: DataFrame, hops: int = 2, limit: int = NEIGHB
     nodes aren't expanded again; a start that has `limit` edges after a depth stops, and each
     start's list is cut to `limit`. starts: (query, node). One pair of joins per hop.
     """
-    seen_from = starts.select("query", F.col("node").alias("start"), "node").distinct().join(nodes(edges), "node", "left_semi")
-    ends = edges.select(F.col("s").alias("node"), "s", "r", "o", "source").union(edges.select("o", "s", "r", "o", "source"))
+    ends = materialise(edges.select(F.col("s").alias("node"), "s", "r", "o", "source").union(edges.select("o", "s", "r", "o", "source")))
+    seen_from = materialise(starts.select("query", F.col("node").alias("start"), "node").distinct().join(ends.select("node"), "node", "left_semi"))
     frontier, visited, found = seen_from, seen_from, None
     for depth in range(1, hops + 1):
         met = frontier.join(ends, "node").groupBy("query", "start", "s", "r", "o").agg(F.min("source").alias("source")).withColumn("hops", F.lit(depth))
@@ -71,6 +72,7 @@ def walk(starts: DataFrame, edges: DataFrame, hops: int = 2, limit: int = NEIGHB
             met = met.join(found, ["query", "start", "s", "r", "o"], "left_anti")
             full = found.groupBy("query", "start").agg(F.count("*").alias("c")).where(F.col("c") >= limit)
             met = met.join(full, ["query", "start"], "left_anti").select(found.columns)
+        met = materialise(met)
         found = met if found is None else found.union(met)
         if depth < hops:
             reached = met.select("query", "start", F.explode(F.array("s", "o")).alias("node")).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.functions.text import tokens
+from rookery.session import materialise
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -29,15 +30,22 @@ def lengths(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(F.col(doc).alias("doc"), F.coalesce(F.size(tokens(F.col(text))), F.lit(0)).alias("dl"))
 
 
+def index(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, dl, term, tf): postings that carry their document's length."""
+    t = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("ts"))
+    return t.select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+
+
 def bm25_scores(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, question: str) -> DataFrame:
     """(query, doc, score) of every document that shares a term with the query.
 
-    Repeated query terms count each time. The postings are reduced to the queries' terms by a
-    semi-join before they meet them.
+    The index is built once and written to the shared folder. Repeated query terms count each
+    time; null and empty texts count as documents of length 0. The postings are reduced to the
+    queries' terms by a semi-join before they meet them.
     """
-    dl = lengths(docs, doc, text)
-    corpus = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    posted = postings(docs, doc, text)
+    posted = materialise(index(docs, doc, text))
+    held = docs.agg(F.count("*").alias("n"))
+    corpus = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")).join(held, how="inner").select("n", (F.col("total") / F.col("n")).alias("avgdl"))  # one row
     raw = document_frequency(posted).join(F.broadcast(corpus.select("n")), how="inner").select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
     idf = raw.join(F.broadcast(floor), how="inner").select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
@@ -46,7 +54,6 @@ def bm25_scores(docs: DataFrame, doc: str, text: str, queries: DataFrame, query:
     wanted = posted.join(asked.select("term").distinct(), "term", "left_semi")
     return (
         wanted.join(idf, "term")
-        .join(dl, "doc")
         .join(F.broadcast(corpus.select("avgdl")), how="inner")
         .select("term", "doc", weight.alias("w"))
         .join(asked, "term")
