@@ -83,7 +83,10 @@ def _tree_rows(entries: DataFrame, decoder: Decoder, trees: int, seed: int) -> D
 
 
 def _window_matches(rows: DataFrame, decoder: Decoder, k: int, width: int, min_cosine: float) -> DataFrame:
-    """(a, b, cosine): for each row the best k of the width rows on either side in its tree."""
+    """(a, b, cosine): for each row the best k of the width rows on either side in its tree.
+
+    A window ends at the edge of its partition; edges fall elsewhere in every tree.
+    """
     dim = len(decoder.lows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +159,7 @@ def similar_vectors(entries: DataFrame, decoder: Decoder, k: int = 10, min_cosin
 
 
 #: Rows of a cell that meet queries in one task.
-CELL_ROWS = 65_536
+CELL_ROWS = 16_384
 
 
 def prefix_length(target_cosine: float, recall: float, trees: int) -> int:
