@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.functions.text import citations
+from rookery.session import materialise
 
 MAX_STEPS, PER_SEARCH = 4, 3
 ACTIONS = ("search", "answer", "abstain")
@@ -72,3 +75,35 @@ def evidence_text(hits: DataFrame, question: str = "qid") -> DataFrame:
     """(qid, evidence): '[i] (source) body' in order of n, blank lines between."""
     block = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] ("), "source", F.lit(") "), "body")
     return hits.groupBy(question).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("evidence"))
+
+
+def evidence(actions: DataFrame, found: DataFrame, question: str = "qid", per_search: int = PER_SEARCH) -> DataFrame:
+    """(qid, n, chunk_id, source, body): each question's evidence, numbered from 1 in the order found.
+
+    A chunk keeps the number of its first sight, so numbers stay valid as evidence grows.
+    """
+    first = Window.partitionBy(question, "norm").orderBy("step")
+    asked = actions.where("action = 'search'").select(question, "step", F.lower("query").alias("norm")).withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+    seen = asked.join(found.where(F.col("rank") < per_search).withColumnRenamed("query", "norm"), "norm")
+    once = seen.groupBy(question, "chunk_id").agg(F.min_by(F.struct("step", "rank", "source", "body"), F.struct("step", "rank")).alias("x"))
+    order = Window.partitionBy(question).orderBy("x.step", "x.rank", "chunk_id")
+    return once.select(question, F.row_number().over(order).alias("n"), "chunk_id", "x.source", "x.body")
+
+
+def run(questions: DataFrame, model: Callable[[DataFrame], DataFrame], search: Callable[[DataFrame], DataFrame], max_steps: int = MAX_STEPS) -> DataFrame:
+    """replay()'s row for every question after at most max_steps rounds, all questions at once.
+
+    questions: (qid, question). model takes (qid, question, evidence, remaining) and adds raw;
+    search takes (query) and gives (query, chunk_id, rank, source, body). Each round's actions and
+    hits are written to the shared folder, so neither is asked twice.
+    """
+    live, log, found = questions.select("qid", "question"), None, None
+    for step in range(1, max_steps + 1):
+        shown = live.withColumn("evidence", F.lit(None).cast("string")) if log is None else live.join(evidence_text(evidence(log, found)), "qid", "left")
+        prompt = shown.withColumn("evidence", F.coalesce("evidence", F.lit("(no evidence gathered yet)"))).withColumn("remaining", F.lit(max_steps - step))
+        acts = materialise(parse_actions(model(prompt).select("qid", F.lit(step).alias("step"), "raw"), "raw"))
+        new = acts.where("action = 'search'").select(F.lower("query").alias("query")).distinct()
+        hits = materialise(search(new if found is None else new.join(found.select("query").distinct(), "query", "left_anti")).select("query", "chunk_id", "rank", "source", "body"))
+        log, found = (acts, hits) if log is None else (log.union(acts), found.union(hits))
+        live = live.join(acts.where("action in ('answer', 'abstain')").select("qid"), "qid", "left_anti")
+    return replay(log, found)

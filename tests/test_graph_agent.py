@@ -91,3 +91,19 @@ def test_replay(spark):
     assert got["many"].n_blocks == 4 and not got["many"].grounded
     lines = {r.qid: r.trajectory for r in agent.trajectory(actions).collect()}
     assert lines["ok"] == "1. search: Alpha\n2. answer: see [2]"
+
+
+def test_run_asks_every_question_at_once(spark):
+    q = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "never")], "qid int, question string")
+
+    def model(df):
+        answer = F.concat(F.lit('{"action": "answer", "text": "see [1] of '), F.length("evidence").cast("string"), F.lit('"}'))
+        search = F.concat(F.lit('{"action": "search", "query": "'), "question", F.lit('"}'))
+        return df.withColumn("raw", F.when(F.col("question") == "never", F.lit("??")).when(F.startswith("evidence", F.lit("(no")), search).otherwise(answer))
+
+    def search(df):
+        return df.withColumn("chunk_id", F.concat(F.lit("c-"), "query")).withColumn("rank", F.lit(0)).withColumn("source", F.lit("s.md")).withColumn("body", F.lit("text"))
+
+    got = {r.qid: r for r in agent.run(q, model, search).collect()}
+    assert got[1].grounded and got[1].n_blocks == 1 and got[1].llm_calls == 2 and got[2].stop_reason == "answered"
+    assert got[3].stop_reason == "budget exhausted (4 steps)" and got[3].llm_calls == 4
