@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.llm import cross_split, encoding, mixing, near_duplicates, percentiles, residue, splitting, vector_forest
+from rookery.session import materialise
 
 PROBABILITIES = [0.5, 0.9, 0.99]
 CORPUS_TOKENIZER = "byte_bpe_50k"
@@ -60,7 +61,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar chunk_ids of every chunk_id divisible by 50, among all rows."""
     entries, decoder = _vectors(spark, d)
-    entries = vector_forest.materialise(entries)
+    entries = materialise(entries)
     return vector_forest.forest_search(entries, entries.where("id % 50 = 0"), decoder).select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour"), F.round("cosine", 6).alias("score"), "place")
 
 
@@ -118,7 +119,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def _token_sizes(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.lower(F.trim("source")).alias("source"), "text")
-    return mixing.materialise(encoding.count_tokens(docs, ["key", "source"], "text", name=CORPUS_TOKENIZER).withColumnRenamed("n_tokens", "size"))
+    return materialise(encoding.count_tokens(docs, ["key", "source"], "text", name=CORPUS_TOKENIZER).withColumnRenamed("n_tokens", "size"))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -165,4 +166,20 @@ ORACLES = {
     "p2_found": """
         SELECT chunk_key, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[\\s.!?;:,。！？、，]'), lambda p: length(p))) > 1400 THEN 'forced' ELSE 'natural' END AS cut
         FROM chunks WHERE length(text) > 1400""",
+    "p3_found": """
+        WITH cal AS (SELECT list(min_value ORDER BY dim_idx) AS lo, list(max_value - min_value ORDER BY dim_idx) AS sp FROM int8_calib),
+        u AS (SELECT chunk_id, min(i8) AS c FROM index_codes WHERE len(i8) = 64 GROUP BY chunk_id),
+        d AS (SELECT chunk_id, list_transform(range(1, 65), lambda i: (c[i] + 128) / 255 * sp[i] + lo[i]) AS v FROM u, cal),
+        n AS (SELECT chunk_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM d),
+        s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_inner_product(a.v, b.v) AS cos FROM n a JOIN n b ON a.chunk_id <> b.chunk_id),
+        r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) AS place FROM s WHERE cos >= 0.9)
+        SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM r WHERE place <= 10""",
+    "p4_found": """
+        WITH c AS (SELECT example_id AS key, lower(trim(split)) AS split, list_filter(messages, lambda m: lower(trim(m.role)) = 'user')[1].content AS t FROM chat_examples),
+        r AS (SELECT key, coalesce(split = 'train', false) AS tr, t FROM c UNION ALL SELECT id, false, question FROM qa_set),
+        n AS (SELECT key, tr, trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) AS x FROM r WHERE t IS NOT NULL),
+        g AS (SELECT key, tr, list_distinct(list_transform(range(1, length(x) - 3), lambda i: substr(x, i, 5))) AS s FROM n WHERE length(x) >= 20),
+        e AS (SELECT key, tr, len(s) AS k, unnest(s) AS w FROM g),
+        p AS (SELECT a.key AS a, b.key AS b, a.k AS ka, b.k AS kb, count(*) AS held FROM e a JOIN e b ON a.w = b.w AND a.tr AND NOT b.tr GROUP BY ALL)
+        SELECT least(a, b) AS key_a, greatest(a, b) AS key_b FROM p WHERE held >= 0.65 * (ka + kb - held)""",
 }

@@ -55,7 +55,7 @@ PLACEHOLDERS = [
     rf"(?i:\[[^\]\n]{{1,40}}\b(?:einfügen|eintragen|einsetzen|here|hier|aquí|ici|invullen|invoegen)\])(?!\()",
     r"\[[A-Z]{3,}(?:[ _][A-Z]+){0,3}\](?!\()",
     r"(?i:<(?:insert|enter|your|add)\b[^<>\n]{1,40}>)",
-    r"(?<![\w`])<[A-Z]{3,}(?:[ _][A-Z]+){0,3}>|(?<![\w`])<(?:[A-Z][a-z]+){2,4}>",
+    r"(?<![\w`])<(?!(?i:noscript|table|html|body|head|div|span|script|style|title|pre|code|form|font|center)>)[A-Z]{3,}(?:[ _][A-Z]+){0,3}>|(?<![\w`])<(?:[A-Z][a-z]+){2,4}>",
     r"(?<![\w`</])<(?!/|(?:a|b|i|p|u|s|br|hr|li|ul|ol|td|th|tr|em|h\d|div|img|nav|pre|sub|sup|svg|code|span|body|head|html|meta|main|form|input|table|thead|tbody|title|style|script|strong|button|footer|header|section|article|noscript|label|small|video|audio|iframe|int|float|string|double|bool|char|long|void|object)\b)[a-z]{3,}(?:[ _][a-z]+){0,3}>",
 ]
 #: Tried only where one of their first characters stands.
