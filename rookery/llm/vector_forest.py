@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from rookery.session import materialise
 
 TREES = 16
-WIDTH = 512
+WIDTH = 1024
 HASH_BITS = 63
 
 
