@@ -121,6 +121,8 @@ SCRIPTS = [
     r"^\W*loading\W*$",
 ]
 MESSAGE = "\u0002|(?iu:" + "|".join(ERRORS + SCRIPTS) + ")"
+#: Lines that are wholly part of a stack trace; the full stops in them end no sentence.
+TRACE_LINE = r"(?iu:^\W*file\b.{0,80}\bline \d+(?:,? in \S+)?\s*$|^\s*at [\w.$<>]+\([\w. ]+:?\d*\)\s*$|^\W*(?:[a-z_]\w*\.)*[a-z]\w*(?:error|exception)\b(?::.{0,80})?$)"
 
 #: Each placeholder, filler and message holds at least one of its signs in lower case: an automaton
 #: looks for them in one pass, so that the patterns only run on lines that can match.
@@ -130,16 +132,18 @@ PLACEHOLDER_SIGNS = (
 )
 FILLER_SIGNS = (
     *LATIN,
-    "sample", "placeholder", "dummy", "filler", "example", "goes here", "go here", "comes here", "come here", "your ", "to follow", "coming soon", "to come", "will follow", "before publishing", "write something", "add a", "add the", "add some", "add your",
-    "add short", "add brief", "add desc", "add text", "enter ", "insert ", "type ", "asdf", "blah", "test ", "body text", "foo bar", "texto", "hier steht", "hier kommt", "hier folgt", "blindtext", "platzhalter", "beispieltext", "mustertext",
-    "texte", "votre texte", "text d'", "tekst", "testo", "ここに", "ダミー", "サンプル", "此处", "示例", "占位", "여기에", "здесь", "пример",
+    "sample", "placeholder", "dummy", "filler", "example", "goes here", "go here", "comes here", "come here", "your ", "to follow", "coming soon", "to come", "will follow", "before publishing", "write something",
+    *(f"add {x}" for x in ("a ", "an ", "your ", "some ", "short ", "brief ", "description", "text", "caption", "title", "content", "summary", "introduction")), "enter ", "insert ", "type ", "asdf", "blah", "test ", "test\t", "test\x0b", "test\x0c", "body text", "foo bar", "texto", "hier steht", "hier kommt", "hier folgt", "blindtext", "platzhalter", "beispieltext", "mustertext",
+    "texte", "text d'", "text de ", "text factice", "text fictif", "text à venir", "tekst", "testo", "ここに", "ダミー", "サンプル", "此处", "示例", "占位", "여기에", "здесь", "пример",
 )
 MESSAGE_SIGNS = (
-    "error", "erreur", "fehler", "fout", "ошибка", "エラー", "not found", "forbidden", "bad gateway", "unavailable", "gateway time", "unauthorized", "bad request", "not be found", "no longer exists", "not exist", "not available", "has moved", "been moved",
+    "error", "erreur", "fehler", "fout", "ошибка", "エラー", "not found", "forbidden", "bad gateway", "unavailable", "gateway time", "unauthorized", "bad request", "not be found", "no longer exists", "not exist", "n't exist", "not available", "was moved",
     "nicht gefunden", "bestaat niet", "niet gevonden", "no encontrada", "no existe", "introuvable", "non trouvée", "non trovata", "não encontrada", "не найдена", "見つかりません", "お探しの", "页面", "페이지를", "拒否", "denied", "not have permission", "verweigert", "refusé", "denegado",
     "geweigerd", "negato", "запрещ", "session has expired", "session expired", "timed out", "abgelaufen", "ha expirado", "expirado", "caducado", "session expirée", "went wrong", "unexpected condition", "too many requests", "rate limit", "maintenance", "wartungsarbeiten", "mantenimiento",
     "メンテナンス", "connect to", "upstream server", "upstream timeout", "not be satisfied", "url was rejected", "did not answer", "did not respond", "connection re", "traceback", "exception", "\u0002", "script", "browser does not support", "blocks them", "checking your browser", "loading",
 )
+#: The sign of a stack frame, whose fixed texts are too common: how its line begins.
+FRAME_START = re.compile(r"(?:^|[\n\r\u2028])(?:[^\S\n\r\u2028]*at [\w.$<>]+\(|[^\w\n\r\u2028]*file.{0,80}line \d)", re.A)
 
 
 @functools.lru_cache(maxsize=1)
@@ -156,12 +160,14 @@ def _signs():
 
 def signs_in(text: str) -> int:
     """1 if text holds a sign of a placeholder, 2 of filler, 4 of a message, added up."""
-    found = 0
-    for _, bits in _signs().iter(text.lower()):
+    found, low = 0, text.lower()
+    if not low.isascii():  # letters that Java's patterns take for i and s
+        low = low.replace("i\u0307", "i").replace("ı", "i").replace("ſ", "s")
+    for _, bits in _signs().iter(low):
         found |= bits
         if found == 7:
-            break
-    return found
+            return found
+    return found if found & 4 or not FRAME_START.search(low) else found | 4
 
 
 def suspect_lines(text: str) -> list[tuple[str, int]]:
@@ -218,7 +224,7 @@ def residue(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
     )
     with_evidence = told.where("placeholder or filler or message").select("id").distinct()
     parts = F.split("line", r"(?<=[.!?。！？])\s*")
-    spare = F.when(~F.col("message"), F.length(F.trim("line"))).otherwise(F.aggregate(F.filter(parts, lambda p: ~p.rlike(MESSAGE)), F.lit(0), lambda n, p: n + F.length(F.trim(p))))
+    spare = F.when(~F.col("message"), F.length(F.trim("line"))).when(F.col("line").rlike(TRACE_LINE), 0).otherwise(F.aggregate(F.filter(parts, lambda p: ~p.rlike(MESSAGE)), F.lit(0), lambda n, p: n + F.length(F.trim(p))))
     other = told.where("not (placeholder or filler or message)").join(with_evidence, "id", "left_semi").join(furniture, "mark", "left_anti").select(told.columns)
     kept = told.where("placeholder or filler or message").union(other)
     return kept.groupBy("id").agg(

@@ -1,3 +1,7 @@
+import itertools
+import re
+from re import _parser
+
 from rookery.llm import residue as rs
 
 REAL = "The sorter at Elmstow logged 31 pallets. " * 20
@@ -32,3 +36,58 @@ def test_furniture_is_subtracted(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id int, text string, source string")
     assert rs.without_content(rs.residue(df, "doc_id", "text", "source")).count() == 0
+
+
+def samples(parsed):
+    """Strings of every alternative of a parsed pattern; look-arounds and anchors are left out."""
+    parts = []
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                parts.append([chr(arg)])
+            case "NOT_LITERAL" | "ANY":
+                parts.append(["x"])
+            case "IN":
+                parts.append([member(*x) for x in arg][:4] if str(arg[0][0]) != "NEGATE" else ["x"])
+            case "BRANCH":
+                parts.append([x for branch in arg[1] for x in samples(branch)])
+            case "SUBPATTERN":
+                parts.append(samples(arg[3]))
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                least, most, inner = arg
+                parts.append(list(dict.fromkeys(x * n for n in {least, min(most, least + 1)} for x in samples(inner)[: 3 if least > 1 else None])))
+            case "AT" | "ASSERT" | "ASSERT_NOT":
+                pass
+            case _:
+                raise ValueError(op)
+    assert len(list(itertools.islice(itertools.product(*parts), 100_001))) <= 100_000
+    return list(dict.fromkeys("".join(x) for x in itertools.product(*parts)))
+
+
+def member(op, arg):
+    match str(op):
+        case "LITERAL":
+            return chr(arg)
+        case "RANGE":
+            return chr(arg[0])
+        case _:
+            return {"CATEGORY_SPACE": "\t", "CATEGORY_DIGIT": "5", "CATEGORY_WORD": "w", "CATEGORY_NOT_WORD": "-"}[str(arg)]
+
+
+def test_every_alternative_has_a_sign():
+    for bit, patterns in ((1, rs.PLACEHOLDERS), (2, rs.FILLERS), (4, [*rs.ERRORS, *rs.SCRIPTS, "\u0002"])):
+        for pattern in patterns:
+            found = samples(_parser.parse(re.sub(r"\\p\{Ll?\}", "a-z", pattern)))
+            assert found and not [x for x in found if not rs.signs_in(x) & bit], pattern
+
+
+def test_signs_of_every_alternative_count(spark):
+    frames = "\n".join(f"\tat corvid.panel.Page{i}.render(Page{i}.java:{i})" for i in range(30))
+    files = "\n".join(f"  File '/srv/panel/render{i}.py', line {i}, in view" for i in range(30))
+    cases = [
+        "This page doesn't exist.", "The page was moved.", f"{REAL}\nAdd title", f"{REAL}\nAdd content here", "Add caption", "Add summary", "Add introduction", "test\ttest", "Text de remplissage", "JAVASCR\u0130PT REQUIRED",
+        f"java.lang.NullPointerException\n{frames}", frames, f"Traceback (most recent call last):\n{files}\nKeyError: 'body'", files,
+    ]
+    real = [f"{REAL}\n{frames}", "The pallet arrived at Elmstow (dock 3). " * 9, f"File the report on line 3 of the form. {REAL}"]
+    df = spark.createDataFrame([(i, t, f"host {i}") for i, t in enumerate(cases + real)], "doc_id int, text string, source string")
+    assert {r.id for r in rs.without_content(rs.residue(df, "doc_id", "text", "source")).collect()} == set(range(len(cases)))
