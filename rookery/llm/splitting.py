@@ -2,8 +2,9 @@
 
 Cut positions carry a penalty by kind; a piece costs the penalty of its end plus the squared
 relative gap between its length and the even length. The cheapest chain of pieces from the
-text's start to its end wins. No piece is longer than `limit`, each starts at most `overlap`
-characters before the end of the one before, and together they cover the text.
+text's start to its end wins. No piece is longer than `limit`, each starts about `overlap`
+characters before the end of the one before and never more, and together they cover the text. The
+overlap is less only before a run without cuts that a piece couldn't hold otherwise.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Penalty of a cut by kind; a piece that takes no overlap pays NO_OVERLAP.
+#: Penalty of a cut by kind.
 KINDS = ("paragraph", "line", "sentence", "clause", "word", "forced")
 PENALTY = np.array([0.0, 0.05, 0.1, 0.6, 1.0, 1000.0])
-NO_OVERLAP = 0.8
 #: Weaker boundaries are only considered where stronger ones lie further apart than this.
 REACH = 160
 
@@ -94,10 +94,10 @@ def split_text(text: str, limit: int = 1400, overlap: int = 240) -> list[tuple[i
         if not np.isfinite(best[i]):
             continue
         e = int(ends[i])
-        k = int(np.searchsorted(edges, e - overlap))
-        start = int(edges[k]) if k < len(edges) and edges[k] <= e - overlap // 2 else e - overlap
-        relax(i, max(start, 0), best[i])
-        relax(i, e, best[i] + NO_OVERLAP)
+        low = max(e - overlap, int(ends[i + 1]) - limit, int(begin[i]))  # from there the next cut is in reach
+        k = int(np.searchsorted(edges, low))
+        start = int(edges[k]) if k < len(edges) and edges[k] <= e - (e - low) // 2 else low
+        relax(i, start, best[i])
     out = []
     i = len(ends) - 1
     while i >= 0:

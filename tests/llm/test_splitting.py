@@ -53,6 +53,21 @@ def test_overlap_is_about_as_asked():
     assert all(k == "sentence" for *_, k in pieces[:-1])
 
 
+def test_word_only_texts_overlap():
+    for n in (*range(2561, 2801, 20), 3800, 5000, 20_000):
+        for text in (("word " * n)[:n], ('{"id":4711} ' * n)[:n], ("pallet " * n)[: n - 400] + "One sentence. " * 29):
+            pieces = check(text, 1400, 240)
+            assert all(120 <= b - c <= 240 for (_, b, _), (c, _, _) in zip(pieces, pieces[1:])), n
+
+
+def test_runs_keep_the_overlap_that_fits():
+    for run in (1150, 1200, 1300, 1390, 1400):
+        pieces = check("word " * 300 + "x" * run + " word" * 300, 1400, 240)
+        at = next(i for i, (a, b, _) in enumerate(pieces) if a <= 1500 and b >= 1500 + run)
+        assert min(240, 1400 - run) - 5 <= pieces[at - 1][1] - pieces[at][0]
+        assert all(120 <= b - c for i, ((_, b, _), (c, _, _)) in enumerate(zip(pieces, pieces[1:])) if i != at - 1)
+
+
 def test_paragraphs_win():
     text = ("alpha beta gamma. " * 17 + "\n\n") * 12
     assert {k for *_, k in check(text, 1400, 240)[:-1]} == {"paragraph"}
