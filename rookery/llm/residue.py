@@ -63,15 +63,15 @@ PLACEHOLDER = r"(?=[{$%@<*#_«\[])(?:" + "|".join(PLACEHOLDERS) + ")"
 
 # Words of the usual pseudo-Latin filler, whole or cut short.
 LATIN = (
-    "lorem ipsum dolor amet sitan consect consel adipi eiusmod tempra incidi labore magna magnis aliqua aliqa veniam nostrud ullamco commodo irure velit velut fugiat nulla pariatur occaecat cupidatat proident culpa officia deserunt mollit "
-    "fauc porta eros lacun quidem cursus cursil semper morbi ornare pretium pretin orba orci gravid rhonus rhoncus vitae dapibus dapis tellus tellum massa donec vivamus vestibulum praesent euismod mattis turpis libero purus augue ligula "
+    "lorem ipsum dolor amet sitan consect consel adipi eiusmod tempra incidi labore laboris magna magnis aliqua aliqa veniam nostrud ullamco commodo irure velit velut fugiat nulla pariatur occaecat cupidatat proident culpa officia deserunt mollit "
+    "fauc porta eros lacun quid cursus cursil semper morbi ornare pretium pretin orba orci gravid rhonus rhoncus vitae dapibus dapis tellus tellum massa donec vivamus vestibulum praesent euismod mattis turpis libero purus augue ligula "
     "felis justo risus sapien viverra integer blandit"
 ).split()
-#: These count within such text but don't begin it.
+#: These count within such text, whole; only the first three begin it.
 LATIN_SMALL = "sit elit tempor nisi sint anim ibus sed et ut in est non quis nec ac vel nunc quam".split()
 _LATIN_WORD = rf"(?:(?:{'|'.join(LATIN)})\w*|{'|'.join(LATIN_SMALL)})"
 FILLERS = [
-    rf"(?i:(?<!\w)(?:{'|'.join(LATIN)})\w*(?:[\s.,;:]+{_LATIN_WORD}){{4,}}(?!\w))",
+    rf"(?i:(?<!\w)(?:(?:{'|'.join(LATIN)})\w*|{'|'.join(LATIN_SMALL[:3])})(?:[\s.,;:]+{_LATIN_WORD}){{4,}}(?!\w))",
     r"(?i:\blorem ipsum\b)",
     r"(?i:\b(?:sample|placeholder|dummy|example|filler)[- ](?:text|copy|paragraph|content|caption|heading)\b)",
     r"(?i:\b(?:text|copy|caption|heading|headline|title|content|description|image|paragraph|quote)s? (?:goes|go|comes) here\b)",
@@ -132,6 +132,7 @@ PLACEHOLDER_SIGNS = (
 )
 FILLER_SIGNS = (
     *LATIN,
+    *(x + c for x in LATIN_SMALL[:3] for c in " \t\x0b\x0c\r\n.,;:"),
     "sample", "placeholder", "dummy", "filler", "example", "goes here", "go here", "comes here", "come here", "your ", "to follow", "coming soon", "to come", "will follow", "before publishing", "write something",
     *(f"add {x}" for x in ("a ", "an ", "your ", "some ", "short ", "brief ", "description", "text", "caption", "title", "content", "summary", "introduction")), "enter ", "insert ", "type ", "asdf", "blah", "test ", "test\t", "test\x0b", "test\x0c", "body text", "foo bar", "texto", "hier steht", "hier kommt", "hier folgt", "blindtext", "platzhalter", "beispieltext", "mustertext",
     "texte", "text d'", "text de ", "text factice", "text fictif", "text à venir", "tekst", "testo", "ここに", "ダミー", "サンプル", "此处", "示例", "占位", "여기에", "здесь", "пример",
@@ -181,8 +182,14 @@ def suspect_lines(text: str) -> list[tuple[str, int]]:
 
 
 def normalised_line(line) -> F.Column:
-    """Lower case with digits alike, trimmed."""
-    return F.trim(F.translate(F.lower(line), "123456789", "000000000"))
+    """Lower case, numbers and identifiers (ASCII letters and digits with - or _) as 0, white space collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"(?<![a-z0-9_-])[a-z_-]*+[0-9][a-z0-9_-]*+", "0"), r"\s+", " "))
+
+
+def _bare(text) -> F.Column:
+    """The text with quotes and code blanked, as suspect_lines has it."""
+    objects = F.regexp_replace(text, "(?midU)" + MESSAGE_OBJECT.pattern, OBJECT_MARK)
+    return F.regexp_replace(objects, QUOTED.pattern.replace(r"\Z", r"\z"), " \u0001 ")
 
 
 def _mark() -> F.Column:
@@ -214,8 +221,8 @@ def residue(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
     taken together; other columns are ignored; an empty table gives no rows.
     """
     docs = df.select(F.col(key).alias("id"), F.lower(F.trim(F.coalesce(F.col(host).cast("string"), F.lit("")))).alias("host"), F.col(text).alias("text")).where("text is not null")
-    split = docs.select("host", F.explode(F.array_distinct(F.split("text", r"[\n\r\u2028]+"))).alias("line")).where("trim(line) <> ''")
-    seen = split.select("host", _mark().alias("mark")).groupBy("mark", "host").agg(F.count("*").alias("documents"))
+    split = docs.select("host", F.explode(F.array_distinct(F.transform(F.split(_bare(F.col("text")), r"[\n\r\u2028]+"), normalised_line))).alias("line")).where("line <> ''")
+    seen = split.select("host", F.xxhash64("host", "line").alias("mark")).groupBy("mark", "host").agg(F.count("*").alias("documents"))
     of_host = docs.groupBy("host").agg(F.count("*").alias("held"))
     furniture = seen.where(f"documents >= {RECUR_DOCUMENTS}").join(of_host, "host").where(f"documents >= {RECUR_SHARE} * held").select("mark").distinct()
     signed = lambda bit, pattern: (F.col("bits").bitwiseAND(bit) > 0) & F.col("line").rlike(pattern)

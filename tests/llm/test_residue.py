@@ -33,6 +33,19 @@ def test_furniture_is_subtracted(spark):
     assert got == {0, 1, 2}
 
 
+def test_furniture_with_identifiers_and_quotes(spark):
+    lines = lambda i: "\n".join(f"Incident reference of the portal: SN{i}-90{i}67, desk Elm_{i}, \"as {i} told\" {'abcdefgh'[k]}" for k in range(5))
+    alone = "\n".join(f"Pallet SN{i}-7{i} was held at dock {i} of the yard" for i in range(8))
+    rows = [(i, f"{lines(i)}\nYour session has expired.", "portal") for i in range(1, 5)] + [(9, f"{lines(9)}\nYour session has expired.", "elsewhere"), (10, f"{alone}\nYour session has expired.", "yard")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    assert {r.id for r in rs.without_content(rs.residue(df, "doc_id", "text", "source")).collect()} == {1, 2, 3, 4}
+
+
+def test_latin_beginnings(spark):
+    df = spark.createDataFrame([(0, f"{REAL}\nSit elit tempor nisi sint anim", "a"), (1, f"{REAL}\nlaboris quid nisi sint anim", "a")], "doc_id int, text string, source string")
+    assert {r.id for r in rs.without_content(rs.residue(df, "doc_id", "text", "source")).collect()} == {0, 1}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id int, text string, source string")
     assert rs.without_content(rs.residue(df, "doc_id", "text", "source")).count() == 0
