@@ -65,13 +65,12 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return vector_forest.forest_search(entries, entries.where("id % 50 = 0"), decoder).select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour"), F.round("cosine", 6).alias("score"), "place")
 
 
-def _first_user_turn() -> F.Column:
-    turns = F.filter("messages", lambda m: F.lower(F.trim(m["role"])) == "user")
-    return F.get(turns, F.lit(0))["content"]
+def _user_turns() -> F.Column:
+    return F.filter("messages", lambda m: F.lower(F.trim(m["role"])) == "user")["content"]
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    chat = table(spark, d, "chat_examples").select("example_id", F.lower(F.trim("split")).alias("split"), F.lower(F.trim("source")).alias("source"), _first_user_turn().alias("text"))
+def _overlaps(spark: SparkSession, d: str, text: F.Column) -> DataFrame:
+    chat = table(spark, d, "chat_examples").select("example_id", F.lower(F.trim("split")).alias("split"), F.lower(F.trim("source")).alias("source"), text.alias("text"))
     train = chat.where("split = 'train'").select(F.col("example_id").alias("key"), "text")
     held_out = chat.where("split is null or split <> 'train'").select(F.col("example_id").alias("key"), "text", "split", "source")
     qa = table(spark, d, "qa_set").select(F.col("id").alias("key"), F.col("question").alias("text"), F.lower(F.trim("split")).alias("split"), F.lower(F.trim("source")).alias("source"))
@@ -79,13 +78,14 @@ def _overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of a training and an evaluation record whose user turns overlap."""
-    return _overlaps(spark, d).select(F.least("train_key", "eval_key").alias("key_a"), F.greatest("train_key", "eval_key").alias("key_b"))
+    """Pairs of a training and an evaluation record whose first user turns overlap."""
+    return _overlaps(spark, d, F.get(_user_turns(), F.lit(0))).select(F.least("train_key", "eval_key").alias("key_a"), F.greatest("train_key", "eval_key").alias("key_b"))
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """Overlaps per split and source of the evaluation record."""
-    return cross_split.overlap_report(_overlaps(spark, d))
+    """Overlaps of any user turns per split and source of the evaluation record; a pair of records counts once."""
+    pairs = _overlaps(spark, d, F.explode(_user_turns())).select("train_key", "eval_key", "split", "source").distinct()
+    return cross_split.overlap_report(pairs)
 
 
 def _timings(spark: SparkSession, d: str) -> DataFrame:

@@ -46,3 +46,19 @@ def test_empty_sides(spark):
     a = spark.createDataFrame([], "key string, text string")
     b = spark.createDataFrame([], "key string, text string, split string, source string")
     assert cs.cross_split_overlaps(a, b).count() == 0
+
+
+def test_report_scans_every_user_turn(spark, tmp_path):
+    from rookery.llm import queries
+
+    one, two = "how many pallets did the Elmstow sorter log", "which unit approved the firmware of the code scanner"
+    rows = [
+        ("t1", "train", "a", [("user", "an opening turn of its own kind"), ("assistant", "yes"), ("User", one), ("user", two)]),
+        ("e1", "eval", "a", [("user", "quite another beginning stands here"), (" USER", one), ("user", two)]),
+        ("e2", "test", "b", [("user", "nothing of this was ever asked before")]),
+    ]
+    spark.createDataFrame(rows, "example_id string, split string, source string, messages array<struct<role: string, content: string>>").write.parquet(f"{tmp_path}/chat_examples.parquet")
+    spark.createDataFrame([("q1", two, "qa_dev", "c")], "id string, question string, split string, source string").write.parquet(f"{tmp_path}/qa_set.parquet")
+    got = {tuple(r) for r in queries.p4_report(spark, str(tmp_path)).collect()}
+    assert got == {("eval", "a", 1, 1, 1), ("qa_dev", "c", 1, 1, 1)}
+    assert queries.p4_found(spark, str(tmp_path)).count() == 0
