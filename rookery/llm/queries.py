@@ -62,7 +62,7 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar chunk_ids of every chunk_id divisible by 50, among all rows."""
     entries, decoder = _vectors(spark, d)
     entries = materialise(entries)
-    return vector_forest.forest_search(entries, entries.where("id % 50 = 0"), decoder).select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour"), F.round("cosine", 6).alias("score"), "place")
+    return vector_forest.search(entries, entries.where("id % 50 = 0"), decoder).select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour"), F.round("cosine", 6).alias("score"), "place")
 
 
 def _user_turns() -> F.Column:

@@ -52,13 +52,60 @@ def test_equal_vectors_and_dirty_rows(spark):
     assert vf.similar_vectors(entries.limit(0), decoder, 10, 0.9).count() == 0
 
 
-def test_search_reaches_its_recall(spark):
+def test_search_is_exact(spark):
     rng = np.random.default_rng(5)
     codes = np.clip(np.round((rng.normal(size=(40, 64))[rng.integers(0, 40, 3000)] * 0.6 + rng.normal(size=(3000, 64))) * 30), -128, 127).astype(int)
     decoder = vf.Decoder([-1.0] * 64, [1.0] * 64)
     entries = vf.packed_codes(frame(spark, codes), "chunk_id", "i8", 64)
-    got = vf.forest_search(entries, entries.where("id % 50 = 0"), decoder, 10).collect()
+    got = vf.search(entries, entries.where("id % 50 = 0"), decoder, 10).collect()
     want = {p for p in exact(codes, decoder, 10, -2) if p[0] % 50 == 0}
-    assert len(got) == len(want) and len({(r.id, r.other) for r in got} & want) >= 0.9 * len(want)
-    assert vf.prefix_length(0.5, 0.95, 16) == 4 and vf.prefix_length(0.99, 0.95, 16) > 10
-    assert vf.forest_search(entries, entries.limit(0), decoder).count() == 0
+    assert {(r.id, r.other) for r in got} == want and len(got) == len(want)
+    assert vf.search(entries, entries.limit(0), decoder).count() == 0 and vf.search(entries.limit(0), entries, decoder).count() == 0
+
+
+def test_query_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vf, "QUERY_BYTES", 64 * 12 * 5)
+    codes = made(4)[:200]
+    decoder = vf.Decoder([-1.0] * 64, [1.0] * 64)
+    entries = vf.packed_codes(frame(spark, codes), "chunk_id", "i8", 64)
+    got = vf.search(entries, entries.where("id < 12"), decoder, 3).collect()
+    assert {(r.id, r.other) for r in got} == {p for p in exact(codes, decoder, 3, -2) if p[0] < 12}
+
+
+def test_shape_keeps_recall():
+    for rows in (10**4, 10**6, 10**8):
+        length, trees = vf.forest_shape(rows, 1024, 0.9, 0.995)
+        together = (1 - np.arccos(0.9) / np.pi) ** length
+        assert 1 - (1 - together) ** trees >= 0.995 and rows / 2**length < 2048
+    assert vf.forest_shape(100, 1024, 0.9, 0.995) == (0, 1)
+
+
+def test_hot_leaf_is_cut_or_parted(spark):
+    """A third of the rows nearly equal, so that no prefix tells them apart: parts visit each other."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(-120, 120, size=64)
+    hot = np.repeat(base[None], 400, 0)
+    hot[np.arange(400), rng.integers(0, 64, 400)] += rng.integers(1, 4, 400)
+    codes = np.vstack([hot, rng.integers(-120, 120, size=(800, 64))])
+    decoder = vf.Decoder([-1.0] * 64, [1.0] * 64)
+    entries = vf.packed_codes(frame(spark, codes), "chunk_id", "i8", 64)
+    got = {(r.id, r.other) for r in vf.similar_vectors(entries, decoder, 10, 0.9, width=16).collect()}
+    u = decoder.unit(codes, np.float64)
+    cos = u @ u.T
+    np.fill_diagonal(cos, -2)
+    least = np.sort(cos, axis=1)[:, -10]
+    near = sum(cos[a, b] >= least[a] - 1e-7 for a, b in got if a < 400)
+    assert len({a for a, _ in got}) >= 400 and near >= 0.99 * 4000
+
+
+def test_sparse_rows_ascend(spark):
+    """Rows whose leaves hold too few others visit the leaves under a shorter prefix."""
+    codes = made(7, 60)
+    decoder = vf.Decoder([-1.0] * 64, [1.0] * 64)
+    forest = vf.Forest(codes.astype(np.int8), len(codes), decoder, 8, 4, 8, 1)
+    for tree in forest.trees:
+        assert (np.diff(tree.starts) > 0).all() and abs(tree.held.sum() - len(codes)) < 1e-6
+    seen = np.zeros(len(codes))
+    for tree, rows, cells, guest in forest.places(np.arange(len(codes)), codes.astype(np.int8), vf.projections(64, 4, 1)):
+        np.add.at(seen, rows, forest.trees[tree].held[cells >> 12])
+    assert (seen >= forest.enough - 1e-6).all()
