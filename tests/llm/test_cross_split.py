@@ -62,3 +62,29 @@ def test_report_scans_every_user_turn(spark, tmp_path):
     got = {tuple(r) for r in queries.p4_report(spark, str(tmp_path)).collect()}
     assert got == {("eval", "a", 1, 1, 1), ("qa_dev", "c", 1, 1, 1)}
     assert queries.p4_found(spark, str(tmp_path)).count() == 0
+
+
+def test_shards_and_parts_lose_nothing(spark, monkeypatch):
+    train, held = made(5)
+    train += [(f"l{i}", "".join("abcdefghij"[(i * k) % 10] for k in range(1, 60 * i)) + " end of a longer text") for i in range(1, 12)]
+    held += [(f"h{i}", t + " and more", "eval", "c") for i, (_, t) in enumerate(train[-11:])]
+    a = spark.createDataFrame(train, "key string, text string")
+    b = spark.createDataFrame(held, "key string, text string, split string, source string")
+    t, e = sets(train), sets(held)
+    want = {(x, y) for x in t for y in e if len(t[x] & e[y]) >= 0.65 * len(t[x] | e[y])}
+    for chars in (300, 2000, 50_000):
+        monkeypatch.setattr(cs, "SHARD_CHARS", chars)
+        got = cs.cross_split_overlaps(a, b, 0.65).collect()
+        assert {(r.train_key, r.eval_key) for r in got} == want and len(got) == len(want)
+
+
+def test_shard_bands():
+    assert cs.shard_bands([(3, 5), (1, 4), (9, 30)], 10) == [(1, 3, 1), (9, 9, 3)] and cs.shard_bands([], 10) == []
+
+
+def test_one_key_each(spark):
+    from pyspark.sql import functions as F
+
+    keys = cs.one_key_each(spark, 13)
+    rows = spark.createDataFrame([(k,) for k in keys], "k int").repartition(13, "k").withColumn("p", F.spark_partition_id())
+    assert rows.select("p").distinct().count() == 13
