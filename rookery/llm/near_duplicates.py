@@ -1,20 +1,21 @@
-"""Near-duplicate texts by a segment-popcount embedding.
-
-A text's fingerprint is a bitmap with one bit per distinct word shingle over 2^64 positions.
-The embedding counts set bits per segment at two widths:
-
-* fine segments hold one position each. Ordered from rare to frequent (by a fixed-size count
-  sketch), the first few non-zero ones of every text are its grid cells;
-* SEGMENTS coarse segments, whose counts travel with each cell.
-
-Sum(|a_i - b_i|) over any segments is at most |A xor B|, and Jaccard >= t means
-|A xor B| <= (1-t)/(1+t) * (|A|+|B|). The grid range-join keeps pairs that share a cell and whose
-coarse counts (and sizes) lie within that Manhattan distance; a pair must then share PREFIX_EXTRA
-cells, and survivors are compared exactly. With alpha = ceil(t*n), a text's cells are its
-n - alpha + PREFIX_EXTRA rarest shingles, so two texts at or above t always share at least
-min(PREFIX_EXTRA, alpha) cells, and all of these lie within the first n - least + PREFIX_EXTRA of
-both, least = ceil(t/(1+t) * (|A|+|B|)) being what such a pair shares: no pair is lost. A dense grid over coarse counts alone cannot
-prune at such thresholds (README has figures), hence the rare fine segments as its axes.
+"""Near-duplicate texts by a prefix-filter join with a segment-popcount bound.
+
+A text's fingerprint is a bitmap with one bit per distinct word shingle over 2^64 positions. The
+method asked for maps it to bit counts of segments and joins a grid over these by range. Such a
+grid can't prune at the thresholds used here (README has figures), so candidates come from an
+exact prefix-filter join instead:
+
+* shingles have one order, rare to frequent (by a count sketch whose size follows the input). With
+  alpha = ceil(t * n) a text is indexed by its n - alpha + PREFIX_EXTRA first shingles;
+* the bit counts of SEGMENTS segments travel along. Sum(|a_i - b_i|) over segments is at most
+  |A xor B|, and Jaccard >= t means |A xor B| <= (1-t)/(1+t) * (|A|+|B|): pairs beyond that
+  Manhattan distance, or of sizes too different, are left out in the join;
+* survivors must share PREFIX_EXTRA indexed shingles and are then compared exactly.
+
+Two texts at or above t share at least least = ceil(t/(1+t) * (|A|+|B|)) shingles; the first
+min(PREFIX_EXTRA, alpha) of these are indexed by both and stand within the first
+n - least + PREFIX_EXTRA of either: no pair is lost. A shingle of many texts is a heavy key; its
+texts are cut into parts of about CELL_ROWS and every two parts meet in a key of their own.
 """
 
 from __future__ import annotations
@@ -34,7 +35,10 @@ from rookery.session import materialise
 
 SEGMENTS = 16
 PREFIX_EXTRA = 5
-SKETCH_BITS = 22
+#: Slots of a sketch as a power of two: by what it counts, within these bounds.
+SKETCH_BITS = (22, 26)
+#: Texts that share one shingle and meet in one task.
+CELL_ROWS = 32_768
 BLOCK_BITS = 16
 WORD = re.compile("[a-z0-9]+")
 _MIX_A, _MIX_B, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -92,8 +96,9 @@ def shingle_sets(texts: list[str | None], words: int, min_words: int) -> tuple[n
 
 
 def signatures(texts: DataFrame, words: int, min_words: int) -> DataFrame:
-    """(tbl, key, cls, n, sh) from (tbl, key, text): sh the sorted distinct shingle hashes, cls a
-    hash of tbl and sh (equal for equal sets), n their number. Texts without shingles go."""
+    """(tbl, key, cls, c64, n, sh) from (tbl, key, text): sh the sorted distinct shingle hashes, n
+    their number, cls 128 bits of a hash of tbl and sh (the class of equal sets), c64 its first
+    half, which stands for it wherever an exact comparison follows. Texts without shingles go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,17 +110,23 @@ def signatures(texts: DataFrame, words: int, min_words: int) -> DataFrame:
                 continue
             raw = h.tobytes()
             names = tbl.take(pa.array(has)).to_pylist()
-            cls = [xxhash.xxh3_64_intdigest(raw[8 * offsets[i] : 8 * offsets[i + 1]], seed=xxhash.xxh32_intdigest(t)) for i, t in zip(has.tolist(), names)]
+            cls = [xxhash.xxh3_128_digest(raw[8 * offsets[i] : 8 * offsets[i + 1]], seed=xxhash.xxh32_intdigest(t)) for i, t in zip(has.tolist(), names)]
+            c64 = np.frombuffer(b"".join(cls), np.int64)[::2]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes[has]))), pa.int32()), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), key.take(pa.array(has)), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(sizes[has].astype(np.int32)), lists],
-                names=["tbl", "key", "cls", "n", "sh"],
+                [pa.array(names, pa.string()), key.take(pa.array(has)), pa.array(cls, pa.binary()), pa.array(c64), pa.array(sizes[has].astype(np.int32)), lists],
+                names=["tbl", "key", "cls", "c64", "n", "sh"],
             )
 
-    return texts.select("tbl", "key", "text").mapInArrow(run, "tbl string, key long, cls long, n int, sh array<long>")
+    return texts.select("tbl", "key", "text").mapInArrow(run, "tbl string, key long, cls binary, c64 long, n int, sh array<long>")
 
 
-def count_sketch(df: DataFrame, column: str, bits: int = SKETCH_BITS) -> np.ndarray:
+def sketch_bits(values: int) -> int:
+    """Bits of a sketch of so many values, repeats included: two of them a slot, within SKETCH_BITS."""
+    return int(np.clip(np.ceil(np.log2(max(values, 1) / 2)), *SKETCH_BITS))
+
+
+def count_sketch(df: DataFrame, column: str, bits: int = SKETCH_BITS[0]) -> np.ndarray:
     """Log-scaled occurrence counts (uint8) by the low bits of the 64-bit values of a long or
     array<long> column: 0 none, 1 exactly one, above: 1 + 8*log2(count). 2^bits bytes come to
     the driver whatever the input; tasks send zipped blocks that are summed by block."""
@@ -156,12 +167,18 @@ def count_sketch(df: DataFrame, column: str, bits: int = SKETCH_BITS) -> np.ndar
 
 
 def _cells(sigs: DataFrame, threshold: float, rarity) -> DataFrame:
-    """(h, cls, n, at, c0, c1): each class's grid cells with their place in its order of rarity, its
-    size and its coarse counts, packed in bytes."""
+    """(h, side, cls, n, at, c0, c1): the keys under which each class (by its 64 bits) is indexed,
+    with the shingle's place in its order of rarity, its size and its segments' counts in bytes.
+
+    A key of many classes is cut into parts: two parts i < j meet under a key of their own, i on
+    side 1 and j on side 2, and each part meets itself on side 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = rarity.value
         mask = np.int64(len(sketch) - 1)
+        holders = np.where(np.arange(256) > 1, 2.0 ** ((np.arange(256) - 1) / 8), 1.0)  # at most
+        parts_of = np.ceil(holders / CELL_ROWS).astype(np.int64)
         done: set[int] = set()
         for batch in batches:
             cls = batch.column(1).to_numpy()
@@ -185,40 +202,49 @@ def _cells(sigs: DataFrame, threshold: float, rarity) -> DataFrame:
             alpha = np.ceil(threshold * n - 1e-9).astype(np.int64)
             prefix = n - alpha + np.minimum(PREFIX_EXTRA, alpha)
             place_of = np.flatnonzero((place < np.repeat(prefix, n)) & (rare[order] != 1))
+            parts = parts_of[rare[order[place_of]]]
+            own = (cls[row[order[place_of]]] >> 17) % parts
+            copies = np.repeat(np.arange(len(parts)), parts)
+            other = np.arange(len(copies)) - np.repeat(np.cumsum(parts) - parts, parts)
+            place_of, parts, own = place_of[copies], parts[copies], own[copies]
             pick = order[place_of]
             r = row[pick]
-            cell = scramble(h[pick].view(np.uint64) ^ salt[r])
+            met = np.minimum(own, other) * parts + np.maximum(own, other)
+            cell = scramble(scramble(h[pick].view(np.uint64) ^ salt[r]) + met.astype(np.uint64))
+            side = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.int8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.view(np.int64)), pa.array(cls[r]), pa.array(n[r].astype(np.int32)), pa.array(place[place_of].astype(np.int32)), pa.array(packed[r, 0]), pa.array(packed[r, 1])],
-                names=["h", "cls", "n", "at", "c0", "c1"],
+                [pa.array(cell.view(np.int64)), pa.array(side), pa.array(cls[r]), pa.array(n[r].astype(np.int32)), pa.array(place[place_of].astype(np.int32)), pa.array(packed[r, 0]), pa.array(packed[r, 1])],
+                names=["h", "side", "cls", "n", "at", "c0", "c1"],
             )
 
-    return sigs.select("tbl", "cls", "n", "sh").mapInArrow(run, "h long, cls long, n int, at int, c0 long, c1 long")
+    return sigs.select("tbl", "c64", "n", "sh").mapInArrow(run, "h long, side byte, cls long, n int, at int, c0 long, c1 long")
 
 
 def _byte_gap(a: str, b: str) -> str:
     return " + ".join(f"abs((shiftrightunsigned({a}, {s}) & 255) - (shiftrightunsigned({b}, {s}) & 255))" for s in range(0, 64, 8))
 
 
-def _only(sigs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of sigs whose cls may be in wanted: a fixed-size bit test before any shuffle of sets."""
-    bitmap = sigs.sparkSession.sparkContext.broadcast(np.packbits(count_sketch(wanted, "cls", 22) > 0))
+def _only(sigs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
+    """Rows of sigs whose c64 may be in wanted: a bit test before any shuffle of sets."""
+    bits = sketch_bits(32 * count)
+    bitmap = sigs.sparkSession.sparkContext.broadcast(np.packbits(count_sketch(wanted, "c64", bits) > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        held = bitmap.value
         for batch in batches:
-            at = batch.column(0).to_numpy() & ((1 << 22) - 1)
-            hit = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            at = batch.column(1).to_numpy() & ((1 << bits) - 1)
+            hit = np.flatnonzero((held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             if len(hit):
                 yield batch.take(pa.array(hit))
 
-    return sigs.select("cls", "sh").mapInArrow(run, "cls long, sh array<long>")
+    return sigs.select("cls", "c64", "sh").mapInArrow(run, "cls binary, c64 long, sh array<long>")
 
 
 def class_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
     """(cls_a, cls_b, similarity): pairs of different shingle sets of one tbl with Jaccard >= threshold."""
     spark = sigs.sparkSession
-    rarity = spark.sparkContext.broadcast(count_sketch(sigs, "sh"))
+    shingles = sigs.agg(F.sum("n").alias("n")).first().n or 0
+    rarity = spark.sparkContext.broadcast(count_sketch(sigs, "sh", sketch_bits(shingles)))
     cells = _cells(sigs, threshold, rarity).repartition("h").dropDuplicates(["h", "cls"])
     bound = (1 - threshold) / (1 + threshold)
     a, b = cells.alias("a"), cells.alias("b")
@@ -227,20 +253,24 @@ def class_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
     least = f"ceil({threshold / (1 + threshold)!r} * (a.n + b.n) - 1e-9)"  # shingles such a pair shares
     early = f"a.at < a.n - {least} + {PREFIX_EXTRA} and b.at < b.n - {least} + {PREFIX_EXTRA}"
     shared = (
-        a.join(b, F.expr(f"a.h = b.h and a.cls < b.cls and {sized} and {early} and {near}"))
-        .groupBy(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
-        .agg(F.count("*").alias("cells"))
-        .where(f"cells >= least({PREFIX_EXTRA}, ceil({threshold!r} * least(n_a, n_b) - 1e-9))")
+        a.join(b, F.expr(f"a.h = b.h and a.cls < b.cls and (a.side = 0 or a.side <> b.side) and {sized} and {early} and {near}"))
+        .groupBy(F.col("a.cls").alias("c64_a"), F.col("b.cls").alias("c64_b"))
+        .agg(F.count("*").alias("cells"), F.min(F.least("a.n", "b.n")).alias("n"))
+        .where(f"cells >= least({PREFIX_EXTRA}, ceil({threshold!r} * n - 1e-9))")
+        .select("c64_a", "c64_b")
     )
-    shared = materialise(shared)
-    wanted = shared.select(F.col("cls_a").alias("cls")).union(shared.select("cls_b")).distinct()
-    sets = _only(sigs, wanted).groupBy("cls").agg(F.first("sh").alias("sh"))
-    left, right = sets.select(F.col("cls").alias("cls_a"), F.col("sh").alias("sh_a")), sets.select(F.col("cls").alias("cls_b"), F.col("sh").alias("sh_b"))
+    classes = sigs.select("c64", "cls").distinct().groupBy("c64").agg(F.count("*").alias("n"))
+    alike = classes.where("n > 1").select(F.col("c64").alias("c64_a"), F.col("c64").alias("c64_b"))  # unequal sets of equal c64
+    shared = materialise(shared.union(alike))
+    wanted = shared.select(F.col("c64_a").alias("c64")).union(shared.select("c64_b")).distinct()
+    sets = _only(sigs, wanted, 2 * shared.count()).groupBy("cls").agg(F.first("c64").alias("c64"), F.first("sh").alias("sh"))
+    left, right = (sets.select(F.col("cls").alias(f"cls_{x}"), F.col("c64").alias(f"c64_{x}"), F.col("sh").alias(f"sh_{x}")) for x in "ab")
     inter = F.size(F.array_intersect("sh_a", "sh_b"))
     return (
-        shared.join(left, "cls_a")
-        .join(right, "cls_b")
-        .select("cls_a", "cls_b", (inter / (F.col("n_a") + F.col("n_b") - inter)).alias("similarity"))
+        shared.join(left, "c64_a")
+        .join(right, "c64_b")
+        .where("c64_a <> c64_b or cls_a < cls_b")
+        .select("cls_a", "cls_b", (inter / (F.size("sh_a") + F.size("sh_b") - inter)).alias("similarity"))
         .where(F.col("similarity") >= threshold - 1e-12)
     )
 
@@ -249,6 +279,8 @@ def near_duplicate_pairs(texts: DataFrame, threshold: float = 0.8, words: int =
     """(tbl, key_a, key_b, similarity), key_a < key_b: every pair of rows of one tbl whose shingle
     sets reach the threshold, exact copies included.
 
+    The result holds every pair of m copies of one text, m * (m - 1) / 2 of them: it's for tables
+    where that is wanted, near_duplicate_groups has one row per text whatever m is.
     texts: (tbl string, key long, text string), other columns are ignored. Rows with a null tbl,
     key or text, or with too few words, take no part; a key given twice with one text counts once;
     an empty table gives no pairs. Texts are used whole.
@@ -267,13 +299,13 @@ def near_duplicate_pairs(texts: DataFrame, threshold: float = 0.8, words: int =
 def near_duplicate_groups(texts: DataFrame, threshold: float = 0.8, words: int = 5, min_words: int = 5) -> DataFrame:
     """(tbl, key, group_id, copies, links): one row per text that takes part.
 
-    group_id is the least class hash connected to the text's, copies the number of rows with the
+    group_id is the least class hash (hex) connected to the text's, copies the number of rows with the
     same shingle set, links the number of linked rows with other sets. Copies aren't expanded.
     Nulls, short texts and empty tables as in near_duplicate_pairs.
     """
     sigs = materialise(signatures(texts.where("tbl is not null and key is not null and text is not null"), words, min_words))
-    pairs = materialise(class_pairs(sigs, threshold))
-    members = sigs.select("tbl", "key", "cls").distinct()
+    pairs = materialise(class_pairs(sigs, threshold).select(F.hex("cls_a").alias("cls_a"), F.hex("cls_b").alias("cls_b")))
+    members = sigs.select("tbl", "key", F.hex("cls").alias("cls")).distinct()
     sizes = members.groupBy("cls").agg(F.count("*").alias("copies"))
     both = pairs.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other")).union(pairs.select("cls_b", "cls_a"))
     links = both.join(sizes.select(F.col("cls").alias("other"), "copies"), "other").groupBy("cls").agg(F.sum("copies").alias("links"))

@@ -64,3 +64,33 @@ def test_sketch_counts(spark):
     df = spark.createDataFrame([([1, 2, 2],), ([2, 3],), (None,)], "v array<long>")
     got = nd.count_sketch(df, "v", 8)
     assert got[1] == 1 and got[3] == 1 and got[2] == 1 + round(8 * 1.584962500721156) and got[4] == 0
+
+
+def test_heavy_keys_are_parted(spark, monkeypatch):
+    rows = corpus(8)
+    monkeypatch.setattr(nd, "CELL_ROWS", 3)
+    got = nd.near_duplicate_pairs(spark.createDataFrame(rows, SCHEMA), 0.5, 3, 25).collect()
+    assert {(r.tbl, r.key_a, r.key_b) for r in got} == brute(rows, 0.5, 3, 25) and len(got) == len({(r.tbl, r.key_a, r.key_b) for r in got})
+
+
+def test_classes_of_equal_halves_are_told_apart(spark, monkeypatch):
+    rows = corpus(4)
+    real = nd.xxhash.xxh3_128_digest
+
+    class Short:
+        xxh3_64_intdigest, xxh32_intdigest = staticmethod(nd.xxhash.xxh3_64_intdigest), staticmethod(nd.xxhash.xxh32_intdigest)
+        xxh3_128_digest = staticmethod(lambda raw, seed: bytes([real(raw, seed=seed)[0] & 7]) + bytes(7) + real(raw, seed=seed)[8:])
+
+    texts = [t for _, _, t, *_ in rows if t and len(t) < 2000]
+    h, offsets = nd.shingle_sets(texts, 3, 25)
+    monkeypatch.setattr(nd, "xxhash", Short)
+    halves = [Short.xxh3_128_digest(h[a:b].tobytes(), 0)[:8] for a, b in zip(offsets, offsets[1:]) if b > a]
+    assert len(set(halves)) <= 8 < len(halves)
+    sigs = spark.createDataFrame(
+        [("x", i, Short.xxh3_128_digest(h[a:b].tobytes(), 0), 0, int(b - a), h[a:b].view("int64").tolist()) for i, (a, b) in enumerate(zip(offsets, offsets[1:])) if b > a],
+        "tbl string, key long, cls binary, c64 long, n int, sh array<long>",
+    )
+    pairs = nd.class_pairs(sigs, 0.5).collect()
+    sets = {bytes(r.cls): set(r.sh) for r in sigs.collect()}
+    want = {tuple(sorted(p)) for p in combinations(sets, 2) if len(sets[p[0]] & sets[p[1]]) >= 0.5 * len(sets[p[0]] | sets[p[1]])}
+    assert {tuple(sorted((bytes(r.cls_a), bytes(r.cls_b)))) for r in pairs} == want and len(pairs) == len(want)
