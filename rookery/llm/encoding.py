@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TOKENIZERS = "/opt/tokenizers"
-LEAF_CHARS = 1 << 15
+#: A part of a text that is encoded at once; longer ones are halved.
+LEAF_CHARS = 1024
 #: The split pattern of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A certain split: letters and digits that every Unicode version knows, then space or punctuation.
@@ -44,15 +45,17 @@ def tokenizer(folder: str, name: str):
     return coding, sizes
 
 
-def _cut_after(ids: list[int], sizes: np.ndarray, n_bytes: int) -> int:
+def _cut_after(ids, sizes: np.ndarray, n_bytes: int) -> int:
     """How many of the first ids make n_bytes bytes; the split must fall between two ids."""
-    if not n_bytes:
-        return 0
-    total = np.cumsum(sizes[ids])
-    k = int(np.searchsorted(total, n_bytes))
-    if total[k] != n_bytes:
+    count, total = 0, 0
+    for i in ids:
+        if total >= n_bytes:
+            break
+        total += int(sizes[i])
+        count += 1
+    if total != n_bytes:
         raise AssertionError("a certain split fell inside a token")
-    return k + 1
+    return count
 
 
 def join(left: tuple[str, list[int]], right: tuple[str, list[int]], coding, sizes: np.ndarray) -> tuple[str, list[int]]:
@@ -76,7 +79,7 @@ def join(left: tuple[str, list[int]], right: tuple[str, list[int]], coding, size
             break
         reach *= 4
     tail = len(a[back:].encode())
-    keep = len(x) - _cut_after(x[::-1], sizes, tail)
+    keep = len(x) - _cut_after(reversed(x), sizes, tail)
     skip = _cut_after(y, sizes, len(b[:ahead].encode()))
     return a + b, x[:keep] + coding.encode_ordinary(a[back:] + b[:ahead]) + y[skip:]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rookery.llm import cross_split, encoding, mixing, near_duplicates, percentiles, residue, splitting, vector_forest
@@ -46,6 +46,24 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(long, "chunk_key", "text").withColumnRenamed("key", "chunk_key")
 
 
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of every oversized chunk whether its pieces keep the limit, cover the text, and overlap as asked.
+
+    An overlap is 120 to 240 characters, or what a run without cuts leaves room for: the next piece
+    then holds a run of more than 1,400 - 120 less that overlap.
+    """
+    long = table(spark, d, "chunks").where("length(text) > 1400").select("chunk_key", F.length("text").alias("n_chars"))
+    along = Window.partitionBy("chunk_key").orderBy("piece")
+    run = F.array_max(F.transform(F.split("text", r"[\s.!?;:,。！？、，]"), F.length))
+    pieces = p2_pieces(spark, d).withColumn("shared", F.lag("end").over(along) - F.col("start")).withColumn("run", run)
+    kept = (F.col("shared") >= 0) & (F.col("shared") <= 240) & ((F.col("shared") >= 120) | (F.col("run") > 1400 - 120 - F.col("shared")))
+    each = pieces.groupBy("chunk_key").agg(
+        (F.max(F.col("end") - F.col("start")) <= 1400).alias("within_limit"), F.min("start").alias("first"), F.max("end").alias("last"),
+        F.bool_and(F.coalesce(F.col("shared") >= 0, F.lit(True))).alias("joined"), F.bool_and(F.coalesce(kept, F.lit(True))).alias("overlaps"),
+    )
+    return long.join(each, "chunk_key").select("chunk_key", "n_chars", "within_limit", ((F.col("first") == 0) & (F.col("last") == F.col("n_chars")) & F.col("joined")).alias("covers"), "overlaps")
+
+
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, vector_forest.Decoder]:
     decoder = vector_forest.read_decoder(table(spark, d, "int8_calib"))
     return vector_forest.packed_codes(table(spark, d, "index_codes"), "chunk_id", "i8", len(decoder.lows)), decoder
@@ -142,7 +160,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_report, p5_percentiles, p5_arms, p6_ids, p7_mix, p7_report, p8_found)
+    for f in (p1_found, p1_groups, p2_found, p2_pieces, p2_checks, p3_found, p3_neighbours, p4_found, p4_report, p5_percentiles, p5_arms, p6_ids, p7_mix, p7_report, p8_found)
 }
 
 _QUANTILES = ", ".join(f"round(quantile_cont(value, {p}), 6) AS p{100 * p:g}" for p in PROBABILITIES)
@@ -174,6 +192,23 @@ ORACLES = {
         s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_inner_product(a.v, b.v) AS cos FROM n a JOIN n b ON a.chunk_id <> b.chunk_id),
         r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) AS place FROM s WHERE cos >= 0.9)
         SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM r WHERE place <= 10""",
+    "p2_checks": "SELECT chunk_key, CAST(length(text) AS INT) AS n_chars, true AS within_limit, true AS covers, true AS overlaps FROM chunks WHERE length(text) > 1400",
+    "p3_neighbours": """
+        WITH cal AS (SELECT list(min_value ORDER BY dim_idx) AS lo, list(max_value - min_value ORDER BY dim_idx) AS sp FROM int8_calib),
+        u AS (SELECT chunk_id, min(i8) AS c FROM index_codes WHERE len(i8) = 64 GROUP BY chunk_id),
+        d AS (SELECT chunk_id, list_transform(range(1, 65), lambda i: (c[i] + 128) / 255 * sp[i] + lo[i]) AS v FROM u, cal),
+        n AS (SELECT chunk_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM d),
+        s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_inner_product(a.v, b.v) AS cos FROM n a JOIN n b ON a.chunk_id <> b.chunk_id WHERE a.chunk_id % 50 = 0)
+        SELECT chunk_id, neighbour, score, place FROM (SELECT a AS chunk_id, b AS neighbour, round(cos, 6) AS score, CAST(row_number() OVER (PARTITION BY a ORDER BY round(cos, 9) DESC, b) AS INT) AS place FROM s) WHERE place <= 10""",
+    "p4_report": """
+        WITH c AS (SELECT example_id AS key, lower(trim(split)) AS split, lower(trim(source)) AS source, unnest(list_filter(messages, lambda m: lower(trim(m.role)) = 'user')).content AS t FROM chat_examples),
+        r AS (SELECT key, split, source, coalesce(split = 'train', false) AS tr, t FROM c UNION ALL SELECT id, lower(trim(split)), lower(trim(source)), false, question FROM qa_set),
+        x AS (SELECT row_number() OVER () AS turn, key, split, source, tr, trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) AS x FROM r WHERE t IS NOT NULL),
+        g AS (SELECT *, list_distinct(list_transform(range(1, length(x) - 3), lambda i: substr(x, i, 5))) AS s FROM x WHERE length(x) >= 20),
+        e AS (SELECT turn, key, split, source, tr, len(s) AS k, unnest(s) AS w FROM g),
+        p AS (SELECT a.turn, b.turn, a.key AS a, b.key AS b, b.split, b.source, a.k AS ka, b.k AS kb, count(*) AS held FROM e a JOIN e b ON a.w = b.w AND a.tr AND NOT b.tr GROUP BY ALL),
+        o AS (SELECT DISTINCT a, b, split, source FROM p WHERE held >= 0.65 * (ka + kb - held))
+        SELECT split, source, count(DISTINCT b) AS eval_records, count(DISTINCT a) AS train_records, count(*) AS pairs FROM o GROUP BY split, source""",
     "p4_found": """
         WITH c AS (SELECT example_id AS key, lower(trim(split)) AS split, list_filter(messages, lambda m: lower(trim(m.role)) = 'user')[1].content AS t FROM chat_examples),
         r AS (SELECT key, coalesce(split = 'train', false) AS tr, t FROM c UNION ALL SELECT id, false, question FROM qa_set),

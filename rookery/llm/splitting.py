@@ -19,8 +19,6 @@ from pyspark.sql import DataFrame
 #: Penalty of a cut by kind.
 KINDS = ("paragraph", "line", "sentence", "clause", "word", "forced")
 PENALTY = np.array([0.0, 0.05, 0.1, 0.6, 1.0, 1000.0])
-#: Weaker boundaries are only considered where stronger ones lie further apart than this.
-REACH = 160
 
 # The characters that end a natural unit.
 SEPARATOR = r"[\s.!?;:,。！？、，]"
@@ -40,17 +38,10 @@ def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             kind_at.setdefault(m.end(), kind)
     edges = np.fromiter((m.start() for m in _EDGE.finditer(text)), np.int64)
     edges = edges[(edges > 0) & (edges < n)]
-
-    def wide() -> list[tuple[int, int]]:
-        at = np.array([0, *sorted(p for p in kind_at if 0 < p < n), n])
-        return [(int(a), int(b)) for a, b in zip(at[:-1], at[1:]) if b - a > REACH]
-
-    for a, b in wide():
-        for m in _CLAUSE.finditer(text, a, b):
-            kind_at.setdefault(m.end(), 3)
-    for a, b in wide():
-        for p in edges[np.searchsorted(edges, a) : np.searchsorted(edges, b)].tolist():
-            kind_at.setdefault(p, 4)
+    for m in _CLAUSE.finditer(text):
+        kind_at.setdefault(m.end(), 3)
+    for p in edges.tolist():
+        kind_at.setdefault(p, 4)
     bounds = np.concatenate(([0], edges, [n]))
     for i in np.flatnonzero(np.diff(bounds) > limit).tolist():  # a run that no piece can hold
         a, b = int(bounds[i]), int(bounds[i + 1])
