@@ -310,14 +310,14 @@ def maxsim_explained(spark, d):
     return rounded(dense.max_sim_explained(*_maxsim_sides(spark, d)), "similarity")
 
 
-@query(E_SQL + """, tok AS (SELECT label AS doc_id, vec_id * 3 AS a, vec_id * 3 + 2 AS b, v FROM e), sp AS (SELECT label AS doc_id, unnest(range(0, 8)) AS span_idx FROM (SELECT DISTINCT label FROM e)),
+@query(E_SQL + """, tok AS (SELECT label AS doc_id, vec_id * 3 AS a, vec_id * 3 + 2 AS b, v FROM e), sp AS (SELECT label AS doc_id, unnest(range(0, m + 1)) AS span_idx FROM (SELECT label, (max(vec_id) * 3 + 2) // 200 AS m FROM e GROUP BY label)),
 x AS (SELECT sp.doc_id, span_idx, unnest(range(0, 64)) AS d, unnest(v) AS x FROM sp JOIN tok USING (doc_id) WHERE a < span_idx * 200 + 300 AND b > span_idx * 200),
 m AS (SELECT doc_id, span_idx, list(x ORDER BY d) AS v FROM (SELECT doc_id, span_idx, d, avg(x) AS x FROM x GROUP BY ALL) GROUP BY ALL)
 SELECT sp.doc_id, CAST(sp.span_idx AS INT) AS span_idx, round(coalesce(m.v[1] / sqrt(list_inner_product(m.v, m.v)), 0), 6) AS first FROM sp LEFT JOIN m USING (doc_id, span_idx)""")
 def late_chunk_pool(spark, d):
     v = _vectors(spark, d)
     tok = v.select(F.col("label").alias("doc_id"), (F.col("vec_id") * 3).alias("tok_start"), (F.col("vec_id") * 3 + 2).alias("tok_end"), "v")
-    spans = v.select(F.col("label").alias("doc_id")).distinct().withColumn("span_idx", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("char_start", F.col("span_idx") * 200).withColumn("char_end", F.col("span_idx") * 200 + 300)
+    spans = tok.groupBy("doc_id").agg(F.expr("max(tok_end) div 200").cast("int").alias("last")).select("doc_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("span_idx")).withColumn("char_start", F.col("span_idx") * 200).withColumn("char_end", F.col("span_idx") * 200 + 300)
     return rounded(chunking.late_chunk_pool(tok, spans).select("doc_id", "span_idx", F.col("vector")[0].alias("first")), "first")
 
 

@@ -31,27 +31,44 @@ def build_session(app: str = "rookery", master: str | None = None, conf: dict[st
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder takes its place.
+    Only a local session may do without; it gets a temporary folder of its machine. On a cluster
+    such a folder would be another one on every machine, so there the setting is required.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if not folder:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            return set_dir.get()
-        folder = "file://" + tempfile.mkdtemp(prefix="rookery-")
-        spark.sparkContext.setCheckpointDir(folder)
+    if folder:
         return folder
+    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_dir.isDefined():
+        return set_dir.get()
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+    folder = "file://" + tempfile.mkdtemp(prefix="rookery-")
+    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def _delete(jvm, conf, path: str) -> None:
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(conf).delete(hpath, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df once as parquet into the shared folder and reads it back: lineage ends
     there, several readers prune columns, and a lost executor costs only a re-read.
-    The folder goes when the JVM ends."""
+    The folder goes when the JVM ends, or with drop()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/rookery-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._rookery_path = path
+    return back
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the folder of a materialised table that nothing reads any more."""
+    path = getattr(df, "_rookery_path", None)
+    if path:
+        _delete(df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration(), path)
