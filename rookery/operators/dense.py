@@ -2,54 +2,85 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery.functions import vectors as V
 from rookery.operators.lexical import top_k
+from rookery.session import materialise
 
-#: Queries that meet a block of the corpus in one task; more queries make more blocks.
-QUERY_BLOCK = 4096
-CORPUS_BLOCK = 65_536
+#: Bytes of queries that a task holds beside its items, and queries scored at a time.
+QUERY_BYTES = 64 << 20
+QUERY_ROWS = 1024
+#: Rows an int8 calibration is fitted on.
+CALIBRATION_ROWS = 50_000
 
 
-def _blocks(df: DataFrame, size: int) -> int:
-    return df.count() // size + 1
+def _flat(column: pa.Array) -> np.ndarray:
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks()
-    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(lists), -1) if len(lists) else np.empty((0, 0))
+def _best(rows: np.ndarray, order: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k least scores (to nine decimals), ties by `order`; sorted."""
+    at = np.lexsort((order, np.round(scores, 9), rows))
+    r = rows[at]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    return at[place < k]
 
 
-def _blocked_top_k(items: DataFrame, asked: DataFrame, kernel, k: int, descending: bool) -> DataFrame:
-    """(query, item, score): the k best per query and block by kernel(query column, item column).
+def _scanned_top_k(items: DataFrame, asked: DataFrame, read, kernel, width: int, k: int) -> DataFrame:
+    """(query, item, score): for every query and partition of the items its k least scores.
 
-    The query set is cut into blocks of QUERY_BLOCK and the items into blocks of CORPUS_BLOCK;
-    each pair of blocks is one matrix of scores that returns k rows per query, so neither side
-    has to fit in memory. items: (item, x), asked: (query, y); nulls in x and y take no part.
+    items: (item, x), asked: (query, y); nulls in x and y take no part. read makes an array of a
+    column, kernel scores queries against items. The queries are cut into blocks of QUERY_BYTES by
+    their measured number; each block goes to the tasks, and the items are scanned where they lie:
+    they are never shuffled, and only k rows per query leave a task.
     """
-    qb, cb = _blocks(asked, QUERY_BLOCK), _blocks(items, CORPUS_BLOCK)
-    left = items.where("x is not null").withColumn("cb", F.pmod(F.xxhash64("item"), F.lit(cb)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-    right = asked.where("y is not null").withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(qb)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
-    kinds = dict(left.dtypes) | dict(right.dtypes)
-
-    def product(key: tuple, have: pa.Table, want: pa.Table) -> pa.Table:
-        if not have.num_rows or not want.num_rows:
-            return pa.table({"query": want.column("query").slice(0, 0), "item": have.column("item").slice(0, 0), "score": pa.array([], pa.float64())})
-        order = have.sort_by("item")
-        scores = kernel(want.column("y"), order.column("x")).astype(np.float64)
-        keep = min(k, scores.shape[1])
-        best = np.argsort(np.round(-scores if descending else scores, 9), axis=1, kind="stable")[:, :keep]
-        rows = np.repeat(np.arange(len(scores)), keep)
-        return pa.table({"query": want.column("query").take(pa.array(rows)), "item": order.column("item").take(pa.array(best.ravel())), "score": pa.array(np.take_along_axis(scores, best, 1).ravel())})
-
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(product, f"query {kinds['query']}, item {kinds['item']}, score double")
+    spark = items.sparkSession
+    asked, items = asked.where("y is not null"), items.where("x is not null")
+    blocks = -(-asked.count() * 3 * max(1, width) // QUERY_BYTES) or 1
+    kinds = dict(items.select("item").dtypes) | dict(asked.select("query").dtypes)
+
+    def scan(block: DataFrame) -> DataFrame:
+        table = block.select("query", "y").toArrow().combine_chunks()  # at most about QUERY_BYTES
+        queries = spark.sparkContext.broadcast((table.column("query").combine_chunks() if table.num_rows else None, read(table.column("y").combine_chunks()) if table.num_rows else None))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, y = queries.value
+            if names is None:
+                return
+            rows, held, scores = np.empty(0, np.int64), None, np.empty(0)
+            for batch in batches:
+                ids, x = batch.column(0), read(batch.column(1))
+                found_rows, found_at, found = [rows], [np.arange(len(rows))], [scores]
+                base = len(rows)
+                for at in range(0, len(y), QUERY_ROWS):
+                    s = kernel(y[at : at + QUERY_ROWS], x).astype(np.float64)
+                    keep = min(k, s.shape[1])
+                    bound = np.partition(s, keep - 1, axis=1)[:, keep - 1] if keep else np.zeros(len(s))
+                    i, j = np.nonzero(s <= bound[:, None] + 2e-9)
+                    found_rows.append(i + at), found_at.append(j + base), found.append(s[i, j])
+                rows, at, scores = np.concatenate(found_rows), np.concatenate(found_at), np.concatenate(found)
+                pool = ids if held is None else pa.concat_arrays([held, ids])
+                rank = np.unique(pool.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+                best = _best(rows, rank[at], scores, k)
+                rows, scores, held = rows[best], scores[best], pool.take(pa.array(at[best]))
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(rows)), held, pa.array(scores)], names=["query", "item", "score"])
+
+        return items.select("item", "x").mapInArrow(run, f"query {kinds['query']}, item {kinds['item']}, score double")
+
+    if blocks == 1:
+        return scan(asked)
+    number = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    return functools.reduce(DataFrame.union, [scan(asked.where(number == b)) for b in range(blocks)])
 
 
 def exact_top_k(corpus: DataFrame, item: str, vec: str, queries: DataFrame, query: str, qvec: str, k: int, exclude_self: bool = False) -> DataFrame:
@@ -57,7 +88,8 @@ def exact_top_k(corpus: DataFrame, item: str, vec: str, queries: DataFrame, quer
     by the lesser item. k beyond the corpus gives the whole corpus."""
     items = corpus.select(F.col(item).alias("item"), V.as_doubles(F.col(vec)).alias("x"))
     asked = queries.select(F.col(query).alias("query"), V.as_doubles(F.col(qvec)).alias("y"))
-    near = _blocked_top_k(items, asked, lambda y, x: _flat(y) @ _flat(x).T, k + int(exclude_self), True)
+    first = items.select(F.size("x").alias("w")).where("w > 0").first()
+    near = _scanned_top_k(items, asked, _flat, lambda y, x: -(y @ x.T), 8 * (first.w if first else 1), k + int(exclude_self)).withColumn("score", -F.col("score"))
     return top_k(near.where("query <> item") if exclude_self else near, k, "query", "item")
 
 
@@ -65,15 +97,21 @@ def hamming_top_k(codes: DataFrame, item: str, code: str, queries: DataFrame, qu
     """(query, item, hamming, rank): the k nearest codes (bigint), ties by the lesser item."""
     items = codes.select(F.col(item).alias("item"), F.col(code).alias("x"))
     asked = queries.select(F.col(query).alias("query"), F.col(qcode).alias("y"))
-    near = _blocked_top_k(items, asked, lambda y, x: np.bitwise_count(y.to_numpy().view(np.uint64)[:, None] ^ x.to_numpy().view(np.uint64)[None, :]), k, False)
+    near = _scanned_top_k(items, asked, lambda c: c.to_numpy().view(np.uint64), lambda y, x: np.bitwise_count(y[:, None] ^ x[None, :]), 8, k)
     w = Window.partitionBy("query").orderBy("score", "item")
     return near.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select("query", "item", F.col("score").cast("int").alias("hamming"), "rank")
 
 
-def calibrate_int8(vectors: DataFrame, vec: str, low: float = 0.001, high: float = 0.999) -> DataFrame:
-    """One row (lows, spans, dim, n): exact percentiles per dimension, a span of 0 becomes 1."""
+def calibrate_int8(vectors: DataFrame, vec: str, item: str, low: float = 0.001, high: float = 0.999) -> DataFrame:
+    """One row (lows, spans, dim, n): percentiles per dimension, a span of 0 becomes 1.
+
+    They are exact for up to CALIBRATION_ROWS vectors; of more, a calibration is fitted on about so
+    many, every so many-th by a hash of the item. All vectors are encoded with it.
+    """
+    stride = -(-vectors.count() // CALIBRATION_ROWS)
+    sample = vectors if stride <= 1 else vectors.where(F.pmod(F.xxhash64(item), F.lit(stride)) == 0)
     per = (
-        vectors.select(F.posexplode(V.as_doubles(F.col(vec))).alias("d", "x"))
+        sample.select(F.posexplode(V.as_doubles(F.col(vec))).alias("d", "x"))
         .groupBy("d")
         .agg(F.percentile("x", F.array(F.lit(low), F.lit(high))).alias("p"), F.count("*").alias("n"))
         .select("d", F.col("p")[0].alias("low"), F.when(F.col("p")[1] == F.col("p")[0], 1.0).otherwise(F.col("p")[1] - F.col("p")[0]).alias("span"), "n")
@@ -97,23 +135,32 @@ def rescore(candidates: DataFrame, query: str, item: str, codes: DataFrame, quer
     return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
-def cascade(vectors: DataFrame, item: str, vec: str, queries: DataFrame, query: str, qvec: str, calibration: DataFrame, candidates: int = 500, k: int = 10) -> DataFrame:
-    """Two stages: `candidates` codes by Hamming distance, the k best of them by int8 score."""
+def encode_codes(vectors: DataFrame, item: str, vec: str, calibration: DataFrame) -> DataFrame:
+    """(item, code1, code8): what an index stores of each vector."""
     v = V.as_doubles(F.col(vec))
-    coded = with_calibration(vectors, calibration).select(F.col(item).alias("item"), V.binary_word(v).alias("code1"), V.int8_encode(v, F.col("lows"), F.col("spans")).alias("code8"))
+    return with_calibration(vectors, calibration).select(F.col(item).alias("item"), V.binary_word(v).alias("code1"), V.int8_encode(v, F.col("lows"), F.col("spans")).alias("code8"))
+
+
+def cascade(codes: DataFrame, queries: DataFrame, query: str, qvec: str, calibration: DataFrame, candidates: int = 500, k: int = 10) -> DataFrame:
+    """Two stages over stored codes (item, code1, code8): `candidates` codes by Hamming distance, for
+    which only code1 is read, and the k best of them by int8 score, for which code8 is fetched."""
     asked = queries.select(F.col(query).alias("query"), V.as_doubles(F.col(qvec)).alias("qv")).withColumn("qc", V.binary_word(F.col("qv")))
-    near = hamming_top_k(coded, "item", "code1", asked, "query", "qc", candidates).drop("rank")
-    return rescore(near, "query", "item", coded, asked, "qv", calibration, k)
+    near = materialise(hamming_top_k(codes, "item", "code1", asked, "query", "qc", candidates).drop("rank"))
+    wanted = codes.join(near.select("item").distinct(), "item", "left_semi")
+    return rescore(near, "query", "item", wanted, asked, "qv", calibration, k)
 
 
 def to_half(df: DataFrame, vec: str, out: str = "half") -> DataFrame:
     """df with vec rounded to half precision."""
 
-    @F.pandas_udf("array<float>")
-    def rounded(v):
-        return v.map(lambda x: None if x is None else np.asarray(x, np.float16).astype(np.float32))
+    @F.arrow_udf("array<float>")
+    def rounded(v: pa.Array) -> pa.Array:
+        flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float32)
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(v), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=v.is_null())
 
-    return df.withColumn(out, rounded(vec))
+    return df.withColumn(out, rounded(F.col(vec)))
 
 
 def late_fetch(hits: DataFrame, source: DataFrame, on: list[str], text: str = "text") -> DataFrame:
@@ -150,13 +197,15 @@ def colbert_storage(spark, n_chunks: int, tokens_per_chunk: int = 350, dim: int
 def max_sim(query_tokens: DataFrame, passage_tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     """(query, passage, score): sum over query tokens of their best dot product in the passage.
 
-    query_tokens: (query, qt, v); passage_tokens: (passage, pt, v); pairs: (query, passage). A
-    pair with an empty side scores 0.
+    query_tokens: (query, qt, v); passage_tokens: (passage, pt, v); pairs: (query, passage), the
+    candidates of a first stage. Each side's tokens are gathered to one row first (a text has few),
+    so a pair is one row and its score an expression. A pair with an empty side scores 0.
     """
-    q, p = query_tokens.select("query", "qt", F.col("v").alias("qv")), passage_tokens.select("passage", "pt", F.col("v").alias("pv"))
-    best = pairs.join(q, "query").join(p, "passage").groupBy("query", "passage", "qt").agg(F.max(V.dot(F.col("qv"), F.col("pv"))).alias("best"))
-    total = best.groupBy("query", "passage").agg(F.sum("best").alias("score"))
-    return pairs.join(total, ["query", "passage"], "left").select("query", "passage", F.coalesce("score", F.lit(0.0)).alias("score"))
+    q = query_tokens.groupBy("query").agg(F.collect_list("v").alias("qs"))
+    p = passage_tokens.groupBy("passage").agg(F.collect_list("v").alias("ps"))
+    best = F.transform("qs", lambda a: F.array_max(F.transform("ps", lambda b: V.dot(a, b))))
+    total = F.aggregate(best, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    return pairs.join(q, "query", "left").join(p, "passage", "left").select("query", "passage", F.coalesce(total, F.lit(0.0)).alias("score"))
 
 
 def max_sim_explained(query_tokens: DataFrame, passage_tokens: DataFrame, pairs: DataFrame, top: int = 6) -> DataFrame:
@@ -183,3 +232,12 @@ def pairwise_diversity(vectors: DataFrame, group: str, vec: str) -> DataFrame:
 def mean_of_means(scores: DataFrame, prompt: str, score: str) -> DataFrame:
     """One row: the mean of each prompt's mean score."""
     return scores.groupBy(prompt).agg(F.avg(score).alias("m")).agg(F.avg("m").alias("value"))
+
+
+def concept_fidelity(made: DataFrame, prompt: str, vec: str, real: DataFrame, real_vec: str) -> DataFrame:
+    """One row (value): the mean over prompts of the mean cosine of what was made for it to the
+    concept, the unit centre of the real vectors. All vectors are brought to unit length."""
+    mean = real.select(F.posexplode(V.l2_normalise(V.as_doubles(F.col(real_vec)))).alias("d", "x")).groupBy("d").agg(F.avg("x").alias("x"))
+    concept = mean.agg(V.l2_normalise(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"])).alias("concept"))  # one entry per dimension
+    each = made.select(prompt, V.l2_normalise(V.as_doubles(F.col(vec))).alias("u")).join(F.broadcast(concept), how="inner")
+    return mean_of_means(each.select(prompt, V.dot(F.col("u"), F.col("concept")).alias("score")), prompt, "score")

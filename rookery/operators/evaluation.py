@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rookery.functions import vectors as V
 from rookery.functions.text import normalise_transcript, parsed_object
+from rookery.operators.order_statistics import beside, medians, values_at
 
 FIELDS = ("component", "severity", "error_code", "page_oncall", "action")
 
@@ -45,25 +46,80 @@ def ann_quality(truth: DataFrame, found: DataFrame, exact: DataFrame, k: int) ->
     return t.join(f, "query", "left").join(overlap, "query", "left").agg(F.avg(F.coalesce("both", F.lit(0)) / k).alias("recall"), F.avg(F.col("f") / F.col("t")).alias("quality"))
 
 
-def generation_metrics(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+def generation_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
     """Per group: fact_recall, citation_valid, gold_in_context, abstain_correct (0.0 on empty sets), p50_ms.
 
     rows: answerable, facts_found, abstained, citations_ok, gold_in_context (booleans), ms.
     """
     able, unable = F.col("answerable"), ~F.col("answerable")
     rate = lambda c, where: F.coalesce(F.avg(F.when(where, c.cast("int").cast("double"))), F.lit(0.0))
-    return rows.groupBy(*by).agg(
+    rates = rows.groupBy(*by).agg(
         rate(F.col("facts_found") & ~F.col("abstained"), able).alias("fact_recall"), rate(F.col("citations_ok"), able).alias("citation_valid"), rate(F.col("gold_in_context"), able).alias("gold_in_context"),
-        rate(F.col("abstained"), unable).alias("abstain_correct"), F.coalesce(F.median("ms"), F.lit(0.0)).alias("p50_ms"),
+        rate(F.col("abstained"), unable).alias("abstain_correct"),
     )
+    return beside(rates, medians(rows, by, "ms", "p50_ms"), by).withColumn("p50_ms", F.coalesce("p50_ms", F.lit(0.0)))
 
 
 def paradigm_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
     """As generation_metrics for compared paradigms, null where a set is empty; mean_calls added."""
-    return rows.groupBy(*by).agg(
+    rates = rows.groupBy(*by).agg(
         F.avg(F.when(F.col("answerable"), (F.col("facts_found") & ~F.col("abstained")).cast("int").cast("double"))).alias("fact_recall"),
-        F.avg(F.when(~F.col("answerable"), F.col("abstained").cast("int").cast("double"))).alias("abstain_rate"), F.median("ms").alias("p50_ms"), F.avg("calls").alias("mean_calls"),
+        F.avg(F.when(~F.col("answerable"), F.col("abstained").cast("int").cast("double"))).alias("abstain_rate"), F.avg("calls").alias("mean_calls"),
     )
+    return beside(rates, medians(rows, by, "ms", "p50_ms"), by)
+
+
+#: Characters of a context block that a judge is shown.
+JUDGED_CHARS = 900
+
+
+def shown_block(block: Column, most: int = JUDGED_CHARS) -> Column:
+    """The beginning of a context block that a judge is shown."""
+    return F.substring(block, 1, most)
+
+
+def numbered_blocks(blocks: Column) -> Column:
+    """The context blocks a judge is shown, numbered from 1."""
+    return F.array_join(F.transform(blocks, lambda b, i: F.concat(F.lit("["), i + 1, F.lit("] "), shown_block(b))), "\n\n")
+
+
+def judged(output: Column, items: str, flag: str) -> Column:
+    """struct(share, n): of the objects listed under `items` in a judge's JSON the share whose flag is
+    true; 0.0 of 0 where the output holds no such list."""
+    listed = F.coalesce(F.try_variant_get(parsed_object(output), f"$.{items}", "array<variant>"), F.array().cast("array<variant>"))
+    held = F.size(F.filter(listed, lambda x: F.coalesce(F.try_variant_get(x, f"$.{flag}", "boolean"), F.lit(False))))
+    return F.struct(F.when(F.size(listed) > 0, held / F.size(listed)).otherwise(0.0).alias("share"), F.size(listed).alias("n"))
+
+
+def faithfulness(output: Column) -> Column:
+    """struct(share, n) of an answer's claims that the context supports."""
+    return judged(output, "claims", "supported")
+
+
+def unsupported_claims(output: Column) -> Column:
+    """The claims without support, in order."""
+    listed = F.try_variant_get(parsed_object(output), "$.claims", "array<variant>")
+    bad = F.filter(listed, lambda x: ~F.coalesce(F.try_variant_get(x, "$.supported", "boolean"), F.lit(False)))
+    return F.coalesce(F.transform(bad, lambda x: F.coalesce(F.try_variant_get(x, "$.claim", "string"), F.lit(""))), F.array().cast("array<string>"))
+
+
+def context_precision(output: Column) -> Column:
+    """struct(share, n) of the retrieved blocks that were useful."""
+    return judged(output, "verdicts", "useful")
+
+
+def context_recall(output: Column) -> Column:
+    """struct(share, n) of the reference answer's sentences that the context holds."""
+    return judged(output, "sentences", "in_context")
+
+
+def answer_relevance(questions: DataFrame, generated: DataFrame, query: str, vector: str) -> DataFrame:
+    """(query, relevance): the mean cosine between a question's vector and those of the questions a
+    model would ask for its answer; 0.0 where it gave none. questions, generated: (query, vector)."""
+    q, g = questions.select(query, F.col(vector).alias("__q")), generated.select(query, F.col(vector).alias("__g"))
+    lengths = V.norm(F.col("__q")) * V.norm(F.col("__g"))
+    cosine = F.when(lengths > 0, V.dot(F.col("__q"), F.col("__g")) / lengths).otherwise(0.0)
+    return q.join(g, query, "left").groupBy(query).agg(F.coalesce(F.avg(cosine), F.lit(0.0)).alias("relevance"))
 
 
 def ragas_ratio(verdicts: Column) -> Column:
@@ -142,21 +198,18 @@ def majority_baseline(train: DataFrame, held_out: DataFrame, by: str, value: str
 
 
 def word_edits(df: DataFrame, ref: str, hyp: str) -> DataFrame:
-    """df with ref_words and word_edits: Levenshtein distance over white-space words, any vocabulary."""
-
-    @F.udf("struct<ref_words:int,word_edits:int>", useArrow=True)
-    def distance(a, b):
-        x, y = (a or "").split(), (b or "").split()
-        codes: dict[str, int] = {}
-        u, v = np.array([codes.setdefault(w, len(codes)) for w in x], np.int64), np.array([codes.setdefault(w, len(codes)) for w in y], np.int64)
-        row = np.arange(len(v) + 1)
-        ramp = np.arange(len(v) + 1)
-        for i, word in enumerate(u, 1):
-            step = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (v != word))))
-            row = np.minimum.accumulate(step - ramp) + ramp
-        return {"ref_words": len(x), "word_edits": int(row[-1])}
+    """df with ref_words and word_edits: Levenshtein distance over white-space words, any vocabulary.
 
-    return df.withColumn("__d", distance(ref, hyp)).select("*", "__d.ref_words", "__d.word_edits").drop("__d")
+    Each word becomes one character, its place among the pair's distinct words: the distance of
+    the two strings is that of the words. Places pass over the surrogates. A null is empty.
+    """
+    words = lambda c: F.filter(F.split(F.trim(F.coalesce(F.col(c), F.lit(""))), r"\s+"), lambda w: w != "")
+    known = F.array_distinct(F.concat("__a", "__b"))
+    place = lambda w: F.array_position("__k", w) + 32
+    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.when(place(w) >= 0xD800, place(w) + 0x800).otherwise(place(w))), 8, "0")), "UTF-32")
+    spelled = lambda c: F.array_join(F.transform(c, letter), "")
+    ready = df.withColumns({"__a": words(ref), "__b": words(hyp)}).withColumn("__k", known)
+    return ready.withColumns({"ref_words": F.size("__a"), "word_edits": F.levenshtein(spelled("__a"), spelled("__b"))}).drop("__a", "__b", "__k")
 
 
 def transcript_scores(df: DataFrame, ref: str, hyp: str, by: list[str] = ()) -> DataFrame:
@@ -186,22 +239,17 @@ def delta_table(metrics: DataFrame, arm: str, base: str, metric: str, value: str
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, percents: list[float]) -> DataFrame:
-    """(*by, n, p<percent>...): sorted[min(n-1, round_half_even(p/100*(n-1)))] of the non-null values.
-
-    Distinct values are counted first and ranked by running counts, so a group's rows never meet
-    in one list; the window holds its distinct values.
-    """
-    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    at = lambda p: F.least(F.col("n") - 1, F.bround(F.lit(p / 100) * (F.col("n") - 1)))
-    return placed.groupBy(*by, "n").agg(*[F.min(F.when(F.col("upto") > at(p), F.col("v"))).alias(f"p{p:g}") for p in percents])
+    """(*by, n, p<percent>...): sorted[min(n-1, round_half_even(p/100*(n-1)))] of the non-null values."""
+    at = lambda p: lambda n: F.least(n - 1, F.bround(F.lit(p / 100) * (n - 1)))
+    return values_at(df, by, value, {f"p{p:g}": at(p) for p in percents})
 
 
 def spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(*by, runs, median, spread_pct): 100 * (max - min) / median, 0 for one run."""
-    m = F.median(value)
-    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("runs"), m.alias("median"), F.when((F.count("*") > 1) & (m != 0), 100 * (F.max(value) - F.min(value)) / m).otherwise(0.0).alias("spread_pct"))
+    ok = df.where(F.col(value).isNotNull())
+    ends = beside(ok.groupBy(*by).agg(F.count("*").alias("runs"), F.min(value).alias("least"), F.max(value).alias("most")), medians(ok, by, value), by)
+    wide = F.when((F.col("runs") > 1) & (F.col("median") != 0), 100 * (F.col("most") - F.col("least")) / F.col("median")).otherwise(0.0)
+    return ends.select(*by, "runs", "median", wide.alias("spread_pct"))
 
 
 def relative_to(df: DataFrame, variant: str, value: str, base: str) -> DataFrame:
@@ -220,7 +268,21 @@ def linear_projection(df: DataFrame, size: str, cost: str, target: float, consta
 
 def throughput(df: DataFrame, by: list[str], ms: str) -> DataFrame:
     """(*by, n, qps_median, qps_total): 1000 / median, and calls over their summed time."""
-    return df.where(F.col(ms) > 0).groupBy(*by).agg(F.count("*").alias("n"), (1000 / F.median(ms)).alias("qps_median"), (1000 * F.count("*") / F.sum(ms)).alias("qps_total"))
+    ok = df.where(F.col(ms) > 0)
+    totals = ok.groupBy(*by).agg(F.count("*").alias("n"), F.sum(ms).alias("total"))
+    return beside(totals, medians(ok, by, ms), by).select(*by, "n", (1000 / F.col("median")).alias("qps_median"), (1000 * F.col("n") / F.col("total")).alias("qps_total"))
+
+
+def concurrency_sweep(calls: DataFrame, level: str, started: str, ended: str) -> DataFrame:
+    """(level, n, wall_s, qps, p50_ms, p99_ms, speedup): of calls (level, start and end in seconds) that
+    ran at so many at a time, the wall clock from the first start to the last end, calls a second,
+    nearest-rank latencies, and calls a second over those of the least level."""
+    timed = calls.where(F.col(started).isNotNull() & (F.col(ended) >= F.col(started))).withColumn("ms", (F.col(ended) - F.col(started)) * 1000)
+    walls = timed.groupBy(level).agg((F.max(ended) - F.min(started)).alias("wall_s"))
+    each = beside(nearest_rank(timed, [level], "ms", [50, 99]).withColumnsRenamed({"p50": "p50_ms", "p99": "p99_ms"}), walls, [level])
+    each = each.withColumn("qps", F.when(F.col("wall_s") > 0, F.col("n") / F.col("wall_s")))
+    base = F.first("qps").over(Window.partitionBy(F.lit(0)).orderBy(F.col(level).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # one row per level
+    return each.select(level, "n", "wall_s", "qps", "p50_ms", "p99_ms", (F.col("qps") / base).alias("speedup"))
 
 
 def perplexity(df: DataFrame, loss: str) -> DataFrame:
@@ -228,11 +290,9 @@ def perplexity(df: DataFrame, loss: str) -> DataFrame:
 
 
 def size_statistics(df: DataFrame, value: str) -> DataFrame:
-    """One row (least, upper_median, most): sorted[n // 2] by running counts of distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # distinct sizes
-    placed = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(0))))
-    return placed.agg(F.min("v").alias("least"), F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("v"))).alias("upper_median"), F.max("v").alias("most"))
+    """One row (least, upper_median, most): the middle one is sorted[n // 2]."""
+    found = values_at(df, [], value, {"least": lambda n: F.lit(0), "upper_median": lambda n: F.floor(n / 2), "most": lambda n: n - 1})
+    return found.select("least", "upper_median", "most")
 
 
 def stage_accounting(stages: DataFrame, by: list[str]) -> DataFrame:

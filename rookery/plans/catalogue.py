@@ -15,6 +15,7 @@ from rookery.functions import seams
 from rookery.functions import text as X
 from rookery.functions import vectors as V
 from rookery.operators import access, agent, audio, chunking, dense, evaluation, fusion, graph, lexical, query_side, synth
+from rookery.operators.order_statistics import medians, values_at
 from rookery.plans.service import Engine
 from rookery.session import shared_dir
 from rookery.sources.index_store import IndexStore
@@ -180,12 +181,12 @@ d8 AS (SELECT vec_id, v, c, list_transform(range(1, 65), lambda i: (c[i] + 128)
 
 @query(E_SQL + CAL_SQL + " SELECT CAST(dim AS INT) AS dim, round(low, 6) AS low, round(span, 6) AS span FROM cal")
 def int8_calibration(spark, d):
-    row = dense.calibrate_int8(_vectors(spark, d), "v")
+    row = dense.calibrate_int8(_vectors(spark, d), "v", "vec_id")
     return rounded(row.select(F.posexplode(F.arrays_zip("lows", "spans")).alias("dim", "p")).select("dim", F.col("p.lows").alias("low"), F.col("p.spans").alias("span")), "low", "span")
 
 
 def _decoded(spark, d) -> DataFrame:
-    e = dense.with_calibration(_vectors(spark, d), dense.calibrate_int8(_vectors(spark, d), "v"))
+    e = dense.with_calibration(_vectors(spark, d), dense.calibrate_int8(_vectors(spark, d), "v", "vec_id"))
     c = e.withColumn("c", V.int8_encode(F.col("v"), F.col("lows"), F.col("spans")))
     return c.withColumn("w", V.int8_decode(F.col("c"), F.col("lows"), F.col("spans")))
 
@@ -206,8 +207,16 @@ cr AS (SELECT query, item, hamming, score, row_number() OVER (PARTITION BY query
 
 
 def _cascade(spark, d, k: int = 10) -> DataFrame:
+    codes, calibration = _coded_index(spark, d)
+    return dense.cascade(codes, _asked(spark, d), "query", "qv", calibration, candidates=100, k=k)
+
+
+def _coded_index(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The embeddings' codes and their calibration, committed to an index and opened again."""
     v = _vectors(spark, d)
-    return dense.cascade(v, "vec_id", "v", _asked(spark, d), "query", "qv", dense.calibrate_int8(v, "v"), candidates=100, k=k)
+    store = _store(spark)
+    store.commit(dense.encode_codes(v, "vec_id", "v", store.calibrate(v, "v", "vec_id")).withColumn("shard_file", F.lit("embeddings.parquet")), "hash-64", 64)
+    return store.open("hash-64").select("item", "code1", "code8"), store.calibration()
 
 
 @query(CASCADE_SQL + " SELECT query, item, hamming, round(score, 6) AS score, rank FROM cr WHERE rank < 10")
@@ -229,7 +238,7 @@ def _quality(spark, d, found: DataFrame) -> DataFrame:
     truth = dense.exact_top_k(v, "vec_id", "v", asked, "query", "qv", 10, exclude_self=True)
     w = Window.partitionBy("query").orderBy("rank")
     kept = found.where("query <> item").withColumn("r", F.row_number().over(w)).where("r <= 10").select("query", "item")
-    pairs = kept.union(truth.select("query", "item")).distinct()
+    pairs = kept.join(truth.select("query", "item"), ["query", "item"], "full")
     exact = pairs.join(v.select(F.col("vec_id").alias("item"), "v"), "item").join(asked, "query").select("query", "item", V.dot(F.col("v"), F.col("qv")).alias("score"))
     return rounded(evaluation.ann_quality(truth, kept, exact, 10), "recall", "quality")
 
@@ -691,15 +700,17 @@ def agent_evidence(spark, d):
     return agent.evidence_text(hits, "query_id").withColumn("evidence", F.md5("evidence"))
 
 
-@query(E_SQL + """, sz AS (SELECT unnest([100, 300, 500]) AS size), s AS (SELECT size, query, vec_id AS item, row_number() OVER (PARTITION BY size, query ORDER BY round(list_inner_product(v, qv), 9) DESC, vec_id) - 1 AS rank FROM sz, q, e WHERE vec_id < size),
+@query(E_SQL + """, nv AS (SELECT count(*) AS n FROM e), sz AS (SELECT n // unnest([5, 2, 1]) AS size FROM nv), pl AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM e), s AS (SELECT size, query, vec_id AS item, row_number() OVER (PARTITION BY size, query ORDER BY round(list_inner_product(v, qv), 9) DESC, vec_id) - 1 AS rank FROM sz, q, e JOIN pl USING (vec_id) WHERE place < size),
 m AS (SELECT size, query, bool_or(label = 1) AS one, bool_or(label = 2) AS two FROM s JOIN e ON e.vec_id = item WHERE rank < 4 GROUP BY ALL)
-SELECT CAST(size AS INT) AS size, count(*) AS n, count_if(one AND two) AS both_hops, count_if(one <> two) AS one_hop, count_if(NOT one AND NOT two) AS neither FROM m GROUP BY size""")
+SELECT size, count(*) AS n, count_if(one AND two) AS both_hops, count_if(one <> two) AS one_hop, count_if(NOT one AND NOT two) AS neither FROM m GROUP BY size""")
 def co_retrieval(spark, d):
     v, asked = _vectors(spark, d), _asked(spark, d)
-    parts = None
-    for size in (100, 300, 500):
-        top = dense.exact_top_k(v.where(f"vec_id < {size}"), "vec_id", "v", asked, "query", "qv", 4).join(v.select(F.col("vec_id").alias("item"), "label"), "item")
-        each = top.groupBy("query").agg(F.bool_or(F.col("label") == 1).alias("one"), F.bool_or(F.col("label") == 2).alias("two")).withColumn("size", F.lit(size))
+    n, parts = v.count(), None
+    sizes = [n // 5, n // 2, n]  # a fifth, a half, and the whole table
+    bounds = values_at(v, [], "vec_id", {str(s): (lambda s: lambda _: F.lit(max(0, s - 1)))(s) for s in sizes}).first()
+    for size in sizes:
+        top = dense.exact_top_k(v.where(F.col("vec_id") <= bounds[str(size)]), "vec_id", "v", asked, "query", "qv", 4).join(v.select(F.col("vec_id").alias("item"), "label"), "item")
+        each = top.groupBy("query").agg(F.bool_or(F.col("label") == 1).alias("one"), F.bool_or(F.col("label") == 2).alias("two")).withColumn("size", F.lit(size).cast("long"))
         parts = each if parts is None else parts.unionByName(each)
     return parts.groupBy("size").agg(F.count("*").alias("n"), F.count_if(F.col("one") & F.col("two")).alias("both_hops"), F.count_if(F.col("one") != F.col("two")).alias("one_hop"), F.count_if(~F.col("one") & ~F.col("two")).alias("neither"))
 
@@ -888,7 +899,7 @@ RUN_SQL = "WITH r AS (SELECT DISTINCT run_id, regexp_replace(lower(trim(arm)), '
 
 @query(RUN_SQL + ", m AS (SELECT arm, median(p50_ms) AS v FROM r GROUP BY arm) SELECT arm AS variant, round(v, 6) AS value, round(v / (SELECT v FROM m WHERE arm = 'dense'), 6) AS ratio FROM m")
 def relative_ratio(spark, d):
-    return rounded(evaluation.relative_to(_runs(spark, d).groupBy(F.col("arm").alias("variant")).agg(F.median("p50_ms").alias("v")), "variant", "v", "dense"), "value", "ratio")
+    return rounded(evaluation.relative_to(medians(_runs(spark, d).withColumnRenamed("arm", "variant"), ["variant"], "p50_ms", "v"), "variant", "v", "dense"), "value", "ratio")
 
 
 @query(RUN_SQL + """, m AS (SELECT arm, 'recall_1' AS metric, avg(recall_1) AS v FROM r GROUP BY arm UNION ALL SELECT arm, 'mrr', avg(mrr) FROM r GROUP BY arm)
@@ -901,7 +912,7 @@ def delta_table(spark, d):
 
 @query(TIME_SQL + ", m AS (SELECT n_hits, median(retrieve_ms) AS ms FROM v GROUP BY n_hits), t AS (SELECT max(n_hits) AS measured, max_by(ms, n_hits) AS cost FROM m) SELECT measured, round(cost, 6) AS cost, round(cost * 1000 / measured + 2, 6) AS projected, cost * 1000 / measured + 2 > 300 AS too_slow FROM t")
 def projection(spark, d):
-    m = _timed(spark, d).where("retrieve_ms >= 0 and not isnan(retrieve_ms)").groupBy("n_hits").agg(F.median("retrieve_ms").alias("ms"))
+    m = medians(_timed(spark, d).where("retrieve_ms >= 0"), ["n_hits"], "retrieve_ms", "ms")
     return rounded(evaluation.linear_projection(m, "n_hits", "ms", 1000, 2.0), "cost", "projected")
 
 

@@ -90,3 +90,45 @@ def test_ann_quality(spark):
     exact = f([(1, 10, 0.9), (1, 11, 0.7), (1, 12, 0.5)], "query int, item int, score double")
     r = ev.ann_quality(truth, found, exact, 2).first()
     assert r.recall == 0.5 and abs(r.quality - 0.7 / 0.8) < 1e-12 and np.isfinite(r.quality)
+
+
+def test_order_statistics_against_numpy(spark):
+    import numpy as np
+
+    from rookery.operators import order_statistics as os_
+
+    rng = np.random.default_rng(3)
+    rows = [(None if g == 2 else f"g{g}", float(x)) for g in range(4) for x in rng.integers(0, 50, [1, 2, 400, 901][g])] + [("g1", None), ("g1", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: (r.n, r.low, r.mid, r.top) for r in os_.values_at(df, ["g"], "v", {"low": lambda n: F.lit(0), "mid": lambda n: F.floor(n / 2), "top": lambda n: n - 1}).collect()}
+    median = {r.g: r.median for r in os_.medians(df, ["g"], "v").collect()}
+    for g in ("g0", "g1", None, "g3"):
+        s = sorted(v for h, v in rows if h == g and v is not None and v == v)
+        assert got[g] == (len(s), s[0], s[len(s) // 2], s[-1]) and median[g] == np.median(s)
+    assert os_.medians(df, [], "v").first().median == np.median([v for _, v in rows if v is not None and v == v])
+    assert os_.medians(df.limit(0), ["g"], "v").count() == 0
+
+
+def test_word_edits_of_any_vocabulary(spark):
+    many = " ".join(f"w{i}" for i in range(400))
+    rows = [("a b c", "a x c"), ("", "a b"), (None, None), ("日本 b", "b 日本"), (many, many.replace("w7 ", "")), ("  a  ", "a"), ("a a a", "a")]
+    got = [(r.ref_words, r.word_edits) for r in ev.word_edits(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, r string, h string"), "r", "h").orderBy("i").collect()]
+    assert got == [(3, 1), (0, 2), (0, 0), (2, 2), (400, 1), (1, 0), (3, 2)]
+
+
+def test_judged_outputs(spark):
+    rows = [('so: {"claims": [{"claim": "x", "supported": true}, {"claim": "y", "supported": false}, {"claim": "z"}]} ok',), ('{"claims": []}',), ("no json",), (None,)]
+    df = spark.createDataFrame(rows, "o string").withColumn("i", F.monotonically_increasing_id())
+    got = df.select("i", ev.faithfulness(F.col("o")).alias("f"), ev.unsupported_claims(F.col("o")).alias("u")).orderBy("i").collect()
+    assert [(round(r.f.share, 6), r.f.n) for r in got] == [(0.333333, 3), (0.0, 0), (0.0, 0), (0.0, 0)] and [r.u for r in got] == [["y", "z"], [], [], []]
+    one = spark.createDataFrame([(["a" * 2000, "b"],)], "b array<string>").select(ev.numbered_blocks(F.col("b")).alias("x")).first().x
+    assert one == "[1] " + "a" * 900 + "\n\n[2] b"
+    q = spark.createDataFrame([("q", [3.0, 0.0]), ("r", [1.0, 0.0])], "query string, v array<double>")
+    g = spark.createDataFrame([("q", [1.0, 0.0]), ("q", [0.0, 2.0])], "query string, v array<double>")
+    assert {r["query"]: r.relevance for r in ev.answer_relevance(q, g, "query", "v").collect()} == {"q": 0.5, "r": 0.0}
+
+
+def test_concurrency_sweep(spark):
+    rows = [(1, i * 1.0, i + 1.0) for i in range(4)] + [(4, 0.0, 1.5)] * 4 + [(None, 0.0, 1.0), (2, None, 1.0)]
+    got = {r.level: r for r in ev.concurrency_sweep(spark.createDataFrame(rows, "level int, s double, e double"), "level", "s", "e").collect()}
+    assert (got[1].wall_s, got[1].qps, got[1].speedup) == (4.0, 1.0, 1.0) and abs(got[4].speedup - 4 / 1.5) < 1e-9 and got[4].p50_ms == 1500.0 and set(got) == {1, 4, None}

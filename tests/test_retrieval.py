@@ -52,9 +52,9 @@ def test_exact_top_k_blocks_agree(spark, vectors, monkeypatch):
     v, df = vectors
     q = df.where("vec_id % 40 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"))
     want = {(i, int(j), r) for i in range(0, len(v), 40) for r, j in enumerate(np.argsort(-np.round(v @ v[i], 9), kind="stable")[:7])}
-    for size in (4096, 3):
-        monkeypatch.setattr(dense, "QUERY_BLOCK", size)
-        monkeypatch.setattr(dense, "CORPUS_BLOCK", size * 40)
+    for size in (64 << 20, 6000):
+        monkeypatch.setattr(dense, "QUERY_BYTES", size)
+        monkeypatch.setattr(dense, "QUERY_ROWS", size // 3000)
         got = dense.exact_top_k(df, "vec_id", "v", q, "query", "qv", 7).collect()
         assert {(r["query"], r.item, r.rank) for r in got} == want
     assert dense.exact_top_k(df.limit(3), "vec_id", "v", q.limit(1), "query", "qv", 50).count() == 3
@@ -68,7 +68,7 @@ def test_codes(spark, vectors):
     assert words == packed.tolist()
     zero = spark.createDataFrame([([0.0] * 64,), ([-1.0] * 63 + [1.0],)], "v array<double>").select(V.binary_word(F.col("v")).alias("w")).collect()
     assert [r.w for r in zero] == [0, 1]
-    cal = dense.calibrate_int8(df, "v")
+    cal = dense.calibrate_int8(df, "v", "vec_id")
     row = cal.first()
     lows, highs = np.percentile(v, 0.1, axis=0), np.percentile(v, 99.9, axis=0)
     assert np.allclose(row.lows, lows) and np.allclose(row.spans, highs - lows) and (row.dim, row.n) == (64, 400)
@@ -78,7 +78,7 @@ def test_codes(spark, vectors):
 
 
 def test_dead_dimension(spark):
-    row = dense.calibrate_int8(spark.createDataFrame([([1.0, 2.0],), ([1.0, 4.0],)], "v array<double>"), "v").first()
+    row = dense.calibrate_int8(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 4.0])], "i int, v array<double>"), "v", "i").first()
     assert row.spans[0] == 1.0
 
 
@@ -86,7 +86,8 @@ def test_cascade_beats_binary(spark, vectors):
     v, df = vectors
     q = df.where("vec_id % 40 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"))
     truth = {(i, int(j)) for i in range(0, len(v), 40) for j in np.argsort(-(v @ v[i]), kind="stable")[:10]}
-    cas = dense.cascade(df, "vec_id", "v", q, "query", "qv", dense.calibrate_int8(df, "v"), 100, 10).collect()
+    cal = dense.calibrate_int8(df, "v", "vec_id")
+    cas = dense.cascade(dense.encode_codes(df, "vec_id", "v", cal), q, "query", "qv", cal, 100, 10).collect()
     codes = df.select("vec_id", V.binary_word(F.col("v")).alias("c"))
     ham = dense.hamming_top_k(codes, "vec_id", "c", codes.where("vec_id % 40 = 0").select(F.col("vec_id").alias("query"), F.col("c").alias("qc")), "query", "qc", 10).collect()
     hit = lambda rows: len({(r["query"], r.item) for r in rows} & truth) / len(truth)
@@ -138,3 +139,32 @@ def test_service(spark):
     with pytest.raises(ValueError):
         engine.search(q, "nope")
     assert engine.health().first().n_chunks == 3
+
+
+def test_scan_orders_ties_and_leaves_nulls_out(spark):
+    items = spark.createDataFrame([(i, [1.0, 0.0]) for i in (9, 3, 7, 5)] + [(1, None), (2, [0.5, 0.5])], "i long, v array<double>").repartition(3)
+    q = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None)], "q string, v array<double>")
+    got = dense.exact_top_k(items, "i", "v", q, "q", "v", 3).orderBy("rank").collect()
+    assert [(r["query"], r.item, r.rank) for r in got] == [("a", 3, 0), ("a", 5, 1), ("a", 7, 2)]
+    named = items.select(F.concat(F.lit("n"), "i").alias("i"), "v")
+    assert [r.item for r in dense.exact_top_k(named, "i", "v", q, "q", "v", 2).orderBy("rank").collect()] == ["n3", "n5"]
+    assert dense.exact_top_k(items, "i", "v", q.limit(0), "q", "v", 3).count() == 0
+
+
+def test_calibration_of_more_rows_takes_a_sample(spark, vectors, monkeypatch):
+    v, df = vectors
+    monkeypatch.setattr(dense, "CALIBRATION_ROWS", 150)
+    row = dense.calibrate_int8(df, "v", "vec_id").first()
+    assert 80 < row.n < 220 and np.abs(np.array(row.lows) - v.min(0)).max() < 1.5
+
+
+def test_half_precision_keeps_nulls(spark):
+    df = spark.createDataFrame([(1, [0.1, 2.0]), (2, None), (3, [])], "i int, v array<float>")
+    got = {r.i: r.half for r in dense.to_half(df, "v").collect()}
+    assert got[2] is None and got[3] == [] and got[1] == [float(np.float32(np.float16(0.1))), 2.0]
+
+
+def test_concept_fidelity(spark):
+    real = spark.createDataFrame([([2.0, 0.0],), ([0.0, 3.0],)], "r array<double>")
+    made = spark.createDataFrame([("p", [1.0, 1.0]), ("p", [5.0, 5.0]), ("q", [1.0, -1.0])], "prompt string, v array<double>")
+    assert abs(dense.concept_fidelity(made, "prompt", "v", real, "r").first().value - 0.5) < 1e-12

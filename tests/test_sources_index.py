@@ -143,3 +143,49 @@ def test_audio(spark):
     assert [r.augmented for r in a.orderBy("i").collect()] == [r.augmented for r in a.repartition(3).orderBy("i").collect()]
     r = audio.resampled(spark.createDataFrame([([0.0, 1.0] * 4000, 8000), ([0.0] * 10, 8000)], "s array<float>, r int"), "s", "r").collect()
     assert len(r[0].resampled) == 16000 and r[1].resampled is None
+
+
+def test_index_holds_codes_and_one_calibration(spark, tmp_path):
+    from rookery.operators import dense
+
+    store = IndexStore(spark, str(tmp_path / "codes"))
+    v = spark.range(40).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(i * (F.col("id") + 1))).alias("v"))
+    for shard, low in (("a", 0), ("b", 20)):
+        part = v.where(f"id >= {low} and id < {low + 20}")
+        store.commit(dense.encode_codes(part, "id", "v", store.calibrate(part, "v", "id")).withColumn("shard_file", F.lit(shard)), "m", 64)
+    assert set(store.open("m").columns) == {"item", "code1", "code8", "shard_file"} and store.open("m", verify=False).count() == 40
+    assert store.calibration().first().n == 20 and tuple(store.totals().first()) == (2, 40, 0)
+
+
+def test_commit_works_rows_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows_once = rows(spark, "a", 30).mapInArrow(count, "shard_file string, row long, text_chars int")
+    IndexStore(spark, str(tmp_path / "once")).commit(rows_once, "m", 8)
+    assert seen.value == 30
+
+
+def test_shared_folder_is_required_on_clusters(spark):
+    from rookery import session
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = spark.sparkContext._jsc
+
+    class Bare:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            session.shared_dir(Bare)
+    kept = session.materialise(spark.range(3))
+    path = kept._rookery_path.replace("file:", "").replace("//", "/")
+    assert os.path.isdir(path)
+    session.drop(kept)
+    assert not os.path.exists(path)
