@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Token pattern that keeps identifiers such as tlm-330 whole; list-item lead.
@@ -55,6 +57,21 @@ def with_context(context: Column, chunk: Column) -> Column:
     return F.concat(context, F.lit("\n\n"), chunk)
 
 
+def situating_prompt(document: Column, chunk: Column, most: int = 8000) -> Column:
+    """What a model is asked for a chunk's context: the document up to `most` characters (a model's
+    window, the chunk itself is whole) and the chunk."""
+    ask = "Say in one short sentence what this document is about and which part of it the chunk covers. Give only the sentence."
+    return F.concat(F.lit("<document>\n"), F.substring(document, 1, most), F.lit("\n</document>\n\n<chunk>\n"), chunk, F.lit(f"\n</chunk>\n\n{ask}"))
+
+
+def contextual_chunks(df: DataFrame, document: str, chunk: str, generate: Callable[[DataFrame], DataFrame], most: int = 8000) -> DataFrame:
+    """df with contextual: the chunk below the context a model writes for it. generate takes df with a
+    prompt column and adds context; where that is null or blank the chunk stands alone."""
+    made = generate(df.withColumn("prompt", situating_prompt(F.col(document), F.col(chunk), most)))
+    said = F.trim("context")
+    return made.withColumn("contextual", F.when(F.coalesce(said, F.lit("")) != "", with_context(said, F.col(chunk))).otherwise(F.col(chunk))).drop("prompt", "context")
+
+
 def outline(text: Column, stem: Column) -> Column:
     """struct(title, sections, n_bytes): first '# ' line (else stem), the '## ' lines, UTF-8 size."""
     lines = F.split(text, "\n")

@@ -42,14 +42,20 @@ def rerank(hits: DataFrame, score: Column, top_k: int | None) -> DataFrame:
     return ranked.where(F.col("rank") < top_k) if top_k else ranked
 
 
-def retrieve(mode: str, dense: DataFrame, lexical: DataFrame, top_k: int = 4, score: Callable[[DataFrame], DataFrame] | None = None, candidates: int = CANDIDATES) -> DataFrame:
-    """The hits of a mode (hybrid, dense or bm25), reranked to top_k by score(hits) if given, else cut."""
-    if mode == "hybrid":
+def arms_of(mode: str) -> tuple[bool, bool]:
+    """Whether a mode needs the dense and the BM25 arm."""
+    if mode not in ("hybrid", "dense", "bm25"):
+        raise ValueError(f"unknown mode: {mode}")
+    return mode != "bm25", mode != "dense"
+
+
+def retrieve(mode: str, dense: DataFrame | None, lexical: DataFrame | None, top_k: int = 4, score: Callable[[DataFrame], DataFrame] | None = None, candidates: int = CANDIDATES) -> DataFrame:
+    """The hits of a mode (hybrid, dense or bm25), reranked to top_k by score(hits) if given, else cut.
+    An arm the mode doesn't need may be None."""
+    if all(arms_of(mode)):
         hits = reciprocal_rank_fusion(dense, lexical, candidates, candidates=candidates)
-    elif mode in ("dense", "bm25"):
-        hits = single_arm(dense if mode == "dense" else lexical, candidates, mode == "dense")
     else:
-        raise ValueError(f"unknown mode: {mode}")
+        hits = single_arm(dense if mode == "dense" else lexical, candidates, mode == "dense")
     return score(hits) if score else hits.where(F.col("rank") < top_k)
 
 

@@ -62,8 +62,16 @@ def walk(starts: DataFrame, edges: DataFrame, hops: int = 2, limit: int = NEIGHB
     Edges count once per start by (s, r, o), at their least depth, with the least source; visited
     nodes aren't expanded again; a start that has `limit` edges after a depth stops, and each
     start's list is cut to `limit`. starts: (query, node). One pair of joins per hop.
+
+    A start that goes on has found fewer than `limit` edges and takes `limit` more at most, in the
+    order of (s, r, o), so of any node only the first 2 * limit edges in that order can matter. Hubs
+    are cut to them before any join, and each depth to `limit` per start, which changes no result.
     """
-    ends = materialise(edges.select(F.col("s").alias("node"), "s", "r", "o", "source").union(edges.select("o", "s", "r", "o", "source")))
+    both = edges.select(F.col("s").alias("node"), "s", "r", "o", "source").union(edges.select("o", "s", "r", "o", "source"))
+    once = both.groupBy("node", "s", "r", "o").agg(F.min("source").alias("source"))
+    in_order = Window.partitionBy("node").orderBy("s", "r", "o")
+    ends = materialise(once.withColumn("at", F.row_number().over(in_order)).where(F.col("at") <= 2 * limit).drop("at"))
+    first = Window.partitionBy("query", "start").orderBy("s", "r", "o")
     seen_from = materialise(starts.select("query", F.col("node").alias("start"), "node").distinct().join(ends.select("node"), "node", "left_semi"))
     frontier, visited, found = seen_from, seen_from, None
     for depth in range(1, hops + 1):
@@ -72,7 +80,7 @@ def walk(starts: DataFrame, edges: DataFrame, hops: int = 2, limit: int = NEIGHB
             met = met.join(found, ["query", "start", "s", "r", "o"], "left_anti")
             full = found.groupBy("query", "start").agg(F.count("*").alias("c")).where(F.col("c") >= limit)
             met = met.join(full, ["query", "start"], "left_anti").select(found.columns)
-        met = materialise(met)
+        met = materialise(met.withColumn("at", F.row_number().over(first)).where(F.col("at") <= limit).drop("at"))
         found = met if found is None else found.union(met)
         if depth < hops:
             reached = met.select("query", "start", F.explode(F.array("s", "o")).alias("node")).distinct()

@@ -36,14 +36,19 @@ def index(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return t.select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
-def bm25_scores(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, question: str) -> DataFrame:
+def stored_index(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """index() written to the shared folder, for bm25_scores of several query sets."""
+    return materialise(index(docs, doc, text))
+
+
+def bm25_scores(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, question: str, posted: DataFrame | None = None) -> DataFrame:
     """(query, doc, score) of every document that shares a term with the query.
 
-    The index is built once and written to the shared folder. Repeated query terms count each
-    time; null and empty texts count as documents of length 0. The postings are reduced to the
-    queries' terms by a semi-join before they meet them.
+    posted is a stored_index() of docs; without one it is written here, once. Repeated query terms
+    count each time; null and empty texts count as documents of length 0. The postings are reduced
+    to the queries' terms by a semi-join before they meet them.
     """
-    posted = materialise(index(docs, doc, text))
+    posted = stored_index(docs, doc, text) if posted is None else posted
     held = docs.agg(F.count("*").alias("n"))
     corpus = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")).join(held, how="inner").select("n", (F.col("total") / F.col("n")).alias("avgdl"))  # one row
     raw = document_frequency(posted).join(F.broadcast(corpus.select("n")), how="inner").select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))

@@ -16,7 +16,7 @@ from rookery.functions import text as X
 from rookery.functions import vectors as V
 from rookery.operators import access, agent, audio, chunking, dense, evaluation, fusion, graph, lexical, query_side, synth
 from rookery.operators.order_statistics import medians, values_at
-from rookery.plans.service import Engine
+from rookery.plans.service import Engine, index_stats
 from rookery.session import shared_dir
 from rookery.sources.index_store import IndexStore
 from rookery.streaming.incremental import chunk_shards, windowed_latency
@@ -343,11 +343,19 @@ def adherence(spark, d):
 # ---------------------------------------------------------------- fusion and retrieval
 
 
-def _arms(spark, d) -> tuple[DataFrame, DataFrame]:
-    """The dense arm (a question's vector is that of its number, a chunk's that of its key) and BM25."""
+def _dense_arm(spark, d) -> DataFrame:
+    """A question's vector is that of its number, a chunk's that of its key."""
     asked = questions(spark, d).join(_vectors(spark, d).select(F.col("vec_id").alias("query"), F.col("v").alias("qv")), "query")
-    arm = dense.exact_top_k(_vectors(spark, d), "vec_id", "v", asked, "query", "qv", 20)
-    return arm, lexical.bm25_top_k(_bm25(spark, d), 20).withColumnRenamed("doc", "item")
+    return dense.exact_top_k(_vectors(spark, d), "vec_id", "v", asked, "query", "qv", 20)
+
+
+def _lexical_arm(spark, d) -> DataFrame:
+    return lexical.bm25_top_k(_bm25(spark, d), 20).withColumnRenamed("doc", "item")
+
+
+def _arms(spark, d, mode: str = "hybrid") -> tuple[DataFrame | None, DataFrame | None]:
+    needs_dense, needs_lexical = fusion.arms_of(mode)
+    return _dense_arm(spark, d) if needs_dense else None, _lexical_arm(spark, d) if needs_lexical else None
 
 
 ARMS_SQL = BM25_SQL + """, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -367,12 +375,12 @@ def rrf_fusion(spark, d):
 
 @query(ARMS_SQL + " SELECT query, item, round(score, 6) AS rrf_score, rank AS dense_rank, CAST(NULL AS INT) AS bm25_rank, rank FROM da WHERE rank < 10")
 def dense_only(spark, d):
-    return rounded(fusion.single_arm(_arms(spark, d)[0], 10, True), "rrf_score")
+    return rounded(fusion.single_arm(_dense_arm(spark, d), 10, True), "rrf_score")
 
 
 @query(ARMS_SQL + " SELECT query, item, round(score, 6) AS rrf_score, CAST(NULL AS INT) AS dense_rank, rank AS bm25_rank, rank FROM la WHERE rank < 10")
 def bm25_only(spark, d):
-    return rounded(fusion.single_arm(_arms(spark, d)[1], 10, False), "rrf_score")
+    return rounded(fusion.single_arm(_lexical_arm(spark, d), 10, False), "rrf_score")
 
 
 def _payload(spark, d) -> DataFrame:
@@ -388,8 +396,8 @@ def hybrid_hits(spark, d):
 OVERLAP_SQL = f"""coalesce(len(list_intersect(list_distinct(regexp_extract_all(lower(q.question), '{PAT}')), regexp_extract_all(lower(c.body), '{PAT}'))) / len(list_distinct(regexp_extract_all(lower(q.question), '{PAT}'))), 0)"""
 
 
-def _reranked(spark, d, mode: str, rerank: bool, k: int = 4) -> DataFrame:
-    arm_d, arm_l = _arms(spark, d)
+def _reranked(spark, d, mode: str, rerank: bool, k: int = 4, arms: tuple | None = None) -> DataFrame:
+    arm_d, arm_l = arms or _arms(spark, d, mode)
 
     def second(hits: DataFrame) -> DataFrame:
         full = hits.join(_payload(spark, d), "item").join(questions(spark, d), "query")
@@ -411,9 +419,9 @@ def _gold(spark, d) -> DataFrame:
 
 
 def _sweep(spark, d, modes: list[tuple[str, bool]]) -> DataFrame:
-    parts = None
+    parts, arms = None, _arms(spark, d)
     for mode, again in modes:
-        hits = _reranked(spark, d, mode, again).select(F.lit(mode + (" + rerank" if again else "")).alias("arm"), "query", "rank", "source")
+        hits = _reranked(spark, d, mode, again, arms=arms).select(F.lit(mode + (" + rerank" if again else "")).alias("arm"), "query", "rank", "source")
         parts = hits if parts is None else parts.unionByName(hits)
     return rounded(evaluation.retrieval_metrics(parts, _gold(spark, d), ["arm"], 4), "recall_1", "recall_3", "mrr")
 
@@ -431,7 +439,12 @@ def retriever_sweep(spark, d):
     return _sweep(spark, d, [("dense", False), ("bm25", False), ("hybrid", False)])
 
 
-@query()
+RERANK_SQL = ARMS_SQL + f""", cand AS (SELECT 'dense + rerank' AS arm, query, item FROM da WHERE rank < 20 UNION ALL SELECT 'bm25 + rerank', query, item FROM la UNION ALL SELECT 'hybrid + rerank', query, item FROM fr WHERE rank < 20),
+rs AS (SELECT n.arm, n.query, n.item, c.source, {OVERLAP_SQL} AS rerank_score FROM cand n JOIN chunks c ON c.chunk_key = n.item JOIN q ON q.query = n.query),
+h AS (SELECT arm, query, source, rank FROM (SELECT *, row_number() OVER (PARTITION BY arm, query ORDER BY round(rerank_score, 9) DESC, item) - 1 AS rank FROM rs) WHERE rank < 4)"""
+
+
+@query(RERANK_SQL + METRIC_SQL)
 def retriever_sweep_reranked(spark, d):
     return _sweep(spark, d, [("dense", True), ("bm25", True), ("hybrid", True)])
 
@@ -651,12 +664,15 @@ def graph_chunks(spark, d):
     return graph.blocks(facts, graph.retrieve_chunks(facts, chunks, "chunk", "body"))
 
 
-@query()
+@query(EDGE_SQL + """, l AS (SELECT s AS a, o AS b FROM g UNION SELECT o, s FROM g),
+reach AS (WITH RECURSIVE w AS (SELECT node AS a, node AS b FROM nodes UNION SELECT w.a, l.b FROM w JOIN l ON l.a = w.b) SELECT * FROM w),
+c AS (SELECT a, min(b) AS component FROM reach GROUP BY a), z AS (SELECT component, count(*) AS n FROM c GROUP BY component)
+SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM g) AS edges, (SELECT count(*) FROM g) AS triples, (SELECT count(*) FROM z) AS components, (SELECT max(n) FROM z) AS largest_component""")
 def graph_stats(spark, d):
     return graph.stats(_edges(spark, d))
 
 
-@query()
+@query("""SELECT replace(lower(trim(n_name)), '_', ' ') AS s, 'part_of' AS r, replace(lower(trim(r_name)), '_', ' ') AS o, 'n::' || n_nationkey AS source FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def graph_extract(spark, d):
     made = table(spark, d, "nation").join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey")).select(
         F.concat(F.lit("n::"), "n_nationkey").alias("source"), F.concat(F.lit('Here: {"triples": [{"s": "'), "n_name", F.lit('", "r": "Part Of", "o": "'), "r_name", F.lit('"}, 7, {"s": "", "r": "x", "o": "y"}]} done')).alias("output")
@@ -733,7 +749,13 @@ def multi_query_union(spark, d):
     return query_side.query_union(qa.select(F.col("id").alias("query"), F.col("question").alias("text"), F.lit(0).alias("ordinal")).union(more))
 
 
-@query()
+@query(r"""WITH c AS (SELECT id, question, CASE WHEN regexp_matches(question, '\b[A-Z]{2,}\d*-\d{2,}\b|\b[A-Z]+_[A-Z_]+\b') THEN 'lookup' WHEN regexp_matches(lower(question), '\b(compared?|versus|vs|difference|better|or must)\b') THEN 'comparison' ELSE 'conceptual' END AS category FROM qa_set WHERE question IS NOT NULL),
+l AS (SELECT *, list_transform(string_split('1. ' || lower(question) || chr(10) || '2. ' || question, chr(10)), lambda x: trim(regexp_replace(x, '^\s*[-*\d.)]+\s*', ''))) AS lines FROM c),
+s AS (SELECT *, list_filter(lines, lambda x: length(x) > 5) AS subs, list_filter(lines, lambda x: length(x) > 3)[1:3] AS vars FROM l),
+v AS (SELECT *, CASE WHEN list_contains(vars, question) THEN vars ELSE [question] || vars END AS variants, CASE WHEN len(subs) > 0 THEN subs ELSE [question] END AS parts FROM s),
+b AS (SELECT *, CASE category WHEN 'comparison' THEN parts || variants WHEN 'conceptual' THEN [question] || variants ELSE [question] END AS x FROM v),
+f AS (SELECT *, list_filter(x, lambda y, i: NOT list_contains(x[1 : i - 1], y)) AS qs FROM b)
+SELECT id, category, array_to_string(CASE WHEN category = 'conceptual' THEN qs || ['It is known that ' || question] ELSE qs END, '|') AS queries FROM f""")
 def prepared_queries(spark, d):
     qa = table(spark, d, "qa_set").where("question is not null").select("id", "question", query_side.rule_classifier(F.col("question")).alias("raw"))
     listed = F.concat(F.lit("1. "), F.lower("question"), F.lit("\n2. "), "question")
@@ -764,16 +786,25 @@ def _chat(spark, d) -> DataFrame:
     )
 
 
-@query(CHAT_SQL + ", tr AS (SELECT DISTINCT said FROM ch WHERE split = 'train' AND said IS NOT NULL) SELECT split, count(*) AS n, round(avg(CASE WHEN said IN (SELECT said FROM tr) THEN 1.0 ELSE 0 END), 6) AS leaked_share FROM ch WHERE split <> 'train' GROUP BY split")
+TURN_SQL = "WITH ch AS (SELECT example_id, lower(trim(split)) AS split, unnest(list_filter(messages, lambda m: lower(trim(m.role)) = 'user')).content AS said FROM chat_examples)"
+
+
+def _turns(spark, d) -> DataFrame:
+    """Every user turn of every example."""
+    users = F.filter("messages", lambda m: F.lower(F.trim(m["role"])) == "user")
+    return table(spark, d, "chat_examples").select("example_id", F.lower(F.trim("split")).alias("split"), F.explode(users).alias("m")).select("example_id", "split", F.col("m.content").alias("said"))
+
+
+@query(TURN_SQL + ", tr AS (SELECT DISTINCT said FROM ch WHERE split = 'train' AND said IS NOT NULL) SELECT split, count(*) AS n, round(avg(CASE WHEN said IN (SELECT said FROM tr) THEN 1.0 ELSE 0 END), 6) AS leaked_share FROM ch WHERE split <> 'train' GROUP BY split")
 def leakage_share(spark, d):
-    ch = _chat(spark, d)
+    ch = _turns(spark, d)
     return rounded(synth.leaked(ch.where("split <> 'train'"), ch.where("split = 'train'"), "said").groupBy("split").agg(F.count("*").alias("n"), evaluation.share(F.col("leaked")).alias("leaked_share")), "leaked_share")
 
 
-@query(CHAT_SQL + """, tr AS (SELECT DISTINCT said FROM ch WHERE split = 'train' AND said IS NOT NULL), l AS (SELECT coalesce(said IN (SELECT said FROM tr), false) AS leaked, length(said) AS size FROM ch WHERE split <> 'train')
+@query(TURN_SQL + """, tr AS (SELECT DISTINCT said FROM ch WHERE split = 'train' AND said IS NOT NULL), l AS (SELECT coalesce(said IN (SELECT said FROM tr), false) AS leaked, length(said) AS size FROM ch WHERE split <> 'train')
 SELECT leaked, count(*) AS n, round(avg(size), 6) AS mean_chars FROM l GROUP BY leaked""")
 def leaked_split(spark, d):
-    ch = _chat(spark, d)
+    ch = _turns(spark, d)
     return rounded(synth.leaked(ch.where("split <> 'train'"), ch.where("split = 'train'"), "said").groupBy("leaked").agg(F.count("*").alias("n"), F.avg(F.length("said")).alias("mean_chars")), "mean_chars")
 
 
@@ -804,7 +835,7 @@ def field_accuracy(spark, d):
     return rounded(evaluation.output_scores(_scored(spark, d)).drop("json_valid", "schema_valid"), *evaluation.FIELDS, "exact")
 
 
-@query()
+@query(JSON_SQL + f", fo AS (SELECT example_id, json_valid, schema_valid, {_FIELD_SQL} FROM sc) SELECT example_id, json_valid, schema_valid FROM fo WHERE NOT (schema_valid AND " + " AND ".join(f"{f}_ok" for f in evaluation.FIELDS) + ") ORDER BY example_id LIMIT 8")
 def scored_failures(spark, d):
     return evaluation.failures(_scored(spark, d), "example_id").select("example_id", "json_valid", "schema_valid")
 
@@ -963,6 +994,46 @@ def ragas_scores(spark, d):
     return rounded(v.withColumn("overall", evaluation.ragas_overall(F.col("context_precision"), F.col("answer_relevance"))), "context_precision", "answer_relevance", "overall")
 
 
+JUDGED = "CASE n_hits % 3 WHEN 0 THEN concat('{\"verdicts\": [{\"useful\": true}, {\"useful\": ', CASE WHEN n_hits > 4 THEN 'true' ELSE 'false' END, '}]}') WHEN 1 THEN 'as asked: {\"verdicts\": [{\"useful\": false}, {}, {\"useful\": true}]}' ELSE 'no verdict' END"
+
+
+@query("WITH r AS (SELECT DISTINCT request_id, n_hits FROM rag_results WHERE n_hits IS NOT NULL) SELECT request_id, round(CASE n_hits % 3 WHEN 0 THEN CASE WHEN n_hits > 4 THEN 1.0 ELSE 0.5 END WHEN 1 THEN 1.0 / 3 ELSE 0 END, 6)::DOUBLE AS context_precision, CAST(CASE n_hits % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS INT) AS judged FROM r")
+def judged_precision(spark, d):
+    rows = table(spark, d, "rag_results").where("n_hits is not null").select("request_id", "n_hits").distinct().select("request_id", F.expr(JUDGED).alias("output"))
+    v = rows.select("request_id", evaluation.context_precision(F.col("output")).alias("p"))
+    return v.select("request_id", F.round("p.share", 6).alias("context_precision"), F.col("p.n").alias("judged"))
+
+
+@query(E_SQL + """, x AS (SELECT q.query, list_inner_product(q.qv, e.v) / sqrt(list_inner_product(q.qv, q.qv) * list_inner_product(e.v, e.v)) AS c FROM q LEFT JOIN e ON e.vec_id > q.query AND e.vec_id <= q.query + 3)
+SELECT query, round(coalesce(avg(c), 0), 6) AS relevance FROM x GROUP BY query""")
+def answer_relevance(spark, d):
+    made = _vectors(spark, d).select(F.expr("cast((vec_id - 1) div 50 * 50 as bigint)").alias("query"), "vec_id", "v").where("vec_id > query and vec_id <= query + 3").select("query", "v")
+    return rounded(evaluation.answer_relevance(_asked(spark, d).select("query", F.col("qv").alias("v")), made, "query", "v"), "relevance")
+
+
+@query(E_SQL + """, u AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM e), x AS (SELECT label, unnest(range(0, 64)) AS d, unnest(u) AS x FROM u),
+c AS (SELECT list(x ORDER BY d) AS c FROM (SELECT d, avg(x) AS x FROM x WHERE label = 0 GROUP BY d)), m AS (SELECT label, avg(list_inner_product(u, c) / sqrt(list_inner_product(c, c))) AS m FROM u, c WHERE label <> 0 GROUP BY label) SELECT round(avg(m), 6) AS value FROM m""")
+def concept_fidelity(spark, d):
+    v = _vectors(spark, d)
+    return rounded(dense.concept_fidelity(v.where("label <> 0"), "label", "v", v.where("label = 0"), "v"), "value")
+
+
+@query(TIME_SQL + """, s AS (SELECT n_hits AS level, epoch(asked_at) AS a, epoch(asked_at) + retrieve_ms / 1000 AS b FROM v WHERE asked_at IS NOT NULL), l AS (SELECT level, list_sort(list((b - a) * 1000)) AS t, count(*) AS n, max(b) - min(a) AS wall FROM s GROUP BY level),
+z AS (SELECT *, n / wall AS qps FROM l) SELECT level, n, round(wall, 3) AS wall_s, round(qps, 9) AS qps, round(t[1 + CAST(least(n - 1, round_even(0.5 * (n - 1), 0)) AS BIGINT)], 1) AS p50_ms, round(t[1 + CAST(least(n - 1, round_even(0.99 * (n - 1), 0)) AS BIGINT)], 1) AS p99_ms,
+round(qps / first_value(qps) OVER (ORDER BY level NULLS LAST), 6) AS speedup FROM z""")
+def concurrency_sweep(spark, d):
+    start = F.unix_micros(F.col("asked_at").cast("timestamp")) / 1e6
+    calls = _timed(spark, d).where("retrieve_ms >= 0 and not isnan(retrieve_ms) and asked_at is not null").select(F.col("n_hits").alias("level"), start.alias("a"), (start + F.col("retrieve_ms") / 1000).alias("b"))
+    each = evaluation.concurrency_sweep(calls, "level", "a", "b")
+    return rounded(rounded(rounded(rounded(each, "speedup"), "qps", digits=9), "wall_s", digits=3), "p50_ms", "p99_ms", digits=1)
+
+
+@query("SELECT chunk_key, CASE WHEN trim(coalesce(source, '')) <> '' THEN trim(source) || chr(10) || chr(10) || body ELSE body END AS contextual FROM chunks WHERE body IS NOT NULL AND text IS NOT NULL")
+def contextual_prefix(spark, d):
+    ready = table(spark, d, "chunks").where("body is not null and text is not null").select("chunk_key", "text", "body", "source")
+    return X.contextual_chunks(ready, "text", "body", lambda df: df.withColumn("context", F.col("source"))).select("chunk_key", "contextual")
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', asked_at) AS window_start, mode, count(*) AS n, round(avg(retrieve_ms), 6) AS mean_value, max(retrieve_ms) AS max_value FROM (" + TIME_SQL + " SELECT * FROM v) WHERE asked_at IS NOT NULL GROUP BY ALL")
 def hourly_latency(spark, d):
     return rounded(windowed_latency(_timed(spark, d).where("retrieve_ms >= 0 and not isnan(retrieve_ms) and asked_at is not null"), "asked_at", "mode", "retrieve_ms"), "mean_value")
@@ -1010,8 +1081,8 @@ def completion_labels(spark, d):
 
 @query()
 def synthetic_incidents(spark, d):
-    names = [r.n_name.lower() for r in table(spark, d, "nation").orderBy("n_nationkey").collect()]  # 25 rows
-    choices = {"component": names[:5], "code": ["TLM-101", "CON-202", "VIS-303"], "severity": ["SEV1", "SEV2", "SEV3"], "cell": names[5:15], "symptom": ["is stuck", "drifts", "restarts"], "action": ["restart", "inspect", "page"]}
+    names = [r.n_name.lower() for r in table(spark, d, "nation").orderBy("n_nationkey").collect()]  # one per nation, a fixed table
+    choices = {"component": names[:5], "code": ["TLM-101", "CON-202", "VIS-303"], "severity": ["SEV1", "SEV2", "SEV3"], "cell": names[5:], "symptom": ["is stuck", "drifts", "restarts"], "action": ["restart", "inspect", "page"]}
     made = synth.incident_examples(spark, 2000, 7, choices, ["{component} at {cell} {symptom} {code}", "In {cell} the {component} {symptom}. {code}"], "Return JSON only.")
     return synth.distinct_examples(made, F.col("messages")[1]["content"], 500).select("id", F.col("messages")[1]["content"].alias("report"), F.col("messages")[2]["content"].alias("label"))
 
@@ -1057,12 +1128,14 @@ def scope_check(spark, d):
     return access.scope_checks(_calls(spark, d)).select("event_id", "tool", "allowed", "missing")
 
 
-@query()
+@query("""WITH c AS (SELECT DISTINCT CASE user_id % 3 WHEN 0 THEN ['docs:read'] WHEN 1 THEN ['docs:read', 'docs:ask'] ELSE ['incidents:triage'] END AS scopes FROM events),
+t AS (SELECT * FROM (VALUES (1, 'list_documents', 'docs:read'), (2, 'search', 'docs:read'), (3, 'ask', 'docs:ask'), (4, 'triage', 'incidents:triage')) v(n, tool, scope))
+SELECT array_to_string(scopes, ' ') AS scopes, string_agg(tool, ',' ORDER BY n) AS tools FROM c JOIN t ON list_contains(scopes, scope) GROUP BY scopes""")
 def allowed_tools(spark, d):
     return _calls(spark, d).select(F.array_join("scopes", " ").alias("scopes"), F.array_join(access.allowed_tools(F.col("scopes")), ",").alias("tools")).distinct()
 
 
-@query()
+@query("""SELECT c_custkey, rtrim(translate(base64(unhex(sha256(c_name || '-verifier'))), '+/', '-_'), '=') AS challenge, true AS valid, false AS plain_valid FROM customer""")
 def pkce_challenges(spark, d):
     v = table(spark, d, "customer").select("c_custkey", F.concat("c_name", F.lit("-verifier")).alias("v"))
     c = access.pkce_challenge(F.col("v"))
@@ -1112,3 +1185,24 @@ def service_ask(spark, d):
 @query()
 def service_compare(spark, d):
     return _engine(spark, d).compare(questions(spark, d).withColumnRenamed("query", "qid"))
+
+
+@query()
+def service_ask_stream(spark, d):
+    return _engine(spark, d).ask_stream(questions(spark, d).withColumnRenamed("query", "qid"))
+
+
+@query(CHAT_SQL + """, r AS (SELECT example_id AS qid, output AS raw, CASE WHEN regexp_extract(output, '(?s)```(?:json)?\\s*(.*?)```', 1) <> '' THEN regexp_extract(output, '(?s)```(?:json)?\\s*(.*?)```', 1) ELSE output END AS t FROM ch WHERE said IS NOT NULL),
+j AS (SELECT qid, raw, regexp_extract(t, '(?s)\\{.*\\}', 0) AS o FROM r), k AS (SELECT qid, raw, CASE WHEN o <> '' AND json_valid(o) THEN o::JSON END AS k FROM j)
+SELECT qid, json_extract_string(k, '$.component') AS component, json_extract_string(k, '$.severity') AS severity, CASE WHEN k IS NULL THEN 'model did not return valid JSON' END AS error FROM k""")
+def service_triage(spark, d):
+    ch = _chat(spark, d).where("said is not null")
+    reports, said = ch.select(F.col("example_id").alias("qid"), F.col("said").alias("report")), ch.select(F.col("example_id").alias("qid"), F.col("output").alias("raw"))
+    return _engine(spark, d).triage(reports, lambda df: df.join(said, "qid")).select("qid", "component", "severity", "error")
+
+
+@query(SPAN_SQL + " SELECT 'ok' AS status, count(DISTINCT lower(trim(coalesce(d.source, 'none')))) AS shards, count(*) AS n_chunks, CAST(sum(char_end - char_start) AS BIGINT) AS text_chars, 'hash-64' AS model, 64 AS dim, (SELECT count(*) FROM documents) AS documents FROM sp JOIN documents d USING (doc_id)")
+def service_index_stats(spark, d):
+    store = _store(spark)
+    store.commit(_shards(spark, d), "hash-64", 64)
+    return index_stats(store, table(spark, d, "documents"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,13 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rookery.functions import seams
-from rookery.functions.text import approx_tokens, outline
-from rookery.operators import dense, fusion, lexical
+from rookery.functions.text import approx_tokens, outline, parsed_object
+from rookery.operators import dense, evaluation, fusion, lexical
+from rookery.sources.index_store import IndexStore
 from rookery.sources.readers import read_document
 
-MODES = ("hybrid", "dense", "bm25")
-
-
 def clamp(k: int, low: int = 1, high: int = 12) -> int:
     return max(low, min(k, high))
 
@@ -28,18 +27,22 @@ class Engine:
     generate: Callable[[DataFrame], DataFrame] | None = None
     candidates: int = fusion.CANDIDATES
 
-    def _check(self, mode: str) -> None:
-        if mode not in MODES:
-            raise ValueError(f"unknown mode: {mode}")
+    @functools.cached_property
+    def _postings(self) -> DataFrame:
+        """The lexical index, written on first need and used by every later search."""
+        return lexical.stored_index(self.chunks, "id", "body")
 
     def search(self, questions: DataFrame, mode: str = "hybrid", top_k: int = 4, rerank: bool = True) -> DataFrame:
         """(query, item, rank, rrf_score, dense_rank, bm25_rank, body, source, breadcrumb); questions
         under three characters are left out; top_k is held within 1..12."""
-        self._check(mode)
         k = clamp(top_k)
         asked = questions.where("length(question) >= 3").withColumn("qv", seams.embed()(F.col("question")))
-        arm_d = dense.exact_top_k(self.chunks, "id", "embedding", asked, "qid", "qv", self.candidates)
-        arm_l = lexical.bm25_top_k(lexical.bm25_scores(self.chunks, "id", "body", asked, "qid", "question"), self.candidates).withColumnRenamed("doc", "item")
+        needs_dense, needs_lexical = fusion.arms_of(mode)
+        arm_d = dense.exact_top_k(self.chunks, "id", "embedding", asked, "qid", "qv", self.candidates) if needs_dense else None
+        arm_l = None
+        if needs_lexical:
+            scores = lexical.bm25_scores(self.chunks, "id", "body", asked, "qid", "question", self._postings)
+            arm_l = lexical.bm25_top_k(scores, self.candidates).withColumnRenamed("doc", "item")
         payload = self.chunks.select(F.col("id").alias("item"), "body", "source", "breadcrumb")
         words = asked.select(F.col("qid").alias("query"), "question")
 
@@ -52,7 +55,9 @@ class Engine:
 
     def ask(self, questions: DataFrame, mode: str = "hybrid", top_k: int = 4) -> DataFrame:
         """Contexts, the generator's text, its verified citations and the cited sources."""
-        hits = self.search(questions, mode, clamp(top_k, 1, 10))
+        return self._answered(questions, self.search(questions, mode, clamp(top_k, 1, 10)))
+
+    def _answered(self, questions: DataFrame, hits: DataFrame) -> DataFrame:
         blocks = fusion.context_blocks(hits, "query", "rank", "source", "body")
         asked = questions.select(F.col("qid").alias("query"), "question").join(blocks, "query", "left")
         if self.generate is None:
@@ -64,6 +69,27 @@ class Engine:
         parts = [self.search(questions, mode, top_k, rerank=False).select(F.lit(mode).alias("mode"), "query", "rank", "item", "source") for mode in ("dense", "bm25", "hybrid")]
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
+    def ask_stream(self, questions: DataFrame, mode: str = "hybrid", top_k: int = 4) -> DataFrame:
+        """(query, seq, event, data) in the order a stream sends them: the sources, each token of the
+        text, and at last an audit of its citations as JSON."""
+        k = clamp(top_k)
+        hits = self.search(questions, mode, k)
+        listed = F.array_sort(F.collect_list(F.struct((F.col("rank") + 1).alias("n"), "item", "source", "breadcrumb")))  # at most top_k
+        sources = hits.groupBy("query").agg(F.to_json(listed).alias("sources"))
+        told = self._answered(questions, hits).join(sources, "query", "left")
+        audit = F.to_json(F.struct("citations", F.col("invalid").alias("invalid_citations"), "abstained", "grounded"))
+        row = lambda event, data: F.struct(F.lit(event).alias("event"), data.alias("data"))
+        tokens = F.transform(F.regexp_extract_all("text", F.lit(r"\s*\S+|\s+$"), F.lit(0)), lambda t: row("token", F.to_json(F.struct(t.alias("t")))))
+        events = F.concat(F.array(row("sources", F.coalesce("sources", F.lit("[]")))), F.coalesce(tokens, F.array().cast("array<struct<event: string, data: string>>")), F.array(row("done", audit)))
+        return told.select("query", F.posexplode(events).alias("seq", "e")).select("query", "seq", "e.event", "e.data")
+
+    def triage(self, reports: DataFrame, model: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """(qid, component, severity, error_code, page_oncall, action, error, raw) of reports (qid, report).
+        model adds raw, its output; where that isn't a JSON object the fields are null and error says so."""
+        said = model(reports.select("qid", "report")).withColumn("__o", parsed_object(F.col("raw")))
+        field = lambda f: F.try_variant_get("__o", f"$.{f}", "boolean" if f == "page_oncall" else "string").alias(f)
+        return said.select("qid", *[field(f) for f in evaluation.FIELDS], F.when(F.col("__o").isNull(), "model did not return valid JSON").alias("error"), "raw")
+
     def health(self) -> DataFrame:
         return self.chunks.agg(F.count("*").alias("n_chunks"), F.count_distinct("source").alias("n_sources"), F.sum(approx_tokens(F.col("body"))).alias("approx_tokens"))
 
@@ -76,3 +102,21 @@ def list_documents(corpus: DataFrame) -> DataFrame:
 
 def document(root: str, name: str) -> str:
     return read_document(root, name)
+
+
+def index_stats(store: IndexStore, corpus: DataFrame) -> DataFrame:
+    """One row (status, shards, n_chunks, text_chars, model, dim, documents): 'not built' before the
+    first commit. Read from the manifest alone, but for the number of documents."""
+    held = store.manifest().agg(F.max("model").alias("model"), F.max("dim").alias("dim"))
+    documents = corpus.agg(F.count("*").alias("documents"))
+    status = F.when(F.col("shards") > 0, "ok").otherwise("not built")
+    return store.totals().join(held, how="inner").join(documents, how="inner").select(status.alias("status"), "shards", "n_chunks", "text_chars", "model", "dim", "documents")
+
+
+def triage_prompt(report: str) -> str:
+    """The prompt that leads an agent from a report to its runbook."""
+    return (
+        f"This incident was reported:\n\n{report}\n\nFirst get its structured record with the triage tool. Then ask for the runbook of that "
+        "component and severity. Then say what is broken, how severe it is, whether to page on-call, and the steps to take, citing the documents used. "
+        "Where the documents don't cover it, say that."
+    )

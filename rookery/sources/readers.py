@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +38,23 @@ def json_document(spark: SparkSession, path: str, schema: T.StructType | str) ->
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
+def write_json_document(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """One JSON array of all rows, indented, nulls kept, as a single file at path. It is written by the
+    driver, so it's for reports: more than `most` rows raise. The file appears whole or not at all."""
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for one JSON document; use write_jsonl")
+    text = json.dumps([json.loads(r.j) for r in rows], ensure_ascii=False, indent=2)
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    fs = target.getFileSystem(conf)
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(target, False)
+    fs.rename(part, target)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One object per line, UTF-8; null fields are kept."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
@@ -60,6 +81,53 @@ def image_captions(spark: SparkSession, folder: str) -> DataFrame:
     return images.join(captions, "file_name")
 
 
+def image_geometry(width: Column, height: Column, size: int) -> Column:
+    """struct(width, height, left, top): the scaled size at which the shorter side is `size`, and where
+    the centred square is cut from it."""
+    scale = size / F.least(width, height)
+    w, h = F.bround(width * scale).cast("int"), F.bround(height * scale).cast("int")
+    return F.struct(w.alias("width"), h.alias("height"), F.floor((w - size) / 2).cast("int").alias("left"), F.floor((h - size) / 2).cast("int").alias("top"))
+
+
+def flips(key: Column, seed: int) -> Column:
+    """Half of the keys, always the same ones for a seed: images to be mirrored."""
+    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2)) == 1
+
+
+def square_pixels(rgb: np.ndarray, size: int, flip: bool) -> np.ndarray:
+    """An RGB image (height, width, 3; 0..255) as a square of values in -1..1: scaled to `size` at its
+    shorter side (bilinear), cut at the centre, mirrored on request."""
+    h, w = rgb.shape[:2]
+    scale = size / min(w, h)
+    wide, high = round(w * scale), round(h * scale)
+
+    def taps(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, n - 1), (at - low).astype(np.float32)
+
+    x0, x1, fx = taps(w, wide)
+    y0, y1, fy = taps(h, high)
+    rows = rgb[y0].astype(np.float32) * (1 - fy)[:, None, None] + rgb[y1] * fy[:, None, None]
+    scaled = rows[:, x0] * (1 - fx)[None, :, None] + rows[:, x1] * fx[None, :, None]
+    left, top = (wide - size) // 2, (high - size) // 2
+    cut = scaled[top : top + size, left : left + size]
+    return (cut[:, ::-1] if flip else cut) / 127.5 - 1
+
+
+def prepared_images(images: DataFrame, decode: Callable[[bytes], np.ndarray], size: int = 512, seed: int = 0) -> DataFrame:
+    """(file_name, text, pixels array<float>) of image_captions(): square_pixels in rows of three
+    channels. decode turns a file into an RGB array; decoders aren't part of this package."""
+    ready = images.select("file_name", "text", flips(F.col("file_name"), seed).alias("flip"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [square_pixels(decode(c), size, f).astype(np.float32).ravel() for f, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flat, pa.list_(pa.float32()))], names=["file_name", "text", "pixels"])
+
+    return ready.mapInArrow(run, "file_name string, text string, pixels array<float>")
+
+
 def distractors(df: DataFrame, text: str, order: str, n: int, longer_than: int = 200, most: int = 1200) -> DataFrame:
     """The first n passages over longer_than characters in `order`, each cut to `most`."""
     return df.where(F.length(text) > longer_than).orderBy(order).limit(n).select(order, F.substring(text, 1, most).alias("body"))

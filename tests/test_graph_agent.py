@@ -107,3 +107,40 @@ def test_run_asks_every_question_at_once(spark):
     got = {r.qid: r for r in agent.run(q, model, search).collect()}
     assert got[1].grounded and got[1].n_blocks == 1 and got[1].llm_calls == 2 and got[2].stop_reason == "answered"
     assert got[3].stop_reason == "budget exhausted (4 steps)" and got[3].llm_calls == 4
+
+
+def test_walk_cuts_hubs_without_changing_results(spark):
+    """Against a plain walk in Python, on a graph whose hubs have far more edges than the limit."""
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(4)
+    edges = [(f"n{i:03d}", "in", f"hub{i % 2}", f"c{rng.randint(1, 9)}") for i in range(160)] + [("hub0", "of", "top", "c1"), ("hub1", "of", "top", "c2")]
+    edges += [(f"n{rng.randint(0, 159):03d}", "near", f"m{rng.randint(0, 30)}", f"c{rng.randint(1, 9)}") for _ in range(120)] + edges[:3]
+    ends = defaultdict(set)
+    for s, r, o, source in edges:
+        ends[s].add((s, r, o, source)), ends[o].add((s, r, o, source))
+
+    def plain(start, limit, hops):
+        found, seen, frontier = {}, {start}, {start}
+        for depth in range(1, hops + 1):
+            if len(found) >= limit:
+                break
+            met = {}
+            for node in frontier:
+                for s, r, o, source in ends[node]:
+                    if (s, r, o) not in found:
+                        met[s, r, o] = min(met.get((s, r, o), source), source)
+            found |= {k: (depth, v) for k, v in met.items()}
+            frontier = {n for s, _, o in met for n in (s, o)} - seen
+            seen |= frontier
+        return sorted((d, *k, v) for k, (d, v) in found.items())[:limit]
+
+    table = spark.createDataFrame(edges, "s string, r string, o string, source string")
+    starts = spark.createDataFrame([(i, n) for i, n in enumerate(["n000", "n001", "m3", "hub0", "top", "nowhere"])], "query int, node string")
+    for limit, hops in ((5, 2), (12, 3), (30, 2)):
+        got = defaultdict(list)
+        for r in graph.walk(starts, table, hops, limit).collect():
+            got[r.start].append((r.hops, r.s, r.r, r.o, r.source))
+        for node in ("n000", "n001", "m3", "hub0", "top", "nowhere"):
+            assert sorted(got[node]) == plain(node, limit, hops), (node, limit, hops)

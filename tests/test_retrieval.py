@@ -168,3 +168,45 @@ def test_concept_fidelity(spark):
     real = spark.createDataFrame([([2.0, 0.0],), ([0.0, 3.0],)], "r array<double>")
     made = spark.createDataFrame([("p", [1.0, 1.0]), ("p", [5.0, 5.0]), ("q", [1.0, -1.0])], "prompt string, v array<double>")
     assert abs(dense.concept_fidelity(made, "prompt", "v", real, "r").first().value - 0.5) < 1e-12
+
+
+def _engine(spark):
+    chunks = spark.createDataFrame([(f"d::{i}", t, "d.md", "d.md") for i, t in enumerate(["tlm-330 means lidar lost lock", "charging dock battery rack"])], "id string, body string, source string, breadcrumb string").withColumn("embedding", seams.embed()(F.col("body")))
+    return Engine(chunks, generate=lambda df: df.withColumn("text", F.when(F.col("n_blocks") > 0, "See [1] and [9].").otherwise("NOT_FOUND")))
+
+
+def test_ask_stream_events(spark):
+    import json
+
+    q = spark.createDataFrame([(1, "what does TLM-330 mean"), (2, "ab")], "qid int, question string")
+    rows = _engine(spark).ask_stream(q, top_k=2).orderBy("query", "seq").collect()
+    one = [r for r in rows if r["query"] == 1]
+    assert [r.seq for r in one] == list(range(len(one))) and [r.event for r in one] == ["sources", *["token"] * 4, "done"]
+    assert len(json.loads(one[0].data)) == 2 and "".join(json.loads(r.data)["t"] for r in one[1:-1]) == "See [1] and [9]."
+    assert json.loads(one[-1].data) == {"citations": [1, 9], "invalid_citations": [9], "abstained": False, "grounded": False}
+    assert [r.data for r in rows if r["query"] == 2][0] == "[]" and json.loads(rows[-1].data)["abstained"]
+
+
+def test_triage_says_what_is_no_json(spark):
+    reports = spark.createDataFrame([(1, "x"), (2, "y")], "qid int, report string")
+    model = lambda df: df.withColumn("raw", F.when(F.col("qid") == 1, 'ok {"component": "dock", "page_oncall": true}').otherwise("sorry"))
+    got = {r.qid: r for r in _engine(spark).triage(reports, model).collect()}
+    assert (got[1].component, got[1].page_oncall, got[1].severity, got[1].error) == ("dock", True, None, None) and got[2].error and got[2].component is None
+
+
+def test_dense_mode_builds_no_lexical_index(spark):
+    engine = _engine(spark)
+    q = spark.createDataFrame([(1, "what does TLM-330 mean")], "qid int, question string")
+    engine.search(q, "dense").collect()
+    assert "_postings" not in engine.__dict__
+    engine.search(q, "bm25").collect()
+    assert "_postings" in engine.__dict__
+
+
+def test_contextual_chunks(spark):
+    from rookery.functions import text as X
+
+    df = spark.createDataFrame([("d" * 9000, "chunk", "about"), ("doc", "chunk", " "), ("doc", "chunk", None)], "doc string, chunk string, says string")
+    seen = X.contextual_chunks(df, "doc", "chunk", lambda x: x.withColumn("context", F.concat_ws("|", "says", F.length("prompt").cast("string"))))
+    assert seen.where("doc like 'dd%'").first().contextual.startswith("about|8") and "prompt" not in seen.columns
+    assert [r.contextual for r in X.contextual_chunks(df.where("doc = 'doc'"), "doc", "chunk", lambda x: x.withColumn("context", F.col("says"))).collect()] == ["chunk", "chunk"]

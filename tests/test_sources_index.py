@@ -189,3 +189,44 @@ def test_shared_folder_is_required_on_clusters(spark):
     assert os.path.isdir(path)
     session.drop(kept)
     assert not os.path.exists(path)
+
+
+def test_json_document_is_written_whole(spark, tmp_path):
+    df = spark.createDataFrame([(1, "é", None), (2, None, 0.5)], "i int, t string, x double")
+    path = str(tmp_path / "report.json")
+    readers.write_json_document(df, path)
+    readers.write_json_document(df, path)
+    assert sorted(tuple(r) for r in readers.json_document(spark, path, "i int, t string, x double").collect()) == [(1, "é", None), (2, None, 0.5)]
+    assert os.listdir(tmp_path) and not [f for f in os.listdir(tmp_path) if f.endswith(".part")]
+    with pytest.raises(ValueError, match="more than"):
+        readers.write_json_document(spark.range(5), path, most=4)
+
+
+def test_image_preparation(spark):
+    import numpy as np
+
+    g = spark.createDataFrame([(640, 480), (300, 600)], "w int, h int").select(readers.image_geometry(F.col("w"), F.col("h"), 240).alias("g")).collect()
+    assert [tuple(r.g) for r in g] == [(320, 240, 40, 0), (240, 480, 0, 120)]
+    flat = np.full((30, 50, 3), 255, np.uint8)
+    assert np.allclose(readers.square_pixels(flat, 16, False), 1.0) and readers.square_pixels(flat, 16, False).shape == (16, 16, 3)
+    ramp = np.tile(np.arange(40, dtype=np.uint8)[None, :, None], (20, 1, 3))
+    assert np.array_equal(readers.square_pixels(ramp, 20, False)[:, ::-1], readers.square_pixels(ramp, 20, True))
+    df = spark.createDataFrame([(f"i{k}", "t", bytes([k])) for k in range(12)], "file_name string, text string, content binary")
+    made = readers.prepared_images(df, lambda c: np.full((4, 6, 3), c[0], np.uint8), 4, 3).collect()
+    assert all(len(r.pixels) == 48 for r in made) and abs(made[5].pixels[0] - (int(made[5].file_name[1:]) / 127.5 - 1)) < 1e-6
+    flips = [r.f for r in df.select(readers.flips(F.col("file_name"), 3).alias("f")).collect()]
+    assert 0 < sum(flips) < 12
+
+
+def test_vectors_round_trip_with_their_model(spark, tmp_path):
+    from rookery.operators import dense
+
+    store = IndexStore(spark, str(tmp_path / "vectors"))
+    records = spark.createDataFrame([("a", 1, "one", [1.0, 0.0]), ("a", 2, "two", [0.0, 1.0])], "shard_file string, id int, body string, vec array<float>")
+    store.commit(records, "small", 2)
+    back = IndexStore(spark, store.path).open("small")
+    assert sorted((r.id, r.body, list(r.vec)) for r in back.collect()) == [(1, "one", [1.0, 0.0]), (2, "two", [0.0, 1.0])]
+    q = spark.createDataFrame([(9, [0.9, 0.1])], "q int, v array<double>")
+    assert [r.item for r in dense.exact_top_k(back, "id", "vec", q, "q", "v", 10).orderBy("rank").collect()] == [1, 2]
+    with pytest.raises(ValueError, match="not built"):
+        store.open("large")
