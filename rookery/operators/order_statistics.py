@@ -29,12 +29,14 @@ def beside(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
     return left.alias("l").join(right.alias("r"), null_safe("l", "r", columns), "left").select("l.*", *[f"r.{c}" for c in more])
 
 
-def values_at(rows: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def values_at(rows: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]], count: str | None = None) -> DataFrame:
     """(*by, n, <place>...): of each group's n sorted values those at the places, 0-based ranks that
-    are given as functions of n. Null and NaN values take no part; null groups count as groups;
+    are given as functions of n. count names a column that says how often a row's value stands (rows
+    with less than 1 take no part). Null and NaN values take no part; null groups count as groups;
     an empty table gives no rows."""
-    sound = rows.select(*by, F.col(value).alias("value")).where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
-    counted = sound.groupBy(*by, "value").agg(F.count("*").alias("cnt"))
+    times = F.lit(1) if count is None else F.col(count)
+    sound = rows.select(*by, F.col(value).alias("value"), times.cast("long").alias("times")).where("times > 0").where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
+    counted = sound.groupBy(*by, "value").agg(F.sum("times").alias("cnt"))
     ordered = materialise(counted.repartitionByRange(*by, "value").sortWithinPartitions(*by, "value").withColumn("part", F.spark_partition_id()))
     held = ordered.groupBy("part", *by).agg(F.sum("cnt").alias("held"))
     group = [F.col(c) for c in by] or [F.lit(0)]

@@ -41,6 +41,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BUILT: dict[tuple, object] = {}
+
+
+def built(spark: SparkSession, sf_dir: str, name: str, make):
+    """An index over a folder of tables, built by the first query of a session that needs it and used
+    by the others. It doesn't notice tables that change under the session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     for c in columns:
         df = df.withColumn(c, F.round(c, digits))
@@ -94,7 +106,9 @@ b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) D
 
 
 def _bm25(spark, d) -> DataFrame:
-    return lexical.bm25_scores(table(spark, d, "chunks"), "chunk_key", "body", questions(spark, d), "query", "question")
+    chunks = table(spark, d, "chunks")
+    posted = built(spark, d, "postings", lambda: lexical.stored_index(chunks, "chunk_key", "body"))
+    return lexical.bm25_scores(chunks, "chunk_key", "body", questions(spark, d), "query", "question", posted)
 
 
 @query(BM25_SQL + " SELECT query, doc, round(score, 6) AS score FROM s")
@@ -207,7 +221,7 @@ cr AS (SELECT query, item, hamming, score, row_number() OVER (PARTITION BY query
 
 
 def _cascade(spark, d, k: int = 10) -> DataFrame:
-    codes, calibration = _coded_index(spark, d)
+    codes, calibration = built(spark, d, "codes", lambda: _coded_index(spark, d))
     return dense.cascade(codes, _asked(spark, d), "query", "qv", calibration, candidates=100, k=k)
 
 

@@ -37,6 +37,10 @@ def index_new_files(spark: SparkSession, folder: str, store: IndexStore, checkpo
 
 
 def windowed_latency(events: DataFrame, ts: str, group: str, value: str, window: str = "1 hour", late: str = "2 days") -> DataFrame:
-    """(window_start, group, n, mean_value, max_value) with late rows accepted up to `late`."""
+    """(window_start, group, n, mean_value, max_value) with late rows accepted up to `late`.
+
+    The mean is of a decimal sum, so it doesn't depend on the order in which tasks end; null and
+    non-finite values take no part in it.
+    """
     ready = events.withWatermark(ts, late) if events.isStreaming else events
-    return ready.groupBy(F.window(ts, window).alias("w"), group).agg(F.count("*").alias("n"), F.avg(value).alias("mean_value"), F.max(value).alias("max_value")).select(F.col("w.start").alias("window_start"), group, "n", "mean_value", "max_value")
+    return ready.groupBy(F.window(ts, window).alias("w"), group).agg(F.count("*").alias("n"), (F.sum(F.col(value).cast("decimal(38,12)")).cast("double") / F.count(F.col(value).cast("decimal(38,12)"))).alias("mean_value"), F.max(value).alias("max_value")).select(F.col("w.start").alias("window_start"), group, "n", "mean_value", "max_value")
