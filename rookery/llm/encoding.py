@@ -31,13 +31,18 @@ _ANCHOR = re.compile(r"(?<=[A-Za-z0-9ぁ-ゖァ-ヺ一-鿋а-яА-Я])(?=[ \n!-/
 _WINDOW = 64
 
 
+def rank_file(folder: str, name: str) -> bytes:
+    """The rank file of a tokenizer: one line a token, a few MB whatever the corpus."""
+    with open(os.path.join(folder, name + ".tiktoken"), "rb") as f:
+        return f.read()
+
+
 @functools.lru_cache(maxsize=4)
-def tokenizer(folder: str, name: str):
+def coding_of(name: str, raw: bytes):
     """(encode function, bytes of each id) of a rank file, once per process."""
     import tiktoken
 
-    with open(os.path.join(folder, name + ".tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+    ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in raw.splitlines() if line.strip())}
     sizes = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         sizes[rank] = len(token)
@@ -45,6 +50,10 @@ def tokenizer(folder: str, name: str):
     return coding, sizes
 
 
+def tokenizer(folder: str, name: str):
+    return coding_of(name, rank_file(folder, name))
+
+
 def _cut_after(ids, sizes: np.ndarray, n_bytes: int) -> int:
     """How many of the first ids make n_bytes bytes; the split must fall between two ids."""
     count, total = 0, 0
@@ -109,11 +118,13 @@ def encode_corpus(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS,
     """(key, ids): ids array<int> without special tokens, their strings being ordinary text.
 
     Null and empty texts have an empty list. One row per input row, repeated keys included; other
-    columns are ignored. One pass without shuffle.
+    columns are ignored. One pass without shuffle; the driver reads the rank file and sends it along,
+    so executors need no vocabulary of their own.
     """
+    ranks = df.sparkSession.sparkContext.broadcast(rank_file(folder, name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coding, sizes = tokenizer(folder, name)
+        coding, sizes = coding_of(name, ranks.value)
         for batch in batches:
             lists = [encode_tree(t, coding, sizes, leaf) if t else [] for t in batch.column(1).to_pylist()]
             flat = np.fromiter((i for ids in lists for i in ids), np.int32, sum(map(len, lists)))
@@ -125,9 +136,10 @@ def encode_corpus(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS,
 
 def count_tokens(df: DataFrame, keys: list[str], text: str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k", leaf: int = LEAF_CHARS) -> DataFrame:
     """(*keys, n_tokens): the length of each text's encoding, 0 for null and empty texts."""
+    ranks = df.sparkSession.sparkContext.broadcast(rank_file(folder, name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coding, sizes = tokenizer(folder, name)
+        coding, sizes = coding_of(name, ranks.value)
         for batch in batches:
             counts = [len(encode_tree(t, coding, sizes, leaf)) if t else 0 for t in batch.column(len(keys)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keys))], pa.array(counts, pa.int64())], names=[*keys, "n_tokens"])

@@ -18,24 +18,47 @@ from rookery.session import materialise
 FIXED = 1 << 24
 
 
-def plan_shares(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+def shared_out(rows: list[tuple[str, float, float]], total: float) -> dict[str, float]:
+    """Sizes by source of (source, share, most): each its share of total but at most `most`; what capped
+    sources leave is shared out among the others by their shares until it is placed or all are full."""
+    given, left, free = {}, total, sorted(rows)
+    while free:
+        weight = sum(share for _, share, _ in free)
+        full = [(s, share, most) for s, share, most in free if weight <= 0 or most <= left * share / weight]
+        if not full:
+            return given | {s: left * share / weight for s, share, _ in free}
+        for s, _, most in full:
+            given[s] = most
+            left -= most
+        free = [r for r in free if r[0] not in given]
+    return given
+
+
+def plan_shares(sizes: DataFrame, targets: DataFrame, total: int | None = None, redistribute: bool = False) -> DataFrame:
     """(source, target_share, max_repeats, documents, available, total, expected) by source.
 
     sizes: (source, size). total: the mix's size; by default that of all documents whose source
     is targeted. expected: copies of each document, share * total / available but at most
-    max_repeats. A target without documents has expected 0.
+    max_repeats. A target without documents has expected 0. redistribute: what sources capped at
+    max_repeats leave of the total goes to the others by their shares, so that the mix keeps its
+    size; otherwise the mix is smaller and the others keep share * total.
     """
     held = sizes.groupBy("source").agg(F.count("*").alias("documents"), F.sum("size").alias("available"))
     goals = targets.select("source", "target_share", "max_repeats")
     joined = goals.join(held, "source", "left").na.fill(0, ["documents", "available"])
     budget = F.sum("available").over(Window.partitionBy(F.lit(0))) if total is None else F.lit(int(total))  # one row per target
+    if redistribute:
+        rows = joined.withColumn("total", budget).collect()  # one row per target
+        out = shared_out([(r.source, r.target_share, float(r.max_repeats * r.available)) for r in rows], rows[0].total if rows else 0)
+        made = sizes.sparkSession.createDataFrame([(r.source, r.target_share, r.max_repeats, r.documents, r.available, int(r.total), out[r.source] / r.available if r.available else 0.0) for r in rows], joined.schema.simpleString()[7:-1] + ",total:bigint,expected:double")
+        return made
     return joined.withColumn("total", budget).withColumn(
         "expected",
         F.when(F.col("available") > 0, F.least(F.col("target_share") * F.col("total") / F.col("available"), F.col("max_repeats").cast("double"))).otherwise(0.0),
     )
 
 
-def systematic_mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7) -> DataFrame:
+def systematic_mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, redistribute: bool = False) -> DataFrame:
     """(key, source, size, copies), copies >= 1: the documents drawn and how often.
 
     sizes: (key, source, size); documents of a null or untargeted source or of size 0 or null are
@@ -43,7 +66,7 @@ def systematic_mix(sizes: DataFrame, targets: DataFrame, total: int | None = Non
     a source once.
     """
     known = sizes.select("key", "source", "size").where("source is not null and size > 0")
-    plan = plan_shares(known, targets, total).select("source", F.round(F.col("expected") * FIXED).cast("long").alias("step")).where("step > 0")
+    plan = plan_shares(known, targets, total, redistribute).select("source", F.round(F.col("expected") * FIXED).cast("long").alias("step")).where("step > 0")
     ordered = materialise(known.join(plan, "source").repartitionByRange("source", "size", "key").withColumn("part", F.spark_partition_id()))
     per_part = ordered.groupBy("source", "part").agg(F.sum("step").alias("held"))
     before = per_part.select("source", "part", (F.sum("held").over(Window.partitionBy("source").orderBy("part")) - F.col("held")).alias("before"))

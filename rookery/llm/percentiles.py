@@ -4,15 +4,15 @@ Daily pieces hold each distinct value of a group and day with its count; pieces
 partitions combine by putting them together. The pieces are range-partitioned and sorted by
 (group, value), so a large group spreads over many partitions. Counts by (partition, group) give
 each partition's offset in its group; the partitions that hold a wanted position are read again
-and the neighbouring order statistics interpolated. The error is zero.
+(order_statistics.values_at) and the neighbouring order statistics interpolated. The error is zero.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.session import materialise
+from rookery.operators.order_statistics import values_at
 
 
 def daily_pieces(df: DataFrame, day: str, groups: list[str], value: str) -> DataFrame:
@@ -33,40 +33,12 @@ def percentiles_of_pieces(pieces: DataFrame, groups: list[str], probabilities: l
     ignored. Null groups count as groups. Pieces with a null or NaN value or cnt <= 0 are left out;
     an empty table gives no rows. No group is gathered in one task.
     """
-    sound = pieces.select(*groups, "value", "cnt").where("value is not null and not isnan(value) and cnt > 0")
-    ordered = materialise(
-        sound.repartitionByRange(*groups, "value").sortWithinPartitions(*groups, "value").withColumn("part", F.spark_partition_id())
-    )
-    per_part = ordered.groupBy("part", *groups).agg(F.sum("cnt").alias("held"))
-    along = Window.partitionBy(*groups).orderBy("part")
-    offsets = per_part.select(
-        "part",
-        *groups,
-        "held",
-        (F.sum("held").over(along) - F.col("held")).alias("before"),
-        F.sum("held").over(Window.partitionBy(*groups)).alias("n"),
-    )
-    wanted = (
-        offsets.withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .withColumn("at", F.col("probability") * (F.col("n") - 1))
-        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
-        .where("rank >= before and rank < before + held")
-        .select("part", *[F.col(g).alias(f"w_{g}") for g in groups], "before", "n", "probability", "at", "rank")
-    )
-    same = F.col("o.part") == F.col("w.part")
-    for g in groups:
-        same = same & F.col(f"o.{g}").eqNullSafe(F.col(f"w.w_{g}"))
-    hot = wanted.select("part", *[f"w_{g}" for g in groups], "before").distinct()
-    held = ordered.alias("o").join(hot.alias("w"), same).select("o.part", *[f"o.{g}" for g in groups], "o.value", "o.cnt", "w.before")
-    running = Window.partitionBy("part", *groups).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = held.withColumn("upto", F.col("before") + F.sum("cnt").over(running)).select("part", *groups, "value", "upto", (F.col("upto") - F.col("cnt")).alias("from"))
-    hit = placed.alias("o").join(wanted.alias("w"), same & F.expr("w.rank >= o.from and w.rank < o.upto"))
-    low, high = F.max(F.when(F.col("rank") == F.floor("at"), F.col("value"))), F.max(F.when(F.col("rank") == F.ceil("at"), F.col("value")))
-    return (
-        hit.groupBy(*[f"o.{g}" for g in groups], "n", "probability", "at")
-        .agg(low.alias("low"), high.alias("high"))
-        .select(*groups, "n", "probability", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("percentile"))
-    )
+    at = lambda p: lambda n: F.lit(float(p)) * (n - 1)
+    places = {f"low{i}": (lambda f: lambda n: F.floor(f(n)))(at(p)) for i, p in enumerate(probabilities)} | {f"high{i}": (lambda f: lambda n: F.ceil(f(n)))(at(p)) for i, p in enumerate(probabilities)}
+    found = values_at(pieces, groups, "value", places, count="cnt")
+    between = lambda i, p: F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (at(p)(F.col("n")) - F.floor(at(p)(F.col("n"))))
+    listed = F.array(*[F.struct(F.lit(float(p)).alias("probability"), between(i, p).alias("percentile")) for i, p in enumerate(probabilities)])
+    return found.select(*groups, "n", F.explode(listed).alias("x")).select(*groups, "n", "x.probability", "x.percentile")
 
 
 def wide(percentiles: DataFrame, groups: list[str], probabilities: list[float]) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from rookery.llm import mixing as mx
 
 
@@ -34,3 +36,14 @@ def test_copies_follow_expectation_whatever_the_partitions(spark):
     b = sorted(map(tuple, mx.systematic_mix(sizes.repartition(9), goals, 200_000).collect()))
     assert a == b
     assert mx.systematic_mix(sizes.limit(0), goals).count() == 0
+
+
+def test_redistribution_keeps_the_size(spark):
+    assert mx.shared_out([("a", 0.5, 10.0), ("b", 0.3, 1000.0), ("c", 0.2, 1000.0)], 100) == {"a": 10.0, "b": 54.0, "c": 36.0}
+    assert mx.shared_out([("a", 0.5, 10.0), ("b", 0.5, 20.0)], 100) == {"a": 10.0, "b": 20.0} and mx.shared_out([], 5) == {}
+    rows = [(i, "big" if i % 10 else "small", 5 + i % 7) for i in range(2000)]
+    sizes = spark.createDataFrame(rows, "key int, source string, size int")
+    targets = spark.createDataFrame([("big", 0.5, 2), ("small", 0.4, 2), ("none", 0.1, 3)], "source string, target_share double, max_repeats int")
+    total = sum(r[2] for r in rows)
+    drawn = {r.source: r.s for r in mx.systematic_mix(sizes, targets, redistribute=True).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("s")).collect()}
+    assert drawn["small"] == 2 * sum(r[2] for r in rows if r[1] == "small") and abs(sum(drawn.values()) - total) < 30
