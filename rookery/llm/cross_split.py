@@ -56,12 +56,11 @@ def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat[whole[:m]], row[:m][whole[:m]]
 
 
-def gram_text(code: int) -> str:
-    out = []
-    for _ in range(GRAM):
-        code, rest = divmod(code, len(_ALPHABET))
-        out.append(_ALPHABET[rest])
-    return "".join(reversed(out))
+def gram_texts(codes: np.ndarray) -> list[str]:
+    """The grams of codes."""
+    letters = np.frombuffer(_ALPHABET.encode(), np.uint8)
+    flat = letters[codes[:, None] // _POWERS % len(_ALPHABET)].tobytes().decode()
+    return [flat[i : i + GRAM] for i in range(0, len(flat), GRAM)]
 
 
 def ordered_sets(texts: list[str], rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +133,8 @@ class Shard:
         self.key = (np.repeat(np.arange(len(self.words)), np.diff(self.start)) << 32) + self.sizes[owner]
         self.most = self._partner(self.sizes[owner], self.extra[owner], place).astype(np.int32)
         self.machine = ahocorasick.Automaton()
-        for i, w in enumerate(self.words.tolist()):
-            self.machine.add_word(gram_text(w), i)
+        for i, gram in enumerate(gram_texts(self.words)):
+            self.machine.add_word(gram, i)
         self.machine.make_automaton()
         self.mark = np.zeros(len(_ALPHABET) ** GRAM, bool)
 
@@ -162,7 +161,9 @@ class Shard:
             seen[at[r] : at[r + 1]] = matched[word[at[r] : at[r + 1]]]
             matched[hits] = False
         seen &= self.words[word] == code if len(self.words) else False
-        row, place, word = row[seen], place[seen], word[seen]
+        kept = np.flatnonzero(seen)
+        kept = kept[np.argsort(word[kept])]  # neighbouring searches touch neighbouring postings
+        row, place, word = row[kept], place[kept], word[kept]
         m = sizes[row]
         lo = np.searchsorted(self.key, (word << 32) + np.ceil(self.threshold * m - 1e-9).astype(np.int64))
         hi = np.searchsorted(self.key, (word << 32) + self._partner(m, extra[row], place).astype(np.int64), "right")
