@@ -671,7 +671,10 @@ def graph_retrieve(spark, d):
     return graph.retrieve_facts(_walked(spark, d))
 
 
-@query()
+@query(WALK_SQL + """, fa AS (SELECT query, s || ' --' || r || '--> ' || o AS fact, source, row_number() OVER (PARTITION BY query ORDER BY hops, start, s, r, o, source) AS "at" FROM wk),
+fb AS (SELECT * FROM fa WHERE "at" <= 24), n AS (SELECT query, source, count(*) AS facts, min("at") AS first FROM fb GROUP BY ALL),
+tc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY facts DESC, first) AS r FROM n) WHERE r <= 4), b AS (SELECT source, CAST(count(*) AS VARCHAR) AS body FROM g GROUP BY source)
+SELECT query, 1 AS n, string_agg(fact, chr(10) ORDER BY "at") AS body FROM fb GROUP BY query UNION ALL SELECT query, row_number() OVER (PARTITION BY query ORDER BY facts DESC, source) + 1, body FROM tc JOIN b USING (source)""")
 def graph_chunks(spark, d):
     facts = graph.retrieve_facts(_walked(spark, d))
     chunks = _edges(spark, d).groupBy(F.col("source").alias("chunk")).agg(F.count("*").cast("string").alias("body"))
@@ -710,15 +713,25 @@ def action_parse(spark, d):
     return agent.parse_actions(_action_log(spark, d), "raw").select("request_id", "action", "query")
 
 
-@query()
+ACTION_SQL = f"""WITH r AS (SELECT DISTINCT request_id, question, n_hits FROM rag_results WHERE question IS NOT NULL), w AS (SELECT request_id // 5 AS qid, CAST(request_id % 5 + 1 AS INT) AS step, {RAW_ACTION} AS raw FROM r),
+j AS (SELECT *, regexp_extract(raw, '(?s)\\{{.*\\}}', 0) AS span FROM w), k AS (SELECT *, coalesce(CASE WHEN json_valid(span) THEN json_extract_string(span, '$.action') END, 'malformed') AS action FROM j),
+ac AS (SELECT qid, step, action, CASE action WHEN 'search' THEN trim(json_extract_string(span, '$.query')) WHEN 'answer' THEN trim(json_extract_string(span, '$.text')) WHEN 'abstain' THEN trim(json_extract_string(span, '$.reason')) ELSE substr(raw, 1, 200) END AS detail FROM k)"""
+
+
+@query(ACTION_SQL + """, en AS (SELECT qid, min(step) AS stop FROM ac WHERE step <= 4 AND action IN ('answer', 'abstain') GROUP BY qid), li AS (SELECT ac.*, stop FROM ac LEFT JOIN en USING (qid) WHERE step <= 4 AND (stop IS NULL OR step <= stop)),
+se AS (SELECT DISTINCT qid, lower(detail) AS q FROM li WHERE action = 'search'), bl AS (SELECT qid, (length(q) * 31 + unnest(range(0, 3))) % 97 AS chunk FROM se),
+c AS (SELECT qid, count(*) AS llm_calls, max(CASE WHEN step = stop THEN action END) AS last, max(CASE WHEN step = stop THEN detail END) AS said FROM li GROUP BY qid),
+x AS (SELECT c.*, coalesce(s.n, 0) AS searches, coalesce(b.n, 0) AS n_blocks FROM c LEFT JOIN (SELECT qid, count(*) AS n FROM se GROUP BY qid) s USING (qid) LEFT JOIN (SELECT qid, count(DISTINCT chunk) AS n FROM bl GROUP BY qid) b USING (qid))
+SELECT qid, CASE last WHEN 'answer' THEN said WHEN 'abstain' THEN 'NOT_FOUND: ' || said ELSE 'NOT_FOUND: step budget exhausted before an answer.' END AS answer, coalesce(last, '') <> 'answer' AS abstained, coalesce(last, '') <> 'answer' OR n_blocks >= 2 AS grounded,
+CASE last WHEN 'answer' THEN CASE WHEN n_blocks >= 2 THEN 'answered' ELSE 'answered (UNGROUNDED)' END WHEN 'abstain' THEN 'abstained' ELSE 'budget exhausted (4 steps)' END AS stop_reason, CAST(llm_calls AS INT) AS llm_calls, CAST(searches AS INT) AS searches, CAST(n_blocks AS INT) AS n_blocks FROM x""")
 def agent_replay(spark, d):
     actions = agent.parse_actions(_action_log(spark, d), "raw")
     found = actions.where("action = 'search'").select(F.lower("query").alias("query")).distinct()
-    found = found.select("query", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.pmod(F.xxhash64("query") + i, F.lit(97)).alias("chunk_id")) for i in range(3)])).alias("h")).select("query", "h.rank", "h.chunk_id")
+    found = found.select("query", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), ((F.length("query") * 31 + i) % 97).alias("chunk_id")) for i in range(3)])).alias("h")).select("query", "h.rank", "h.chunk_id")
     return agent.replay(actions, found)
 
 
-@query()
+@query(ACTION_SQL + " SELECT qid, string_agg(step || '. ' || action || ': ' || substr(coalesce(detail, ''), 1, 90), chr(10) ORDER BY step, step || '. ' || action || ': ' || substr(coalesce(detail, ''), 1, 90)) AS trajectory FROM ac GROUP BY qid")
 def trajectory(spark, d):
     return agent.trajectory(agent.parse_actions(_action_log(spark, d), "raw"))
 
@@ -1156,7 +1169,10 @@ def pkce_challenges(spark, d):
     return v.select("c_custkey", c.alias("challenge"), access.pkce_valid(F.col("v"), c, F.lit("S256")).alias("valid"), access.pkce_valid(F.col("v"), c, F.lit("plain")).alias("plain_valid"))
 
 
-@query()
+@query("""WITH c AS (SELECT event_id // 6 AS client, bool_or(event_id % 6 = 0) AND bool_or(event_id % 6 = 1) AS granted, bool_or(event_id % 6 = 0) AS coded FROM events GROUP BY 1),
+e AS (SELECT event_id % 6 AS k, granted, coded FROM events JOIN c ON client = event_id // 6),
+o AS (SELECT ['authorize', 'exchange', 'use', 'refresh', 'use', 'revoke'][k + 1] AS event, CASE k WHEN 0 THEN 'issued' WHEN 1 THEN CASE WHEN coded THEN 'tokens' ELSE 'code_replay' END WHEN 3 THEN CASE WHEN granted THEN 'rotated' ELSE 'invalid_refresh' END
+WHEN 5 THEN CASE WHEN granted THEN 'revoked_all' ELSE 'unknown' END ELSE CASE WHEN granted THEN 'ok' ELSE 'denied' END END AS outcome FROM e) SELECT event, outcome, count(*) AS n FROM o GROUP BY ALL""")
 def token_replay(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("seq"))
     kind = F.get(F.array(*[F.lit(x) for x in ("authorize", "exchange", "use", "refresh", "use", "revoke")]), F.pmod("seq", F.lit(6)).cast("int"))
