@@ -299,8 +299,7 @@ def near_duplicate_pairs(texts: DataFrame, threshold: float = 0.8, words: int =
 def near_duplicate_groups(texts: DataFrame, threshold: float = 0.8, words: int = 5, min_words: int = 5) -> DataFrame:
     """(tbl, key, group_id, copies, links): one row per text that takes part.
 
-    group_id is the least class hash (hex) connected to the text's, copies the number of rows with the
-    same shingle set, links the number of linked rows with other sets. Copies aren't expanded.
+    group_id is tbl:key of the least key connected to the text's, copies the number of rows with the same shingle set, links the number of linked rows with other sets. Copies aren't expanded.
     Nulls, short texts and empty tables as in near_duplicate_pairs.
     """
     sigs = materialise(signatures(texts.where("tbl is not null and key is not null and text is not null"), words, min_words))
@@ -310,9 +309,7 @@ def near_duplicate_groups(texts: DataFrame, threshold: float = 0.8, words: int =
     both = pairs.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other")).union(pairs.select("cls_b", "cls_a"))
     links = both.join(sizes.select(F.col("cls").alias("other"), "copies"), "other").groupBy("cls").agg(F.sum("copies").alias("links"))
     groups = connected_components(pairs, "cls_a", "cls_b")
-    return (
-        members.join(sizes, "cls")
-        .join(links, "cls", "left")
-        .join(groups.withColumnRenamed("node", "cls"), "cls", "left")
-        .select("tbl", "key", F.coalesce("component", "cls").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    classes = members.groupBy("cls").agg(F.count("*").alias("copies"), F.min("key").alias("least"))
+    grouped = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = grouped.join(grouped.groupBy("component").agg(F.min("least").alias("group_id")), "component").join(links, "cls", "left")
+    return members.join(named, "cls").select("tbl", "key", F.concat("tbl", F.lit(":"), "group_id").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -174,6 +174,17 @@ ORACLES = {
         e AS (SELECT tbl, key, len(s) AS n, unnest(s) AS x FROM g),
         c AS (SELECT a.tbl, a.key AS key_a, b.key AS key_b, a.n AS na, b.n AS nb, count(*) AS held FROM e a JOIN e b ON a.tbl = b.tbl AND a.x = b.x AND a.key < b.key GROUP BY ALL)
         SELECT tbl, key_a, key_b FROM c WHERE 2 * held >= na + nb - held""",
+    "p1_groups": """
+        WITH RECURSIVE t AS (SELECT 'chunks' AS tbl, chunk_key AS key, text FROM chunks WHERE text IS NOT NULL
+                   UNION ALL SELECT 'hits', chunk_id, any_value(text) FROM hits WHERE text IS NOT NULL GROUP BY chunk_id),
+        w AS (SELECT tbl, key, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM t),
+        g AS (SELECT tbl, key, list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) AS s FROM w WHERE len(ws) >= 5),
+        e AS (SELECT tbl, key, len(s) AS n, unnest(s) AS x FROM g),
+        c AS (SELECT a.tbl, a.key AS a, b.key AS b, a.n AS na, b.n AS nb, count(*) AS held FROM e a JOIN e b ON a.tbl = b.tbl AND a.x = b.x AND a.key <> b.key GROUP BY ALL),
+        p AS (SELECT tbl, a, b, held = na AND na = nb AS same FROM c WHERE 5 * held >= 4 * (na + nb - held)),
+        reach(tbl, a, b) AS (SELECT tbl, key, key FROM g UNION SELECT reach.tbl, reach.a, p.b FROM reach JOIN p ON p.tbl = reach.tbl AND p.a = reach.b),
+        m AS (SELECT tbl, a AS key, min(b) AS group_id FROM reach GROUP BY ALL), l AS (SELECT tbl, a AS key, count_if(same) AS same, count_if(NOT same) AS links FROM p GROUP BY ALL)
+        SELECT tbl, key, tbl || ':' || group_id AS group_id, 1 + coalesce(same, 0) AS copies, coalesce(links, 0) AS links FROM m LEFT JOIN l USING (tbl, key)""",
     "p5_percentiles": f"""
         WITH r AS (SELECT DISTINCT request_id, CAST(asked_at AS DATE) AS day, lower(trim(cell)) AS cell, mode, retrieve_ms, generate_ms FROM rag_results),
         v AS (SELECT cell, mode, 'retrieve_ms' AS metric, retrieve_ms AS value FROM r UNION ALL SELECT cell, mode, 'generate_ms', generate_ms FROM r)
