@@ -111,6 +111,12 @@ def _bm25(spark, d) -> DataFrame:
     return lexical.bm25_scores(chunks, "chunk_key", "body", questions(spark, d), "query", "question", posted)
 
 
+@query(f"SELECT doc, CAST(dl AS INT) AS dl, term, CAST(count(*) AS INT) AS tf FROM (SELECT chunk_key AS doc, len(ts) AS dl, unnest(ts) AS term FROM (SELECT chunk_key, regexp_extract_all(lower(body), '{PAT}') AS ts FROM chunks)) GROUP BY ALL")
+def lexical_index(spark, d):
+    chunks = table(spark, d, "chunks")
+    return built(spark, d, "postings", lambda: lexical.stored_index(chunks, "chunk_key", "body"))
+
+
 @query(BM25_SQL + " SELECT query, doc, round(score, 6) AS score FROM s")
 def bm25_scores(spark, d):
     return rounded(_bm25(spark, d), "score")
@@ -233,6 +239,12 @@ def _coded_index(spark, d) -> tuple[DataFrame, DataFrame]:
     return store.open("hash-64").select("item", "code1", "code8"), store.calibration()
 
 
+@query(CODE_SQL + CAL_SQL + " SELECT vec_id AS item, code AS code1, array_to_string(list_transform(c, lambda x: CAST(CAST(x AS INT) AS VARCHAR)), ',') AS code8 FROM e8 JOIN k USING (vec_id)")
+def coded_index(spark, d):
+    codes, _ = built(spark, d, "codes", lambda: _coded_index(spark, d))
+    return codes.select("item", "code1", F.array_join(F.transform("code8", lambda x: x.cast("string")), ",").alias("code8"))
+
+
 @query(CASCADE_SQL + " SELECT query, item, hamming, round(score, 6) AS score, rank FROM cr WHERE rank < 10")
 def cascade_topk(spark, d):
     return rounded(_cascade(spark, d), "score")
