@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 #: Penalty of a cut by kind.
 KINDS = ("paragraph", "line", "sentence", "clause", "word", "forced")
 PENALTY = np.array([0.0, 0.05, 0.1, 0.6, 1.0, 1000.0])
+#: The kinds (paragraph, line, sentence) whose chain bounds the search over all boundaries.
+STRONG = 2
 
 # The characters that end a natural unit.
 SEPARATOR = r"[\s.!?;:,。！？、，]"
@@ -66,29 +68,37 @@ def split_text(text: str, limit: int = 1400, overlap: int = 240) -> list[tuple[i
     price = np.concatenate((PENALTY[kinds], [0.0]))
     pieces = max(2, -(-(n - overlap) // (limit - overlap)))
     even = (n + (pieces - 1) * overlap) / pieces
-    best = np.full(len(ends), np.inf)
-    origin = np.full(len(ends), -2, np.int64)
-    begin = np.zeros(len(ends), np.int64)
-
-    def relax(i: int, start: int, base: float) -> None:
-        lo, hi = i + 1, int(np.searchsorted(ends, start + limit, "right"))
-        if hi <= lo:
-            return
-        cost = base + price[lo:hi] + ((ends[lo:hi] - start - even) / even) ** 2
-        better = np.flatnonzero(cost < best[lo:hi] - 1e-12)
-        best[lo + better] = cost[better]
-        origin[lo + better] = i
-        begin[lo + better] = start
-
-    relax(-1, 0, 0.0)
-    for i in range(len(cuts)):
-        if not np.isfinite(best[i]):
-            continue
-        e = int(ends[i])
-        low = max(e - overlap, int(ends[i + 1]) - limit, int(begin[i]))  # from there the next cut is in reach
-        k = int(np.searchsorted(edges, low))
-        start = int(edges[k]) if k < len(edges) and edges[k] <= e - (e - low) // 2 else low
-        relax(i, start, best[i])
+
+    def cheapest(from_cuts: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cost, origin, start of the piece) for each end, pieces beginning only after the cuts given;
+        a cut that costs more than a whole known chain is in no cheapest one and left out."""
+        best = np.full(len(ends), np.inf)
+        origin = np.full(len(ends), -2, np.int64)
+        begin = np.zeros(len(ends), np.int64)
+
+        def relax(i: int, start: int, base: float) -> None:
+            lo, hi = i + 1, int(np.searchsorted(ends, start + limit, "right"))
+            if hi <= lo:
+                return
+            cost = base + price[lo:hi] + ((ends[lo:hi] - start - even) / even) ** 2
+            better = np.flatnonzero(cost < best[lo:hi] - 1e-12)
+            best[lo + better] = cost[better]
+            origin[lo + better] = i
+            begin[lo + better] = start
+
+        relax(-1, 0, 0.0)
+        for i in from_cuts.tolist():
+            if not best[i] <= bound:
+                continue
+            e = int(ends[i])
+            low = max(e - overlap, int(ends[i + 1]) - limit, int(begin[i]))  # from there the next cut is in reach
+            k = int(np.searchsorted(edges, low))
+            start = int(edges[k]) if k < len(edges) and edges[k] <= e - (e - low) // 2 else low
+            relax(i, start, best[i])
+        return best, origin, begin
+
+    known = cheapest(np.flatnonzero(kinds <= STRONG), np.finfo(float).max)[0][-1]
+    best, origin, begin = cheapest(np.arange(len(cuts)), min(known + 1e-9, np.finfo(float).max))
     out = []
     i = len(ends) - 1
     while i >= 0:
