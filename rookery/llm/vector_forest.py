@@ -55,9 +55,15 @@ class Decoder:
         self.lows, self.spans = np.array(lows, np.float64), np.array(highs, np.float64) - np.array(lows, np.float64)
 
     def unit(self, codes: np.ndarray, kind: type = np.float32) -> np.ndarray:
-        v = (codes.astype(np.float64) + 128) / 255 * self.spans + self.lows
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        return (v / np.where(norm == 0, 1, norm)).astype(kind)
+        v = codes.astype(kind)
+        if kind is np.float64:
+            v = (v + 128) / 255 * self.spans + self.lows
+        else:
+            v *= (self.spans / 255).astype(kind)
+            v += (128 / 255 * self.spans + self.lows).astype(kind)
+        norm = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+        v /= np.where(norm == 0, 1, norm)
+        return v
 
 
 def read_decoder(calibration: DataFrame) -> Decoder:
