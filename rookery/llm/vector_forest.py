@@ -249,9 +249,10 @@ class Cell:
         out = []
         for at in range(0, len(ids), self.BLOCK):
             hit = unit[at : at + self.BLOCK] @ unit[at:].T >= self.least - 1e-4
-            if np.count_nonzero(hit) > 8 * (self.k + 1) * len(hit):
+            places = np.flatnonzero(hit)
+            if len(places) > 8 * (self.k + 1) * len(hit):
                 return None
-            i, j = np.nonzero(hit)
+            i, j = np.divmod(places, hit.shape[1])
             later = j > i
             out.append((i[later] + at, j[later] + at))
         return out
