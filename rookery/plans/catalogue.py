@@ -281,7 +281,13 @@ def binary_recall(spark, d):
     return _quality(spark, d, dense.hamming_top_k(codes, "vec_id", "code", asked, "query", "qc", 11))
 
 
-@query()
+_HALF_STEP = "pow(2, greatest(floor(log2(abs(x))), -14) - 10)"
+HALF_SQL = E_SQL + f""", hv AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x / {_HALF_STEP}, 0) * {_HALF_STEP} END) AS w FROM e),
+hs AS (SELECT query, vec_id AS item, list_inner_product(w, qv) AS score FROM hv, q WHERE vec_id <> query),
+got AS (SELECT query, item FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, item) AS r FROM hs) WHERE r <= 10)"""
+
+
+@query(HALF_SQL + TRUTH_SQL)
 def half_precision_recall(spark, d):
     halves = dense.to_half(table(spark, d, "embeddings"), "embedding").select("vec_id", V.as_doubles(F.col("half")).alias("v"))
     return _quality(spark, d, dense.exact_top_k(halves, "vec_id", "v", _asked(spark, d), "query", "qv", 11))
@@ -573,7 +579,18 @@ def doc_outline(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", o.alias("o")).select("doc_id", "o.title", F.array_join("o.sections", "|").alias("sections"), F.col("o.n_bytes").cast("bigint").alias("n_bytes"))
 
 
-@query()
+# A gap is put between chr(1) and chr(2); line ends in a gap that is marked already become chr(3), so that they aren't marked again.
+_BLANK = r"[\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]"
+SENTENCE_SQL = rf"""WITH a AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])({_BLANK}+)([A-Z"''(])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), chr(1)) AS ps FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, array_to_string(list_transform(ps, lambda p, i: CASE WHEN i = 1 THEN p ELSE translate(split_part(p, chr(2), 1), chr(10), chr(3)) || substr(p, length(split_part(p, chr(2), 1)) + 1) END), chr(1)) AS m FROM a),
+c AS (SELECT doc_id, string_split(regexp_replace(m, '(\n\n+)', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS ps FROM b),
+x AS (SELECT doc_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM c),
+y AS (SELECT doc_id, i, CASE WHEN i = 1 THEN 0 ELSE length(split_part(p, chr(2), 1)) END AS gap, CASE WHEN i = 1 THEN p ELSE substr(p, length(split_part(p, chr(2), 1)) + 2) END AS s FROM x),
+z AS (SELECT *, sum(gap + length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM y),
+s AS (SELECT * FROM z WHERE length(regexp_replace(s, '{_BLANK}+', '', 'g')) > 0)"""
+
+
+@query(SENTENCE_SQL + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS sentence_idx, CAST(upto - length(s) AS INT) AS char_start, CAST(upto AS INT) AS char_end FROM s")
 def sentences(spark, d):
     return chunking.sentences(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "sentence_idx", "char_start", "char_end")
 
