@@ -566,7 +566,19 @@ def section_chunks(spark, d):
     return chunking.chunk_markdown(_files(spark, d), "doc_id", "file", "text")
 
 
-@query()
+_BLANK = r"[\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]"
+_STRIP = f"'^{_BLANK}+|{_BLANK}+$', '', 'g'"
+# The entry of level k is the last heading of level k or less before, if it is of level k.
+SECTION_SQL = rf"""WITH l AS (SELECT doc_id, stem, x, i FROM (SELECT doc_id, stem, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, stem, regexp_split_to_array(text, '\r\n|[\n\r\x{{0b}}\x{{0c}}\x{{1c}}-\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]') AS ls FROM documents WHERE text IS NOT NULL))),
+t AS (SELECT *, length(regexp_extract(x, '^(#{{1,6}}){_BLANK}+(.*)$', 1)) AS lv, regexp_replace(regexp_extract(x, '^(#{{1,6}}){_BLANK}+(.*)$', 2), {_STRIP}) AS title FROM l),
+n AS (SELECT *, sum(CASE WHEN lv > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM t),
+b AS (SELECT doc_id, any_value(stem) AS stem, sec, max(lv) AS lv, max(CASE WHEN lv > 0 THEN title END) AS title, regexp_replace(coalesce(string_agg(CASE WHEN lv = 0 THEN x END, chr(10) ORDER BY i), ''), {_STRIP}) AS body FROM n GROUP BY doc_id, sec),
+h AS (SELECT doc_id, list({{'sec': sec, 'lv': lv, 'title': title}} ORDER BY sec) AS hs FROM b WHERE lv > 0 GROUP BY doc_id),
+p AS (SELECT b.*, CASE WHEN lv = 0 THEN [] ELSE list_transform(range(1, lv), lambda k: list_filter(hs, lambda y: y.sec < b.sec AND y.lv <= k)[-1]) END AS up FROM b LEFT JOIN h USING (doc_id)),
+r AS (SELECT *, [stem || '.md'] || list_filter(list_transform(up, lambda y, k: CASE WHEN y.lv = k THEN y.title ELSE '' END) || [coalesce(title, '')], lambda z: z <> '') AS crumb FROM p)"""
+
+
+@query(SECTION_SQL + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS INT) AS section_idx, array_to_string(crumb, ' > ') AS breadcrumb, CAST(length(body) AS INT) AS body_chars FROM r WHERE body <> ''")
 def breadcrumbs(spark, d):
     docs = _files(spark, d).select("doc_id", "file")
     return chunking.sections(table(spark, d, "documents"), "doc_id", "text").join(docs, "doc_id").select("doc_id", "section_idx", X.breadcrumb(F.col("file"), F.col("headings")).alias("breadcrumb"), F.length("body").alias("body_chars"))
@@ -580,7 +592,6 @@ def doc_outline(spark, d):
 
 
 # A gap is put between chr(1) and chr(2); line ends in a gap that is marked already become chr(3), so that they aren't marked again.
-_BLANK = r"[\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]"
 SENTENCE_SQL = rf"""WITH a AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])({_BLANK}+)([A-Z"''(])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), chr(1)) AS ps FROM documents WHERE text IS NOT NULL),
 b AS (SELECT doc_id, array_to_string(list_transform(ps, lambda p, i: CASE WHEN i = 1 THEN p ELSE translate(split_part(p, chr(2), 1), chr(10), chr(3)) || substr(p, length(split_part(p, chr(2), 1)) + 1) END), chr(1)) AS m FROM a),
 c AS (SELECT doc_id, string_split(regexp_replace(m, '(\n\n+)', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS ps FROM b),
