@@ -95,10 +95,12 @@ def forest_shape(rows: int, width: int, cosine: float, recall: float) -> tuple[i
 
 def strings(unit: np.ndarray, planes: np.ndarray) -> np.ndarray:
     """[trees, rows]: the strings of unit vectors as integers."""
-    signs = np.zeros((planes.shape[0], len(unit), 64), bool)
+    signs = np.zeros((len(unit), 64), bool)
+    out = np.empty((len(planes), len(unit)), np.int64)
     for tree, plane in enumerate(planes):
-        np.greater(unit @ plane, 0, out=signs[tree, :, 1:])
-    return np.packbits(signs, axis=2).view(">i8")[:, :, 0].astype(np.int64)
+        np.greater(unit @ plane, 0, out=signs[:, 1:])
+        out[tree] = np.packbits(signs, axis=1).view(">i8")[:, 0]
+    return out
 
 
 class Tree:
