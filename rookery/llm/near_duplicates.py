@@ -167,8 +167,9 @@ def count_sketch(df: DataFrame, column: str, bits: int = SKETCH_BITS[0]) -> np.n
 
 
 def _cells(sigs: DataFrame, threshold: float, rarity) -> DataFrame:
-    """(h, side, cls, n, at, c0, c1): the keys under which each class (by its 64 bits) is indexed,
-    with the shingle's place in its order of rarity, its size and its segments' counts in bytes.
+    """(h, cls, m, c): the keys under which each class (by its 64 bits) is indexed, packed to shuffle
+    little: m holds its size, the shingle's place in its order of rarity and its side (33 and 2 bits
+    up), c the counts of its segments in four bits each, 15 standing for more.
 
     A key of many classes is cut into parts: two parts i < j meet under a key of their own, i on
     side 1 and j on side 2, and each part meets itself on side 0.
@@ -196,7 +197,8 @@ def _cells(sigs: DataFrame, threshold: float, rarity) -> DataFrame:
             row = np.repeat(np.arange(len(n)), n)
             rare = sketch[h & mask]
             segment = (h.view(np.uint64) >> np.uint64(60)).astype(np.int64)
-            packed = np.minimum(np.bincount(row * SEGMENTS + segment, minlength=len(n) * SEGMENTS), 255).astype(np.uint8).reshape(len(n), SEGMENTS).copy().view(np.int64)
+            counts = np.minimum(np.bincount(row * SEGMENTS + segment, minlength=len(n) * SEGMENTS), 15).astype(np.uint64).reshape(len(n), SEGMENTS)
+            packed = (counts << np.arange(0, 4 * SEGMENTS, 4, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
             order = np.lexsort((h, rare, row))
             place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             alpha = np.ceil(threshold * n - 1e-9).astype(np.int64)
@@ -211,17 +213,16 @@ def _cells(sigs: DataFrame, threshold: float, rarity) -> DataFrame:
             r = row[pick]
             met = np.minimum(own, other) * parts + np.maximum(own, other)
             cell = scramble(scramble(h[pick].view(np.uint64) ^ salt[r]) + met.astype(np.uint64))
-            side = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.int8)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.view(np.int64)), pa.array(side), pa.array(cls[r]), pa.array(n[r].astype(np.int32)), pa.array(place[place_of].astype(np.int32)), pa.array(packed[r, 0]), pa.array(packed[r, 1])],
-                names=["h", "side", "cls", "n", "at", "c0", "c1"],
-            )
+            side = np.where(own == other, 0, np.where(own < other, 1, 2))
+            meta = (n[r] << 33) | (place[place_of] << 2) | side
+            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(cls[r]), pa.array(meta), pa.array(packed[r])], names=["h", "cls", "m", "c"])
 
-    return sigs.select("tbl", "c64", "n", "sh").mapInArrow(run, "h long, side byte, cls long, n int, at int, c0 long, c1 long")
+    return sigs.select("tbl", "c64", "n", "sh").mapInArrow(run, "h long, cls long, m long, c long")
 
 
-def _byte_gap(a: str, b: str) -> str:
-    return " + ".join(f"abs((shiftrightunsigned({a}, {s}) & 255) - (shiftrightunsigned({b}, {s}) & 255))" for s in range(0, 64, 8))
+def _gap(a: str, b: str) -> str:
+    """The Manhattan distance of two packed rows of counts; counts over 15 make it less, never more."""
+    return " + ".join(f"abs((shiftrightunsigned({a}, {s}) & 15) - (shiftrightunsigned({b}, {s}) & 15))" for s in range(0, 4 * SEGMENTS, 4))
 
 
 def _only(sigs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
@@ -245,10 +246,11 @@ def class_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
     spark = sigs.sparkSession
     shingles = sigs.agg(F.sum("n").alias("n")).first().n or 0
     rarity = spark.sparkContext.broadcast(count_sketch(sigs, "sh", sketch_bits(shingles)))
-    cells = _cells(sigs, threshold, rarity).repartition("h").dropDuplicates(["h", "cls"])
+    met = _cells(sigs, threshold, rarity).repartition("h").dropDuplicates(["h", "cls"])
+    cells = met.selectExpr("h", "cls", "cast(shiftrightunsigned(m, 33) as int) as n", "cast(shiftrightunsigned(m, 2) & 2147483647 as int) as at", "cast(m & 3 as int) as side", "c")
     bound = (1 - threshold) / (1 + threshold)
     a, b = cells.alias("a"), cells.alias("b")
-    near = f"({_byte_gap('a.c0', 'b.c0')} + {_byte_gap('a.c1', 'b.c1')}) <= {bound!r} * (a.n + b.n) + 1e-9"
+    near = f"({_gap('a.c', 'b.c')}) <= {bound!r} * (a.n + b.n) + 1e-9"
     sized = f"a.n >= {threshold!r} * b.n - 1e-9 and b.n >= {threshold!r} * a.n - 1e-9"
     least = f"ceil({threshold / (1 + threshold)!r} * (a.n + b.n) - 1e-9)"  # shingles such a pair shares
     early = f"a.at < a.n - {least} + {PREFIX_EXTRA} and b.at < b.n - {least} + {PREFIX_EXTRA}"
