@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from rookery.session import materialise
 
 HASH_BITS = 63
+#: A cell is named by tree, leaf and part in one number; so many bits for the part.
+PART_BITS = 20
 #: Rows on which the leaves are fitted; they come to the driver.
 SAMPLE_ROWS = 65_536
 #: Trees at most, and the cosine they are planned for where none is asked for.
@@ -148,10 +150,10 @@ class Forest:
         for t, tree in enumerate(self.trees):
             parts = tree.parts[homes[t]]
             own = (ids * 0x9E3779B1 >> 8) % parts
-            yield t, everyone, (homes[t] << 12) + own, False
+            yield t, everyone, (homes[t] << PART_BITS) + own, False
             for other in range(1, int(parts.max(initial=1))):
                 rows = np.flatnonzero(parts > other)
-                yield t, rows, (homes[t][rows] << 12) + (own[rows] + other) % parts[rows], True
+                yield t, rows, (homes[t][rows] << PART_BITS) + (own[rows] + other) % parts[rows], True
         met = sum(tree.held[homes[t]] for t, tree in enumerate(self.trees))
         few = np.flatnonzero(met < self.enough)
         for bits in range(HASH_BITS - 1, -1, -1):  # ascend in all trees at once
@@ -168,7 +170,7 @@ class Forest:
                 rows, leaves = rows[away], leaves[away]
                 for part in range(int(self.trees[t].parts[leaves].max(initial=1))):
                     has = self.trees[t].parts[leaves] > part
-                    yield t, rows[has], (leaves[has] << 12) + part, True
+                    yield t, rows[has], (leaves[has] << PART_BITS) + part, True
             few = few[~done]
 
 

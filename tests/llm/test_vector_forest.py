@@ -107,5 +107,5 @@ def test_sparse_rows_ascend(spark):
         assert (np.diff(tree.starts) > 0).all() and abs(tree.held.sum() - len(codes)) < 1e-6
     seen = np.zeros(len(codes))
     for tree, rows, cells, guest in forest.places(np.arange(len(codes)), codes.astype(np.int8), vf.projections(64, 4, 1)):
-        np.add.at(seen, rows, forest.trees[tree].held[cells >> 12])
+        np.add.at(seen, rows, forest.trees[tree].held[cells >> vf.PART_BITS])
     assert (seen >= forest.enough - 1e-6).all()
