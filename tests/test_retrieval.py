@@ -164,6 +164,12 @@ def test_half_precision_keeps_nulls(spark):
     assert got[2] is None and got[3] == [] and got[1] == [float(np.float32(np.float16(0.1))), 2.0]
 
 
+def test_matryoshka_memory_beyond_an_int(spark):
+    got = dense.matryoshka_memory(spark, 5_000_000).collect()
+    assert [(r.dim, r.float32_gb, r.binary_gb, r.vs_full) for r in got][:2] == [(768, 15.36, 0.48, "1x smaller"), (512, 10.24, 0.32, "2x smaller")]
+    assert dense.matryoshka_memory(spark, 20_000_000_000).first().float32_gb == 61440.0
+
+
 def test_concept_fidelity(spark):
     real = spark.createDataFrame([([2.0, 0.0],), ([0.0, 3.0],)], "r array<double>")
     made = spark.createDataFrame([("p", [1.0, 1.0]), ("p", [5.0, 5.0]), ("q", [1.0, -1.0])], "prompt string, v array<double>")
