@@ -35,6 +35,63 @@ def test_bm25_against_the_formula(spark):
     assert all(r.score > 0 for r in top) and {r["query"] for r in top} == {1}
 
 
+def test_bm25_forms_no_row_of_a_shuffle_per_pair(spark):
+    docs = spark.createDataFrame(DOCS, "doc int, body string")
+    q = spark.createDataFrame([(1, "the lidar TLM-330 the")], "query int, question string")
+    plan = lexical.bm25_scores(docs, "doc", "body", q, "query", "question")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "query" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
+
+
+def many_texts(seed=3, n=90, words=40):
+    rng = np.random.default_rng(seed)
+    p = 1 / np.arange(1, words + 1)
+    return [(i, " ".join(f"w{x}" for x in rng.choice(words, rng.integers(0, 25), p=p / p.sum()))) for i in range(n)]
+
+
+def test_bm25_blocks_agree(spark, monkeypatch):
+    docs, asked = many_texts(), many_texts(7, 11, 60)
+    df, q = spark.createDataFrame(docs, "doc long, body string").repartition(3), spark.createDataFrame(asked, "query long, question string")
+    want = {(i, d): bm25(docs, text).get(d, 0.0) for i, text in asked for d, body in docs if {*text.split()} & {*body.split()}}  # also of weight 0
+    for size, rows in ((64 << 20, 1024), (2000, 2)):
+        monkeypatch.setattr(lexical, "QUERY_BYTES", size)
+        monkeypatch.setattr(lexical, "QUERY_ROWS", rows)
+        monkeypatch.setattr(lexical, "POSTINGS", rows * 8)
+        got = {(r["query"], r.doc): r.score for r in lexical.bm25_scores(df, "doc", "body", q, "query", "question").collect()}
+        assert set(got) == set(want) and all(abs(got[x] - s) < 1e-9 for x, s in want.items())
+        best = {(r["query"], r["rank"]): r.doc for r in lexical.bm25_best(df, "doc", "body", q, "query", "question", 5).collect()}
+        order = {i: sorted((d for a, d in want if a == i), key=lambda d: (-round(want[i, d], 9), d)) for i, _ in asked}
+        assert best == {(i, r): d for i, ds in order.items() for r, d in enumerate(ds[:5])}
+
+
+def test_bm25_sums_in_any_cut(monkeypatch):
+    rng = np.random.default_rng(5)
+    doc, term = np.array(sorted((d, t) for d in range(30) for t in rng.choice(20, 6, replace=False))).T
+    w, pairs = rng.normal(size=len(doc)), np.array([(x, t) for x in range(7) for t in rng.choice(20, 5, replace=False)])
+    qf = rng.integers(1, 3, len(pairs)).astype(float)
+    want = np.zeros((7, 30))
+    for (x, t), f in zip(pairs, qf):
+        np.add.at(want[x], doc[term == t], f * w[term == t])
+    for dense_terms, singly in ((256, 1 << 22), (0, 1), (3, 9)):
+        monkeypatch.setattr(lexical, "DENSE_TERMS", dense_terms)
+        monkeypatch.setattr(lexical, "SINGLY", singly)
+        (_, m, asked), *rest = lexical._slices(pairs[:, 0], pairs[:, 1], qf, 7, 20)
+        assert not rest and np.allclose(lexical._sums(doc, term, w, 30, asked, m), want)
+
+
+def test_whole_documents_are_cut_at_their_ends(monkeypatch):
+    import pyarrow as pa
+
+    ids = [None] * 3 + ["a"] * 9 + ["b"] + ["c"] * 4 + list("defgh")
+    table = pa.table({"doc": ids, "t": pa.array(range(len(ids)), pa.int32()), "w": [float(i) for i in range(len(ids))]})
+    for rows, postings, documents in ((4, 5, 2), (1, 1, 1), (100, 1 << 17, 2048)):
+        monkeypatch.setattr(lexical, "POSTINGS", postings)
+        monkeypatch.setattr(lexical, "DOC_ROWS", documents)
+        parts = list(lexical._whole_documents(iter(table.to_batches(max_chunksize=rows))))
+        assert all(len(x) <= documents for x, *_ in parts) and [x for d, *_ in parts for x in d.to_pylist()] == [None, *"abcdefgh"]
+        assert [(d[int(i)].as_py(), int(t)) for d, at, term, _ in parts for i, t in zip(at, term)] == list(zip(ids, range(len(ids))))
+    assert not list(lexical._whole_documents(iter([])))
+
+
 def clustered(seed=0, n=400, dim=64):
     rng = np.random.default_rng(seed)
     c = rng.normal(size=(20, dim))
