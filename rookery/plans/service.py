@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rookery.functions import seams
 from rookery.functions.text import approx_tokens, outline, parsed_object
 from rookery.operators import dense, evaluation, fusion, lexical
+from rookery.session import materialise
 from rookery.sources.index_store import IndexStore
 from rookery.sources.readers import read_document
 
@@ -32,17 +33,24 @@ class Engine:
         """The lexical index, written on first need and used by every later search."""
         return lexical.stored_index(self.chunks, "id", "body")
 
-    def search(self, questions: DataFrame, mode: str = "hybrid", top_k: int = 4, rerank: bool = True) -> DataFrame:
-        """(query, item, rank, rrf_score, dense_rank, bm25_rank, body, source, breadcrumb); questions
-        under three characters are left out; top_k is held within 1..12."""
-        k = clamp(top_k)
-        asked = questions.where("length(question) >= 3").withColumn("qv", seams.embed()(F.col("question")))
+    def _arms(self, questions: DataFrame, mode: str) -> tuple[DataFrame | None, DataFrame | None]:
+        """The arms that a mode needs, each with `candidates` a question."""
+        asked = questions.where("length(question) >= 3")
         needs_dense, needs_lexical = fusion.arms_of(mode)
-        arm_d = dense.exact_top_k(self.chunks, "id", "embedding", asked, "qid", "qv", self.candidates) if needs_dense else None
-        arm_l = None
+        arm_d = arm_l = None
+        if needs_dense:
+            arm_d = dense.exact_top_k(self.chunks, "id", "embedding", asked.withColumn("qv", seams.embed()(F.col("question"))), "qid", "qv", self.candidates)
         if needs_lexical:
-            scores = lexical.bm25_scores(self.chunks, "id", "body", asked, "qid", "question", self._postings)
-            arm_l = lexical.bm25_top_k(scores, self.candidates).withColumnRenamed("doc", "item")
+            best = lexical.bm25_best(self.chunks, "id", "body", asked, "qid", "question", self.candidates, self._postings)
+            arm_l = best.where("score > 0").withColumnRenamed("doc", "item")
+        return arm_d, arm_l
+
+    def search(self, questions: DataFrame, mode: str = "hybrid", top_k: int = 4, rerank: bool = True, arms: tuple | None = None) -> DataFrame:
+        """(query, item, rank, rrf_score, dense_rank, bm25_rank, body, source, breadcrumb); questions
+        under three characters are left out; top_k is held within 1..12. arms: those of an earlier search."""
+        k = clamp(top_k)
+        asked = questions.where("length(question) >= 3")
+        arm_d, arm_l = arms or self._arms(questions, mode)
         payload = self.chunks.select(F.col("id").alias("item"), "body", "source", "breadcrumb")
         words = asked.select(F.col("qid").alias("query"), "question")
 
@@ -66,14 +74,15 @@ class Engine:
 
     def compare(self, questions: DataFrame, top_k: int = 4) -> DataFrame:
         """The modes side by side, with a label."""
-        parts = [self.search(questions, mode, top_k, rerank=False).select(F.lit(mode).alias("mode"), "query", "rank", "item", "source") for mode in ("dense", "bm25", "hybrid")]
+        arms = tuple(materialise(x) for x in self._arms(questions, "hybrid"))  # each is read by two modes
+        parts = [self.search(questions, mode, top_k, rerank=False, arms=arms).select(F.lit(mode).alias("mode"), "query", "rank", "item", "source") for mode in ("dense", "bm25", "hybrid")]
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
     def ask_stream(self, questions: DataFrame, mode: str = "hybrid", top_k: int = 4) -> DataFrame:
         """(query, seq, event, data) in the order a stream sends them: the sources, each token of the
         text, and at last an audit of its citations as JSON."""
         k = clamp(top_k)
-        hits = self.search(questions, mode, k)
+        hits = materialise(self.search(questions, mode, k))  # read for the sources and for the answer
         listed = F.array_sort(F.collect_list(F.struct((F.col("rank") + 1).alias("n"), "item", "source", "breadcrumb")))  # at most top_k
         sources = hits.groupBy("query").agg(F.to_json(listed).alias("sources"))
         told = self._answered(questions, hits).join(sources, "query", "left")

@@ -257,6 +257,16 @@ def test_triage_says_what_is_no_json(spark):
     assert (got[1].component, got[1].page_oncall, got[1].severity, got[1].error) == ("dock", True, None, None) and got[2].error and got[2].component is None
 
 
+def test_compare_searches_each_arm_once(spark, monkeypatch):
+    seen = []
+    for module, name in ((dense, "exact_top_k"), (lexical, "bm25_best")):
+        f = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, f=f, name=name, **k: (seen.append(name), f(*a, **k))[1])
+    q = spark.createDataFrame([(1, "what does TLM-330 mean")], "qid int, question string")
+    rows = _engine(spark).compare(q).collect()
+    assert sorted(seen) == ["bm25_best", "exact_top_k"] and {r["mode"] for r in rows} == {"dense", "bm25", "hybrid"}
+
+
 def test_dense_mode_builds_no_lexical_index(spark):
     engine = _engine(spark)
     q = spark.createDataFrame([(1, "what does TLM-330 mean")], "qid int, question string")
