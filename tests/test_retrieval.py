@@ -42,6 +42,25 @@ def test_bm25_forms_no_row_of_a_shuffle_per_pair(spark):
     assert "MapInArrow" in plan and "query" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
 
 
+def test_bm25_searches_shuffle_no_postings(spark):
+    docs = spark.createDataFrame(DOCS, "doc int, body string")
+    q = spark.createDataFrame([(1, "the lidar TLM-330 the")], "query int, question string")
+    plan = lexical.bm25_scores(docs, "doc", "body", q, "query", "question")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+def test_stored_index_is_the_index(spark):
+    twice = DOCS + [(0, "the lidar lock"), (1, "TLM-330 is in the dock, the lidar"), (None, "Lock, lock"), (None, "lock dock")]
+    for rows in (DOCS, twice):
+        docs = spark.createDataFrame(rows, "doc int, body string")
+        stored = lexical.stored_index(docs, "doc", "body")
+        assert stored.count() == stored.select("doc").distinct().count()
+        each = sorted(map(tuple, lexical.unpacked(stored).collect()), key=repr)
+        assert each == sorted(map(tuple, lexical.index(docs, "doc", "body").collect()), key=repr)
+        want = sorted(map(tuple, lexical.document_frequency(lexical.index(docs, "doc", "body")).collect()))
+        assert sorted(map(tuple, lexical._frequencies(stored).collect())) == want
+
+
 def many_texts(seed=3, n=90, words=40):
     rng = np.random.default_rng(seed)
     p = 1 / np.arange(1, words + 1)
