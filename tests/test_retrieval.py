@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from rookery.functions import seams
@@ -295,6 +296,16 @@ def test_dense_mode_builds_no_lexical_index(spark):
     assert "_postings" in engine.__dict__
 
 
+def test_hash_embed_sums_in_the_order_of_the_text(monkeypatch):
+    texts = [t for _, t in many_texts()] + [None, "", "TLM-330 " * 70 + "lock", " ".join(f"x{i}" for i in range(1500))]
+    want = np.array([np.sum([np.random.default_rng(xxhash.xxh3_64_intdigest(w)).normal(size=8) for w in (t or "").lower().split()] or [np.zeros(8)], axis=0) for t in texts])
+    norms = np.linalg.norm(want, axis=1, keepdims=True)
+    for kept, at_a_time in ((200_000, 1 << 16), (3, 5)):
+        monkeypatch.setattr(seams, "KEPT", kept)
+        monkeypatch.setattr(seams, "AT_A_TIME", at_a_time)
+        assert np.array_equal(seams.hash_embed(texts, 8), want / np.where(norms == 0, 1, norms))
+
+
 def test_contextual_chunks(spark):
     from rookery.functions import text as X
 
