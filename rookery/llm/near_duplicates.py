@@ -226,16 +226,19 @@ def _gap(a: str, b: str) -> str:
 
 
 def _only(sigs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
-    """Rows of sigs whose c64 may be in wanted: a bit test before any shuffle of sets."""
+    """Rows of sigs whose c64 may be in wanted, equal sets in one task once: before any shuffle of sets."""
     bits = sketch_bits(32 * count)
     bitmap = sigs.sparkSession.sparkContext.broadcast(np.packbits(count_sketch(wanted, "c64", bits) > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bitmap.value
+        done: set[bytes] = set()
         for batch in batches:
             at = batch.column(1).to_numpy() & ((1 << bits) - 1)
             hit = np.flatnonzero((held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
-            if len(hit):
+            names = batch.column(0).take(pa.array(hit)).to_pylist()
+            hit = [i for i, c in zip(hit.tolist(), names) if not (c in done or done.add(c))]
+            if hit:
                 yield batch.take(pa.array(hit))
 
     return sigs.select("cls", "c64", "sh").mapInArrow(run, "cls binary, c64 long, sh array<long>")
@@ -265,7 +268,8 @@ def class_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
     alike = classes.where("n > 1").select(F.col("c64").alias("c64_a"), F.col("c64").alias("c64_b"))  # unequal sets of equal c64
     shared = materialise(shared.union(alike))
     wanted = shared.select(F.col("c64_a").alias("c64")).union(shared.select("c64_b")).distinct()
-    sets = _only(sigs, wanted, 2 * shared.count()).groupBy("cls").agg(F.first("c64").alias("c64"), F.first("sh").alias("sh"))
+    # one shuffle of the sets, by c64: they are joined where it leaves them
+    sets = _only(sigs, wanted, 2 * shared.count()).repartition("c64").groupBy("c64", "cls").agg(F.first("sh").alias("sh"))
     left, right = (sets.select(F.col("cls").alias(f"cls_{x}"), F.col("c64").alias(f"c64_{x}"), F.col("sh").alias(f"sh_{x}")) for x in "ab")
     inter = F.size(F.array_intersect("sh_a", "sh_b"))
     return (

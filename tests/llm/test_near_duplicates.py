@@ -94,3 +94,10 @@ def test_classes_of_equal_halves_are_told_apart(spark, monkeypatch):
     sets = {bytes(r.cls): set(r.sh) for r in sigs.collect()}
     want = {tuple(sorted(p)) for p in combinations(sets, 2) if len(sets[p[0]] & sets[p[1]]) >= 0.5 * len(sets[p[0]] | sets[p[1]])}
     assert {tuple(sorted((bytes(r.cls_a), bytes(r.cls_b)))) for r in pairs} == want and len(pairs) == len(want)
+
+
+def test_sets_are_shuffled_once(spark):
+    rows = [("a", i, " ".join(f"w{(i // 2) * 7 + j}" for j in range(12))) for i in range(8)]
+    sigs = nd.signatures(spark.createDataFrame(rows, "tbl string, key long, text string"), 3, 3)
+    pairs = nd.class_pairs(sigs, 0.5)
+    assert "hashpartitioning(cls#" not in pairs._jdf.queryExecution().executedPlan().toString()
