@@ -62,6 +62,25 @@ def test_stored_index_is_the_index(spark):
         assert sorted(map(tuple, lexical._frequencies(stored).collect())) == want
 
 
+def test_stored_index_holds_no_lists(spark):
+    stored = lexical.stored_index(spark.createDataFrame(DOCS, "doc int, body string"), "doc", "body")
+    assert dict(stored.dtypes) == {"doc": "int", "terms": "string", "tfs": "binary", "dls": "binary"}
+
+
+def test_found_tokens_are_those_of_the_pattern():
+    import re
+
+    import pyarrow as pa
+
+    from rookery.functions.text import TOKEN_PATTERN, found_tokens
+
+    rng = np.random.default_rng(2)
+    texts = [None, "", "a", "-a.b_", "a--b", "a.\nb", "x" * 300, *("".join(rng.choice(list("ab9-_. é漢\n"), n)) for n in rng.integers(0, 30, 300))]
+    for array in (pa.array(texts), pa.array(["a-", *texts, "b"]).slice(1, len(texts)), pa.array(texts[:0], pa.string()), pa.array([None, ""], pa.string())):
+        rows, words = found_tokens(array)
+        assert list(zip(rows.tolist(), words.to_pylist())) == [(i, w) for i, t in enumerate(array.to_pylist()) for w in re.findall(TOKEN_PATTERN, t or "")]
+
+
 def many_texts(seed=3, n=90, words=40):
     rng = np.random.default_rng(seed)
     p = 1 / np.arange(1, words + 1)
