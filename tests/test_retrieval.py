@@ -325,6 +325,23 @@ def test_hash_embed_sums_in_the_order_of_the_text(monkeypatch):
         assert np.array_equal(seams.hash_embed(texts, 8), want / np.where(norms == 0, 1, norms))
 
 
+def test_overlap_score_over_arrow(spark, monkeypatch):
+    from rookery.functions import text as X
+
+    rows = [("The dock, the DOCK door", "door of the rack"), ("dock", None), (None, "dock"), ("", ""), ("a-b a b", "x a-b"), ("-- ?", None), ("TLM-330", "tlm-330."), ("dock", "")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, q string, b string").coalesce(1)
+    scored = df.select("i", seams.overlap_score(F.col("q"), F.col("b")).alias("s"))
+    assert "regexp_extract_all" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    want = [2 / 3, None, 0.0, 0.0, 1 / 3, 0.0, 1.0, 0.0]
+    assert [r.s for r in scored.orderBy("i").collect()] == want
+    import pyarrow as pa
+
+    q, b = (pa.array(x) for x in zip(*rows))
+    monkeypatch.setattr(X, "TEXT_BYTES", 5)
+    lower = pa.compute.utf8_lower
+    assert pa.concat_arrays([seams._overlap(lower(q).slice(i, j - i), lower(b).slice(i, j - i)) for i, j in X.stretches(b)]).to_pylist() == want
+
+
 def test_contextual_chunks(spark):
     from rookery.functions import text as X
 
