@@ -342,6 +342,20 @@ def test_overlap_score_over_arrow(spark, monkeypatch):
     assert pa.concat_arrays([seams._overlap(lower(q).slice(i, j - i), lower(b).slice(i, j - i)) for i, j in X.stretches(b)]).to_pylist() == want
 
 
+def test_sweep_reads_the_texts_once(spark, tmp_path, monkeypatch):
+    from rookery.plans import catalogue
+
+    spark.createDataFrame([(i, t, f"s{i}", "") for i, t in DOCS], "chunk_key long, body string, source string, breadcrumb string").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([("qa-50", "where is the lidar lock", ["s0"]), ("qa-100", "battery rack", ["s1"])], "id string, question string, gold_sources array<string>").write.parquet(str(tmp_path / "qa_set.parquet"))
+    spark.createDataFrame([(i, [float(i), 1.0], 0) for i in (0, 1, 2, 3, 50, 100)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    seen, payload = [], catalogue._payload
+    monkeypatch.setattr(catalogue, "_payload", lambda *a: (seen.append(1), payload(*a))[1])
+    got = {r.arm: (r.n, r.recall_1) for r in catalogue.retriever_sweep_reranked(spark, str(tmp_path)).collect()}
+    assert len(seen) == 1 and got == {m: (2, 1.0) for m in ("dense + rerank", "bm25 + rerank", "hybrid + rerank")}
+    got = {r.arm: r.n for r in catalogue.retriever_sweep(spark, str(tmp_path)).collect()}
+    assert len(seen) == 2 and got == {m: 2 for m in ("dense", "bm25", "hybrid")}
+
+
 def test_contextual_chunks(spark):
     from rookery.functions import text as X
 
