@@ -34,7 +34,8 @@ class Engine:
         return lexical.stored_index(self.chunks, "id", "body")
 
     def _arms(self, questions: DataFrame, mode: str) -> tuple[DataFrame | None, DataFrame | None]:
-        """The arms that a mode needs, each with `candidates` a question."""
+        """The arms that a mode needs, each with `candidates` a question. Two are stored: their fusion
+        would else be planned with the partitions of the searches, far too many for so few rows."""
         asked = questions.where("length(question) >= 3")
         needs_dense, needs_lexical = fusion.arms_of(mode)
         arm_d = arm_l = None
@@ -43,7 +44,7 @@ class Engine:
         if needs_lexical:
             best = lexical.bm25_best(self.chunks, "id", "body", asked, "qid", "question", self.candidates, self._postings)
             arm_l = best.where("score > 0").withColumnRenamed("doc", "item")
-        return arm_d, arm_l
+        return (materialise(arm_d), materialise(arm_l)) if needs_dense and needs_lexical else (arm_d, arm_l)
 
     def search(self, questions: DataFrame, mode: str = "hybrid", top_k: int = 4, rerank: bool = True, arms: tuple | None = None) -> DataFrame:
         """(query, item, rank, rrf_score, dense_rank, bm25_rank, body, source, breadcrumb); questions
@@ -74,7 +75,7 @@ class Engine:
 
     def compare(self, questions: DataFrame, top_k: int = 4) -> DataFrame:
         """The modes side by side, with a label."""
-        arms = tuple(materialise(x) for x in self._arms(questions, "hybrid"))  # each is read by two modes
+        arms = self._arms(questions, "hybrid")  # each is read by two modes
         parts = [self.search(questions, mode, top_k, rerank=False, arms=arms).select(F.lit(mode).alias("mode"), "query", "rank", "item", "source") for mode in ("dense", "bm25", "hybrid")]
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

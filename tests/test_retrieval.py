@@ -356,6 +356,29 @@ def test_sweep_reads_the_texts_once(spark, tmp_path, monkeypatch):
     assert len(seen) == 2 and got == {m: 2 for m in ("dense", "bm25", "hybrid")}
 
 
+def test_seed_states_are_numpys():
+    seeds = [0, 1, 2**32 - 1, 2**32, 2**64 - 1, *np.random.default_rng(1).integers(0, 2**64, 50, dtype=np.uint64).tolist()]
+    assert np.array_equal(seams._states(np.array(seeds, np.uint64)), [np.random.SeedSequence(x).generate_state(4, np.uint64) for x in seeds])
+    assert seams._states(np.array([], np.uint64)).shape == (0, 4)
+    held = seams._Directions(5)
+    places = held.places(["a", "lock"])
+    assert np.array_equal(held.rows[places], [np.random.default_rng(xxhash.xxh3_64_intdigest(t)).normal(size=5) for t in ("a", "lock")])
+
+
+def test_dense_search_embeds_no_item_beforehand(spark, monkeypatch):
+    """What is needed to cut the questions into blocks is asked of them, not of the items."""
+    items = spark.createDataFrame([(0, 1)], "item int, n int").withColumn("v", F.when(F.col("n") == 1, F.raise_error(F.lit("read"))).cast("array<double>"))
+    near = dense.exact_top_k(items, "item", "v", spark.createDataFrame([(1, [1.0, 0.0])], "query int, q array<double>"), "query", "q", 2)
+    with pytest.raises(Exception, match="read"):
+        near.collect()
+
+
+def test_fused_arms_are_stored(spark):
+    q = spark.createDataFrame([(1, "what does TLM-330 mean")], "qid int, question string")
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in _engine(spark)._arms(q, "hybrid")]
+    assert not any("MapInArrow" in x or "Window" in x for x in plans)
+
+
 def test_contextual_chunks(spark):
     from rookery.functions import text as X
 
