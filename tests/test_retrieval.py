@@ -386,3 +386,48 @@ def test_contextual_chunks(spark):
     seen = X.contextual_chunks(df, "doc", "chunk", lambda x: x.withColumn("context", F.concat_ws("|", "says", F.length("prompt").cast("string"))))
     assert seen.where("doc like 'dd%'").first().contextual.startswith("about|8") and "prompt" not in seen.columns
     assert [r.contextual for r in X.contextual_chunks(df.where("doc = 'doc'"), "doc", "chunk", lambda x: x.withColumn("context", F.col("says"))).collect()] == ["chunk", "chunk"]
+
+
+def test_reaching_pairs_are_those_of_the_sums(monkeypatch):
+    rng = np.random.default_rng(3)
+    for share in (1, 20, 10**6):  # the terms multiplied as a matrix: none to all
+        monkeypatch.setattr(lexical, "DENSE_SHARE", share)
+        pairs = np.unique(rng.integers(0, (9, 40), (150, 2)), axis=0)
+        held = np.unique(rng.integers(0, (60, 40), (700, 2)), axis=0)
+        at, term, w = held[:, 0], held[:, 1], rng.choice([1e-9, 0.3, 0.7, 5.0], len(held))
+        (_, m, asked), *_ = lexical._slices(pairs[:, 0], pairs[:, 1], rng.integers(1, 4, len(pairs)).astype(float), 9, 40)
+        sums = lexical._sums(at, term, w, 60, asked, m)
+        need = np.append(np.sort(sums, axis=1)[:-3, -5], [-np.inf, -2.0, 0.0]) - 2e-9
+        i, j, s = lexical._reaching(at, term, w, 60, asked, m, need)
+        want = np.nonzero((sums > 0) & (sums >= need[:, None]))
+        assert np.array_equal(i, want[0]) and np.array_equal(j, want[1]) and np.allclose(s, sums[i, j], rtol=1e-13)
+
+
+def _met(monkeypatch, module, name, barrier):
+    f = getattr(module, name)
+    monkeypatch.setattr(module, name, lambda *a, **k: (barrier.wait(60), f(*a, **k))[1])
+
+
+def test_sweep_searches_its_arms_at_the_same_time(spark, tmp_path, monkeypatch):
+    import threading
+
+    from rookery.plans import catalogue
+
+    spark.createDataFrame([(i, t, f"s{i}", "") for i, t in DOCS], "chunk_key long, body string, source string, breadcrumb string").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([("qa-50", "where is the lidar lock", ["s0"]), ("qa-100", "battery rack", ["s1"])], "id string, question string, gold_sources array<string>").write.parquet(str(tmp_path / "qa_set.parquet"))
+    spark.createDataFrame([(i, [float(i), 1.0], 0) for i in (0, 1, 2, 3, 50, 100)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    both = threading.Barrier(2)
+    _met(monkeypatch, catalogue, "_dense_arm", both)
+    _met(monkeypatch, catalogue, "_lexical_arm", both)
+    got = {r.arm: (r.n, r.recall_1, r.mrr) for r in catalogue.retriever_sweep(spark, str(tmp_path)).collect()}
+    assert got["bm25"] == (2, 1.0, 1.0) and got.keys() == {"dense", "bm25", "hybrid"}
+
+
+def test_works_done_together_raise_what_fails(spark):
+    from rookery.session import together
+
+    spark.sparkContext.setLocalProperty("spark.job.description", "both")
+    assert together(spark, lambda: spark.range(3).count(), lambda: spark.sparkContext.getLocalProperty("spark.job.description")) == [3, "both"]
+    spark.sparkContext.setLocalProperty("spark.job.description", None)
+    with pytest.raises(ZeroDivisionError):
+        together(spark, lambda: spark.range(3).count(), lambda: 1 // 0)
