@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rookery.functions import seams
 from rookery.functions.text import approx_tokens, outline, parsed_object
 from rookery.operators import dense, evaluation, fusion, lexical
-from rookery.session import materialise
+from rookery.session import materialise, together
 from rookery.sources.index_store import IndexStore
 from rookery.sources.readers import read_document
 
@@ -31,20 +31,24 @@ class Engine:
     @functools.cached_property
     def _postings(self) -> DataFrame:
         """The lexical index, written on first need and used by every later search."""
-        return lexical.stored_index(self.chunks, "id", "body")
+        return lexical.stored_index(self.chunks, "id", "body", True)
 
     def _arms(self, questions: DataFrame, mode: str) -> tuple[DataFrame | None, DataFrame | None]:
-        """The arms that a mode needs, each with `candidates` a question. Two are stored: their fusion
-        would else be planned with the partitions of the searches, far too many for so few rows."""
+        """The arms that a mode needs, each with `candidates` a question. Two are searched at the same time
+        and stored: their fusion would else be planned with the partitions of the searches, far too many for so few rows."""
         asked = questions.where("length(question) >= 3")
         needs_dense, needs_lexical = fusion.arms_of(mode)
-        arm_d = arm_l = None
-        if needs_dense:
-            arm_d = dense.exact_top_k(self.chunks, "id", "embedding", asked.withColumn("qv", seams.embed()(F.col("question"))), "qid", "qv", self.candidates)
-        if needs_lexical:
-            best = lexical.bm25_best(self.chunks, "id", "body", asked, "qid", "question", self.candidates, self._postings)
-            arm_l = best.where("score > 0").withColumnRenamed("doc", "item")
-        return (materialise(arm_d), materialise(arm_l)) if needs_dense and needs_lexical else (arm_d, arm_l)
+
+        def near() -> DataFrame:
+            return dense.exact_top_k(self.chunks, "id", "embedding", asked.withColumn("qv", seams.embed()(F.col("question"))), "qid", "qv", self.candidates)
+
+        def best() -> DataFrame:
+            found = lexical.bm25_best(self.chunks, "id", "body", asked, "qid", "question", self.candidates, self._postings)
+            return found.where("score > 0").withColumnRenamed("doc", "item")
+
+        if needs_dense and needs_lexical:
+            return tuple(together(self.chunks.sparkSession, lambda: materialise(near()), lambda: materialise(best())))
+        return near() if needs_dense else None, best() if needs_lexical else None
 
     def search(self, questions: DataFrame, mode: str = "hybrid", top_k: int = 4, rerank: bool = True, arms: tuple | None = None) -> DataFrame:
         """(query, item, rank, rrf_score, dense_rank, bm25_rank, body, source, breadcrumb); questions
@@ -64,10 +68,9 @@ class Engine:
 
     def ask(self, questions: DataFrame, mode: str = "hybrid", top_k: int = 4) -> DataFrame:
         """Contexts, the generator's text, its verified citations and the cited sources."""
-        return self._answered(questions, self.search(questions, mode, clamp(top_k, 1, 10)))
+        return self._answered(questions, fusion.context_blocks(self.search(questions, mode, clamp(top_k, 1, 10)), "query", "rank", "source", "body"))
 
-    def _answered(self, questions: DataFrame, hits: DataFrame) -> DataFrame:
-        blocks = fusion.context_blocks(hits, "query", "rank", "source", "body")
+    def _answered(self, questions: DataFrame, blocks: DataFrame) -> DataFrame:
         asked = questions.select(F.col("qid").alias("query"), "question").join(blocks, "query", "left")
         if self.generate is None:
             raise ValueError("no generator: pass generate=, a function of (query, question, context, n_blocks) that adds text")
@@ -83,10 +86,10 @@ class Engine:
         """(query, seq, event, data) in the order a stream sends them: the sources, each token of the
         text, and at last an audit of its citations as JSON."""
         k = clamp(top_k)
-        hits = materialise(self.search(questions, mode, k))  # read for the sources and for the answer
         listed = F.array_sort(F.collect_list(F.struct((F.col("rank") + 1).alias("n"), "item", "source", "breadcrumb")))  # at most top_k
-        sources = hits.groupBy("query").agg(F.to_json(listed).alias("sources"))
-        told = self._answered(questions, hits).join(sources, "query", "left")
+        hits = self.search(questions, mode, k)
+        blocks = materialise(fusion.context_blocks(hits, "query", "rank", "source", "body", F.to_json(listed).alias("sources")))  # read for the answer and for the sources
+        told = self._answered(questions, blocks.drop("sources")).join(blocks.select("query", "sources"), "query", "left")
         audit = F.to_json(F.struct("citations", F.col("invalid").alias("invalid_citations"), "abstained", "grounded"))
         row = lambda event, data: F.struct(F.lit(event).alias("event"), data.alias("data"))
         tokens = F.transform(F.regexp_extract_all("text", F.lit(r"\s*\S+|\s+$"), F.lit(0)), lambda t: row("token", F.to_json(F.struct(t.alias("t")))))

@@ -431,3 +431,20 @@ def test_works_done_together_raise_what_fails(spark):
     spark.sparkContext.setLocalProperty("spark.job.description", None)
     with pytest.raises(ZeroDivisionError):
         together(spark, lambda: spark.range(3).count(), lambda: 1 // 0)
+
+
+def test_ask_stream_searches_its_arms_at_the_same_time(spark, monkeypatch):
+    import threading
+
+    both = threading.Barrier(2)
+    _met(monkeypatch, dense, "exact_top_k", both)
+    _met(monkeypatch, lexical, "bm25_best", both)
+    q = spark.createDataFrame([(1, "what does TLM-330 mean")], "qid int, question string")
+    assert [r.event for r in _engine(spark).ask_stream(q).orderBy("seq").collect()] == ["sources", *["token"] * 4, "done"]
+
+
+def test_fusion_shuffles_once(spark):
+    arms = [spark.createDataFrame([(1, i, r) for r, i in enumerate(items)], "query int, item int, rank int") for items in ((5, 6, 7), (6, 8))]
+    fused = fusion.reciprocal_rank_fusion(*arms, 10)
+    assert fused._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [(r.item, r["rank"]) for r in fused.orderBy("rank").collect()] == [(6, 0), (5, 1), (8, 2), (7, 3)]
