@@ -356,6 +356,29 @@ def test_sweep_reads_the_texts_once(spark, tmp_path, monkeypatch):
     assert len(seen) == 2 and got == {m: 2 for m in ("dense", "bm25", "hybrid")}
 
 
+def _question_tables(spark, path):
+    """Tables of DOCS with three questions, one of them numbered by a multiple of 50, and one row without a question."""
+    rows = [("qa-50", "where is the lidar lock", ["s0"]), ("qa-51", "battery rack", ["s1"]), ("qa-2", "battery rack of the dock", ["none"]), ("qa-3", None, ["s1"])]
+    spark.createDataFrame([(i, t, f"s{i}", "") for i, t in DOCS], "chunk_key long, body string, source string, breadcrumb string").write.parquet(f"{path}/chunks.parquet")
+    spark.createDataFrame(rows, "id string, question string, gold_sources array<string>").write.parquet(f"{path}/qa_set.parquet")
+    spark.createDataFrame([(i, [float(i), 1.0], 0) for i in (0, 1, 2, 3, 50, 51)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+def test_reranked_sweep_asks_every_question(spark, tmp_path):
+    import duckdb
+
+    from rookery.plans import catalogue
+
+    d = _question_tables(spark, tmp_path)
+    got = {tuple(r) for r in catalogue.retriever_sweep_reranked(spark, d).collect()}
+    assert {r[:2] for r in got} == {(m + " + rerank", 3) for m in ("dense", "bm25", "hybrid")}
+    con = duckdb.connect()
+    for name in ("chunks", "qa_set", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet/*.parquet'")
+    assert got == set(con.execute(catalogue.ORACLES["retriever_sweep_reranked"]).fetchall())
+
+
 def test_seed_states_are_numpys():
     seeds = [0, 1, 2**32 - 1, 2**32, 2**64 - 1, *np.random.default_rng(1).integers(0, 2**64, 50, dtype=np.uint64).tolist()]
     assert np.array_equal(seams._states(np.array(seeds, np.uint64)), [np.random.SeedSequence(x).generate_state(4, np.uint64) for x in seeds])
