@@ -400,6 +400,13 @@ def test_service_ask_stream_asks_every_question(spark, tmp_path):
     assert [(r["query"], r.event) for r in got] == [(q, e) for q in (2, 50, 51) for e in ("sources", "token", "token", "done")]
 
 
+def test_service_compare_asks_every_question(spark, tmp_path):
+    from rookery.plans import catalogue
+
+    got = catalogue.service_compare(spark, _question_tables(spark, tmp_path)).where("rank = 0 and mode = 'bm25'").collect()
+    assert {r["query"]: r.item for r in got} == {50: 0, 51: 1, 2: 1}
+
+
 def test_seed_states_are_numpys():
     seeds = [0, 1, 2**32 - 1, 2**32, 2**64 - 1, *np.random.default_rng(1).integers(0, 2**64, 50, dtype=np.uint64).tolist()]
     assert np.array_equal(seams._states(np.array(seeds, np.uint64)), [np.random.SeedSequence(x).generate_state(4, np.uint64) for x in seeds])
