@@ -390,7 +390,7 @@ def test_service_ask_asks_every_question(spark, tmp_path):
     from rookery.plans import catalogue
 
     got = catalogue.service_ask(spark, _question_tables(spark, tmp_path)).collect()
-    assert {r["query"]: (r.text, r.n_blocks, r.grounded) for r in got} == {50: ("See [1].", 3, True), 51: ("See [1].", 2, True), 2: ("See [1].", 3, True)}
+    assert {r["query"]: (r.text, r.n_blocks, r.grounded) for r in got} == {q: ("See [1].", 4, True) for q in (50, 51, 2)}
 
 
 def test_service_ask_stream_asks_every_question(spark, tmp_path):
