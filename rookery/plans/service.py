@@ -60,11 +60,12 @@ class Engine:
         words = asked.select(F.col("qid").alias("query"), "question")
 
         def second(hits: DataFrame) -> DataFrame:
-            full = hits.join(payload, "item").join(words, "query")
-            return fusion.rerank(full, seams.overlap_score(F.col("question"), F.col("body")), k).drop("question")
+            """Questions join where the hits lie, and only scores are ranked: bodies of all candidates are never shuffled by question."""
+            full = hits.join(words, "query").join(payload.select("item", "body"), "item")
+            scored = full.withColumn("rerank_score", seams.overlap_score(F.col("question"), F.col("body"))).drop("question", "body")
+            return fusion.rerank(scored, F.col("rerank_score"), k)
 
-        hits = fusion.retrieve(mode, arm_d, arm_l, k, second if rerank else None, self.candidates)
-        return hits if rerank else hits.join(payload, "item")
+        return fusion.retrieve(mode, arm_d, arm_l, k, second if rerank else None, self.candidates).join(payload, "item")
 
     def ask(self, questions: DataFrame, mode: str = "hybrid", top_k: int = 4) -> DataFrame:
         """Contexts, the generator's text, its verified citations and the cited sources."""

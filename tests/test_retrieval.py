@@ -424,6 +424,24 @@ def test_dense_search_embeds_no_item_beforehand(spark, monkeypatch):
         near.collect()
 
 
+def test_items_are_made_once_for_all_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "item int, v array<double>")
+    asked = spark.createDataFrame([(5, [1.0, 0.0]), (6, [0.0, 1.0])], "query int, q array<double>")
+    calls, store = [], dense.materialise
+    monkeypatch.setattr(dense, "materialise", lambda df: (calls.append(df.columns), store(df))[1])
+    monkeypatch.setattr(dense, "QUERY_BYTES", 1)
+    got = dense.exact_top_k(items, "item", "v", asked, "query", "q", 1).collect()
+    assert calls == [["item", "x"]] and {(r["query"], r.item) for r in got} == {(5, 0), (6, 1)}
+
+
+def test_reranked_search_ranks_without_bodies(spark, monkeypatch):
+    q = spark.createDataFrame([(1, "what does TLM-330 mean")], "qid int, question string")
+    ranked, rerank = [], fusion.rerank
+    monkeypatch.setattr(fusion, "rerank", lambda hits, *more: (ranked.append(hits.columns), rerank(hits, *more))[1])
+    got = _engine(spark).search(q).orderBy("rank").first()
+    assert "body" not in ranked[0] and (got.item, got.body) == ("d::0", "tlm-330 means lidar lost lock")
+
+
 def test_fused_arms_are_stored(spark):
     q = spark.createDataFrame([(1, "what does TLM-330 mean")], "qid int, question string")
     plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in _engine(spark)._arms(q, "hybrid")]
